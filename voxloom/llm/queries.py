@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import pieces
+from voxloom.llm import langid, pieces, quality
 from voxloom.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -16,5 +16,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), keep_ids=False)
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op4_language_id": op4_language_id,
+    "op9_quality": op9_quality,
+}
 ORACLES: dict[str, str] = {}
