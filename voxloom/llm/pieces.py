@@ -63,7 +63,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """A merge-type SentencePiece model read from its file's bytes."""
 
-    def __init__(self, data: bytes, most_segments: int = 300_000) -> None:
+    def __init__(self, data: bytes, most_segments: int = 350_000) -> None:
         import struct
 
         import ahocorasick
@@ -95,8 +95,13 @@ class PieceModel:
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.chars = {p for p in self.ids if len(p) == 1}
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.segments: dict[str, tuple[int, str, str]] = {}
+        #: ids of segments, joined: those since the last turn and those before it; and the texts of ids that differ from their segment
+        self.segments: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.most_segments = most_segments
+        line = "\n" if "\n" not in self.chars else ""  # a character that the model lacks never merges, so a segment may end before it
+        self.segment = re.compile(f"{MARK}+[^{MARK}{line}]*" + f"|{line}[^{MARK}{line}]*" * bool(line))
         self.trie = ahocorasick.Automaton()
         whole = {p for p in self.ids if self.merged(p) == [p]}
         for p in whole:
@@ -161,23 +166,25 @@ class PieceModel:
         for end, piece in self.trie.iter(text):
             longest[end + 1 - len(piece)] = piece  # later matches at a start are longer
         n, failed, tokens, at = len(text), bytearray(len(text) // 8 + 1), [], 0
-        token = longest.get(0)
+        token, last, compatible, shorter = longest.get(0), None, self.compatible, self.shorter
         while at < n:
-            last = tokens[-1] if tokens else None
             while token is not None:
                 end = at + len(token)
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.fits(last, token)):
-                    break
-                token = self.shorter[token]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fits = last is None or compatible.get((last, token))
+                    if fits or fits is None and self.fits(last, token):
+                        break
+                token = shorter[token]
             if token is not None:
                 tokens.append(token)
-                at = end
+                last, at = token, end
                 token = longest.get(at)
                 continue
             failed[at >> 3] |= 1 << (at & 7)
             if not tokens:
                 return self.merged(text)  # pieces that no merging reaches
             token = tokens.pop()
+            last = tokens[-1] if tokens else None
             at -= len(token)
         return tokens
 
@@ -198,22 +205,34 @@ class PieceModel:
             out += [self.ids[p] for p in self._known(segment[at:])]
         return out
 
-    def _new(self, segment: str) -> tuple[int, str, str]:
-        ids = self.segment_ids(segment)
-        made = len(ids), ",".join(map(str, ids)), self.joined(ids)
+    def _new(self, segment: str) -> str:
+        made = self.older.get(segment)
+        if made is None:
+            ids = self.segment_ids(segment)
+            made = ",".join(map(str, ids))
+            if (text := self.joined(ids)) != segment.replace(MARK, " "):
+                self.odd[segment] = text
         if len(segment) <= 40:
             if len(self.segments) >= self.most_segments:
-                self.segments.clear()
+                self.older, self.segments = self.segments, {}
             self.segments[segment] = made
         return made
 
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """(ids, ids joined, decoded) by segment."""
+    def split(self, text: str) -> list[str]:
+        return self.segment.findall(MARK + text.replace(" ", MARK))
+
+    def joined_ids(self, segments: list[str]) -> str:
+        """The decimal ids of segments, joined by commas."""
         get, new = self.segments.get, self._new
-        return [get(s) or new(s) for s in SEGMENT.findall(MARK + text.replace(" ", MARK))] if text else []
+        return ",".join([get(s) or new(s) for s in segments])
+
+    def joined_text(self, segments: list[str]) -> str:
+        """The decoded text of the ids of segments that joined_ids has seen, without the leading mark."""
+        odd = self.odd
+        return "".join([odd.get(s, s) for s in segments] if odd else segments).replace(MARK, " ")[1:]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text or "") for i in ids.split(",")]
+        return [int(i) for i in self.joined_ids(self.split(text)).split(",")] if text else []
 
     def joined(self, ids: list[int]) -> str:
         """The text of ids with a mark for each space; bytes that are no UTF-8 become U+FFFD each."""
@@ -251,7 +270,6 @@ class PieceModel:
         return text[1:] if first is not None and self.kinds[first] == NORMAL and self.pieces[first].startswith(MARK) else text
 
 
-SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 _MODELS: dict[bytes, PieceModel] = {}
 
 
@@ -275,10 +293,9 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep_ids: bool = True)
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                parts = model.parts(text) if text else []
-                ids = ",".join([p[1] for p in parts])
-                decoded = "".join([p[2] for p in parts])[1:]
-                rows.append((sum([p[0] for p in parts]), sha(ids), sha(decoded), ids))
+                segments = model.split(text) if text else []
+                ids = model.joined_ids(segments)
+                rows.append((ids.count(",") + bool(ids), sha(ids), sha(model.joined_text(segments)), ids))
             made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             made.insert(0, "doc_id", batch["doc_id"].to_numpy())
             if keep_ids:
