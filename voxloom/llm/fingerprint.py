@@ -43,25 +43,34 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class Sampler:
     """Remembers ln a and the 16-bit samples of (word, weight) pairs in arrays of a bounded number of rows."""
 
-    def __init__(self, samples: int = SAMPLES, seed: int = 8, most: int = 120_000) -> None:
+    def __init__(self, samples: int = SAMPLES, seed: int = 8, most: int = 250_000) -> None:
         self.hashes, self.samples, self.most = Hashes(seed, 100_000), samples, most
         self.rows: dict[tuple[bytes, int], int] = {}
+        with np.errstate(over="ignore"):
+            self.columns = [(np.arange(samples, dtype=np.uint64) * np.uint64(8) + np.uint64(k + 1)) * _STEP for k in range(3)]
         self.log_a = np.empty((most, samples), np.float32)
         self.bits = np.empty((most, samples), np.uint16)
 
-    def _uniform(self, base: np.ndarray, which: int) -> np.ndarray:
+    def _uniform(self, base: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers in (0, 1) for each word and sample."""
         with np.errstate(over="ignore"):
-            k = np.arange(self.samples, dtype=np.uint64) * np.uint64(8) + np.uint64(which + 1)
-            x = mix(base[:, None] + k[None, :] * _STEP)
-        return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+            x = mix(base[:, None] + self.columns[which][None, :])
+        high, low = (x >> np.uint64(32)).astype(np.float32), (x & np.uint64(0xFFFFFFFF)).astype(np.float32)
+        scale = np.float32(2.0**-32 * (1 - 2.0**-23))
+        return (high + np.float32(0.5)) * scale, (low + np.float32(0.5)) * scale
 
     def _make(self, pairs: list[tuple[bytes, int]], at: np.ndarray) -> None:
         base = mix(self.hashes.array([w for w, _ in pairs]))
-        weight = np.array([n for _, n in pairs], np.float64)[:, None]
-        r = -np.log(self._uniform(base, 0) * self._uniform(base, 1))
-        log_c = np.log(-np.log(self._uniform(base, 2) * self._uniform(base, 3)))
-        b = self._uniform(base, 4)
-        t = np.floor(np.log(weight) / r + b)
+        weight = np.array([n for _, n in pairs], np.float32)[:, None]
+        u, v = self._uniform(base, 0)
+        r = -np.log(u * v)
+        u, v = self._uniform(base, 1)
+        log_c = np.log(-np.log(u * v))
+        b = self._uniform(base, 2)[0]
+        if (weight == 1).all():
+            t = np.zeros((len(pairs), 1), np.float32)
+        else:
+            t = np.floor(np.log(weight) / r + b)
         self.log_a[at] = log_c - r * (t - b + 1)
         with np.errstate(over="ignore"):
             self.bits[at] = (mix(base[:, None] + (t + 1).astype(np.int64).astype(np.uint64) * _STEP) >> np.uint64(48)).astype(np.uint16)
@@ -75,10 +84,13 @@ class Sampler:
             if len(self.rows) + len(new) > self.most:
                 self.rows.clear()
                 return self.places(pairs)
-            made = [pairs[k] for k in new]
             at[new] = np.arange(len(self.rows), len(self.rows) + len(new))
-            self._make(made, at[new])
-            self.rows.update(zip(made, at[new].tolist(), strict=True))
+            once = [k for k in new.tolist() if pairs[k][1] == 1]
+            more = [k for k in new.tolist() if pairs[k][1] > 1]
+            for part in (once, more):  # most words occur once, which is cheaper
+                if part:
+                    self._make([pairs[k] for k in part], at[part])
+            self.rows.update((pairs[k], int(at[k])) for k in new.tolist())
         return at
 
     def sample(self, text: str | None) -> np.ndarray | None:
