@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import fingerprint, jaccard, langid, pieces, quality, secrets, sharding
+from voxloom.llm import fingerprint, jaccard, langid, pieces, quality, secrets, sharding, wrappers
 from voxloom.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -42,6 +42,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -50,5 +54,6 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
+    "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {}
