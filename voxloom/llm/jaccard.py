@@ -7,12 +7,14 @@ components of the links; every link between different texts is found.
 
 1. Equal sets form a class (128-bit hash of the set).
 2. Exact candidates by pigeonhole: sets that may link, of sizes up to `top`,
-   differ in d = (100 - percent) * 2 * top / (100 + percent) tokens at most. If
-   the hash space is cut into d + 1 + SLACK parts, they agree on SLACK + 1 parts
-   at least. The content of each part, hashed, is a signature; a set emits those
-   of its own size range, and of the next where a partner may be. Empty parts
-   are emitted only by sets with more than SLACK of them, without which the
-   count above still leaves a common part that isn't empty.
+   differ in d = (100 - percent) * 2 * top / (100 + percent) tokens at most. The
+   hash space is cut into m > d + 1 parts; such sets agree on m - d of them at
+   least. The content of each part, hashed, is a signature; a set emits those of
+   its own size range, and of the next where a partner may be. It leaves out its
+   parts of fewer than c tokens, c the (d + 1)th largest size of its parts: of
+   the d + 1 largest it shares one with any partner, and of two sets the one with
+   the greater c shares a part of c tokens that the other emits too. So parts of
+   one token, which say little, are not emitted, nor are empty ones.
    Signatures that different sets share join these to candidate groups.
 3. Within a group, signature trees and their dual traversal find the links. A
    group of more than `block` sets is cut into blocks: trees join each block,
@@ -40,7 +42,7 @@ from voxloom.llm.common import Hashes, mix, ngrams, written
 from voxloom.llm.components import connected_components
 
 LEAST = -(1 << 62)  # stands for a null doc_id
-SLACK, RATIO, BLOCK = 2, 1.6, 2048
+SPARE, RATIO, BLOCK = 1.25, 1.3, 2048
 BROADCAST_ROWS = 400_000
 _WORDS = Hashes(3)
 
@@ -78,13 +80,15 @@ def signatures(tokens: np.ndarray, percent: int, ranges: list[tuple[int, int, in
             low, _, d = ranges[k]
             if not d or 100 * n < percent * low:
                 continue  # equal sets only, which are a class; or too small for a partner there
-            m = d + 1 + SLACK
+            m = max(d + 2, int(SPARE * (d + 1)))
             part = ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 63)))
-            full = part[starts]
+            full, size = part[starts], np.diff(starts, append=n)
+            least = np.partition(size, len(size) - d - 1)[len(size) - d - 1] if len(size) > d else 0
             salt = np.uint64(k << 40)
-            found.append(mix(np.add.reduceat(mixed, starts) ^ mix(full + salt + np.uint64(1))))
-            if m - len(full) > SLACK:
+            sums = np.add.reduceat(mixed, starts) ^ mix(full + salt + np.uint64(1))
+            found.append(mix(sums[size >= least]))
+            if not least:
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), full, assume_unique=True)
                 found.append(mix(mix(empty + salt + np.uint64(1)) + np.uint64(0xE5)))
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
