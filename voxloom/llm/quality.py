@@ -104,8 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, per_class: int
     return train([(np.array(r.bins), np.array(r.value), r.quality) for r in rows], bits)
 
 
-def score(docs: DataFrame, weights: np.ndarray, *, bits: int = BITS, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` of docs (doc_id unless said), then score and predicted."""
+def score(docs: DataFrame, weights: np.ndarray, *, bits: int = BITS, threshold: float = THRESHOLD, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """Columns `keep` of docs (doc_id unless said), text if with_text, then score and predicted."""
     keep = keep or ["doc_id"]
     model = docs.sparkSession.sparkContext.broadcast(weights)  # 4 << bits bytes
 
@@ -113,13 +113,14 @@ def score(docs: DataFrame, weights: np.ndarray, *, bits: int = BITS, threshold:
         w = model.value
         for batch in batches:
             sums = np.array([float(w[i] @ x) for i, x in (features(t, bits) for t in batch["_text"])])
-            made = batch.drop(columns="_text")
+            made = batch.rename(columns={"_text": "text"}) if with_text else batch.drop(columns="_text")
             made["score"] = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             made["predicted"] = (made["score"] >= threshold).astype("int32")
             yield made
 
     source = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "_text") + ", score double, predicted int"
+    kinds = [("text" if c == "_text" else c, t) for c, t in source.dtypes if c != "_text" or with_text]
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds) + ", score double, predicted int"
     return source.mapInPandas(run, schema)
 
 
