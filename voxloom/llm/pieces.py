@@ -22,11 +22,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+AT_ONCE = 1000  # rows of a result batch
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -63,7 +65,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """A merge-type SentencePiece model read from its file's bytes."""
 
-    def __init__(self, data: bytes, most_segments: int = 350_000) -> None:
+    def __init__(self, data: bytes, most_segments: int = 250_000) -> None:
         import struct
 
         import ahocorasick
@@ -155,7 +157,7 @@ class PieceModel:
         """Whether piece b may follow piece a: their characters merge to a and b again."""
         known = self.compatible.get((a, b))
         if known is None:
-            if len(self.compatible) > 1_000_000:
+            if len(self.compatible) > 400_000:
                 self.compatible.clear()
             known = self.compatible[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -290,19 +292,18 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep_ids: bool = True)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = loaded(model_bytes.value)
         sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                segments = model.split(text) if text else []
-                ids = model.joined_ids(segments)
-                rows.append((ids.count(",") + bool(ids), sha(ids), sha(model.joined_text(segments)), ids))
-            made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-            made.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            if keep_ids:
-                made["ids"] = [[int(i) for i in x.split(",")] if x else [] for x in made["ids"]]
-            else:
-                del made["ids"]
-            yield made
+        for whole in batches:
+            for at in range(0, len(whole), AT_ONCE):
+                batch, rows = whole.iloc[at : at + AT_ONCE], []
+                for text in batch["text"]:
+                    segments = model.split(text) if text else []
+                    ids = model.joined_ids(segments)
+                    rows.append((ids.count(",") + bool(ids), sha(ids), sha(model.joined_text(segments)), np.fromstring(ids, np.int32, sep=",") if keep_ids else None))
+                made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                made.insert(0, "doc_id", batch["doc_id"].to_numpy())
+                if not keep_ids:
+                    del made["ids"]
+                yield made
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInPandas(run, schema)
