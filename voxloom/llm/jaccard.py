@@ -11,7 +11,8 @@ components of the links; every link between different texts is found.
    hash space is cut into m > d + 1 parts; such sets agree on m - d of them at
    least. The content of each part, hashed, is a signature; a set emits those of
    its own size range, and of the next where a partner may be. It leaves out its
-   parts of fewer than c tokens, c the (d + 1)th largest size of its parts: of
+   parts of fewer than c tokens, c the (d + 1)th largest size of its parts, d the
+   most tokens in which it may differ itself from a partner in that range: of
    the d + 1 largest it shares one with any partner, and of two sets the one with
    the greater c shares a part of c tokens that the other emits too. So parts of
    one token, which say little, are not emitted, nor are empty ones.
@@ -77,10 +78,11 @@ def signatures(tokens: np.ndarray, percent: int, ranges: list[tuple[int, int, in
     with np.errstate(over="ignore"):
         mixed = mix(tokens)
         for k in (own, own + 1):
-            low, _, d = ranges[k]
+            low, high, most = ranges[k]
+            d = (100 - percent) * (n + min(high, 100 * n // percent)) // (100 + percent)  # from any partner in this range
             if not d or 100 * n < percent * low:
                 continue  # equal sets only, which are a class; or too small for a partner there
-            m = max(d + 2, int(SPARE * (d + 1)))
+            m = max(most + 2, int(SPARE * (most + 1)))
             part = ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 63)))
             full, size = part[starts], np.diff(starts, append=n)
