@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from voxloom.operators import catalog, metrics, registry, settings
-from voxloom.sources import media
+from voxloom.sources import documents, media
 
 
 def test_files_without_digest_fail_the_run(spark):
@@ -61,3 +61,22 @@ def test_digests_and_downloads(spark):
     assert [r.y for r in df.select(catalog.digest_ok("c", "e").alias("y")).collect()] == [True, True, False]
     steps = spark.createDataFrame([(5, 9, 206), (5, 9, 200), (9, 9, 416), (5, 9, 416), (0, 9, 206), (0, 9, 500)], "p long, t long, s int")
     assert [r.y for r in steps.select(media.download_step("p", "t", "s").alias("y")).collect()] == ["append", "restart", "finish", "fail", "restart", "fail"]
+
+
+def test_files_of_text_and_json(spark, tmp_path):
+    for lang, body in (("en", '{"a": {"b": "x"}, "c": "y"}'), ("de", '{"a": {"b": "x", "z": ["q"]}}')):
+        (tmp_path / "locales" / lang).mkdir(parents=True)
+        (tmp_path / "locales" / lang / "translation.json").write_text(body)
+    keys = catalog.flattened(documents.read_locales(spark, str(tmp_path / "locales")))
+    assert sorted((r.lang, r.key_path, r.problem) for r in catalog.translation_audit(keys).collect()) == [("de", "a.z", "extra"), ("de", "c", "missing")]
+    (tmp_path / "notes").mkdir()
+    for name in ("1.2.3.md", "v2.0.0.md", "readme.md", "3.0.0.txt"):
+        (tmp_path / "notes" / name).write_text(f"# {name}\nmore")
+    from voxloom.operators.history import latest_release
+
+    notes = documents.read_release_notes(spark, str(tmp_path / "notes"))
+    assert sorted((r.version, r.markdown) for r in notes.collect()) == [("1.2.3", "# 1.2.3.md\nmore"), ("v2.0.0", "# v2.0.0.md\nmore")]
+    assert [r.version for r in latest_release(notes, "1.9.0", "none").collect()] == ["1.2.3"]
+    assert latest_release(notes, "beta", None).count() == 0
+    (tmp_path / "c.json").write_text('{"catalog_version": 2,\n "mirrors": ["m"], "extra": 1, "models": [{"id": "a", "x": 2, "files": [{"filename": "f", "size_bytes": 7}]}, {"id": "b"}]}')
+    assert [(r.ord, r.id, r.mirrors) for r in documents.read_catalog(spark, str(tmp_path / "c.json")).collect()] == [(0, "a", ["m"]), (1, "b", ["m"])]

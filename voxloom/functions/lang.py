@@ -84,3 +84,28 @@ def supports(codes, wanted) -> Column:
 def capability_languages(codes) -> Column:
     """M7: the distinct languages of a list of codes."""
     return F.array_distinct(F.transform(_c(codes), lambda x: canonical(without_script(x))))
+
+
+#: M2-like pairs of three- and two-letter codes that the detector gate maps; further ones can be passed.
+THREE_TO_TWO = {"eng": "en", "deu": "de", "fra": "fr", "spa": "es", "por": "pt", "ita": "it", "nld": "nl", "rus": "ru", "ukr": "uk", "pol": "pl", "jpn": "ja", "kor": "ko", "cmn": "zh", "vie": "vi", "ara": "ar", "tur": "tr"}
+MIN_CONFIDENCE = 0.9
+
+
+def gated_detection(detected, reliable, confidence, model_codes, known: dict[str, str] | None = None) -> Column:
+    """The language that a detector found (three letters) as a two-letter code, if it is reliable and the model can output it.
+
+    Without model codes there is no constraint; if none of them is known to the
+    detector, nothing can be told. The detector itself is the caller's.
+    """
+    pairs = known or THREE_TO_TWO
+    to_two = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    two = F.try_element_at(to_two, _c(detected))
+    fold = lambda code: F.coalesce(F.try_element_at(to_two, F.lower(base_language(F.trim(code)))), F.lower(base_language(F.trim(code))))
+    allowed = F.filter(F.transform(_c(model_codes), fold), lambda x: x.isin(*pairs.values()))
+    can = (F.size(_c(model_codes)) == 0) | F.array_contains(allowed, two)
+    return F.when(_c(reliable) & (_c(confidence) >= MIN_CONFIDENCE) & can, two)
+
+
+def script_conversion(effective) -> Column:
+    """Which conversion of Chinese script the effective language asks for; null for none. The dictionaries are the caller's."""
+    return F.when(_c(effective) == "zh-Hans", "to_simplified").when(_c(effective) == "zh-Hant", "to_traditional")

@@ -226,7 +226,7 @@ def relative_time(seconds_ago) -> Column:
 
 def version(text) -> Column:
     """Struct of major, minor and patch; null if the text doesn't start with a version."""
-    pattern = r"^v?(\d+)\.(\d+)\.(\d+)"
+    pattern = r"(?U)^\s*[vV]?(\d+)\.(\d+)\.(\d+)"
     return F.when(_c(text).rlike(pattern), F.struct(*[F.regexp_extract(_c(text), pattern, k + 1).cast("long").alias(n) for k, n in enumerate(("major", "minor", "patch"))]))
 
 

@@ -9,6 +9,7 @@ from voxloom.operators import catalog as c
 from voxloom.operators import registry as r
 from voxloom.operators import settings as s
 from voxloom.plans.base import registrar
+from voxloom.sources import documents as sources
 from voxloom.sources.tables import table
 
 QUERIES, ORACLES, query = registrar()
@@ -328,6 +329,15 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
     return c.invariant_breaches(catalog(spark))
 
 
+@query("k6_catalog_scan", "SELECT n_nationkey, k AS ord, 'm' || k AS id, n_name AS name, k * 7 AS speed_score, 'a.gguf' AS first_file FROM nation, range(0, 2) AS t(k)")
+def k6(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda k: f'''{{"id": "m{k}", "unknown": [1], "name": "' || n_name || '", "speed_score": {k * 7}, "files": [{{"filename": "a.gguf", "quant": "Q8_0", "size_bytes": 5, "sha256": "x", "more": 1}}]}}'''
+    content = F.expr(f"""'{{"catalog_version": 1, "other": {{}}, "mirrors": ["https://a.example"], "models": [{one(0)}, {one(1)}]}}'""")
+    docs = table(spark, d, "nation").select("n_nationkey", sources.parsed_catalog(content).alias("c"))
+    rows = docs.select("n_nationkey", F.posexplode("c.models").alias("ord", "m"))
+    return rows.select("n_nationkey", "ord", "m.id", "m.name", "m.speed_score", F.col("m.files")[0]["filename"].alias("first_file"))
+
+
 @query("k13_wav_gate", "SELECT p_partkey FROM part WHERE p_size % 2 = 0 AND p_partkey % 3 = 0")
 def k13(spark: SparkSession, d: str) -> DataFrame:
     spec = table(spark, d, "part").selectExpr("p_partkey", "CASE WHEN p_size % 2 = 0 THEN 16000 ELSE 44100 END AS rate", "1 AS channels", "16 AS bits", "p_partkey AS samples", "CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE 1 END AS expected")

@@ -269,3 +269,22 @@ FOLD = "CASE WHEN {0} IN ('zh-Hans', 'zh-Hant') THEN 'zh' ELSE {0} END"
 @query("m7_supports_language", f"WITH {INTENT_SQL} SELECT p_partkey, len(list_filter(s, lambda x: ({CANON.format('x')}) = ({CANON.format('intent')}))) > 0 AS supported FROM m")
 def m7(spark: SparkSession, d: str) -> DataFrame:
     return wanted(spark, d).select("p_partkey", lang.supports("s", F.col("intent")).alias("supported"))
+
+
+DETECTED = ["eng", "deu", "cmn", "mlt", "spa", "nld"]
+
+
+@query(
+    "t13_gated_detection",
+    f"""WITH {INTENT_SQL}, t AS (SELECT *, ['en', 'de', 'zh', NULL, 'es', 'nl'][p_partkey % 6 + 1] AS two FROM m)
+    SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 AND (p_partkey % 20) / 20.0 >= 0.9 AND (len(s) = 0 OR list_contains(list_transform(s, lambda x: regexp_extract(x, '^[^-_]*')), two)) THEN two END AS lang FROM t""",
+)
+def t13(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey")
+    found = F.element_at(F.array(*map(F.lit, DETECTED)), (key % 6 + 1).cast("int"))
+    return wanted(spark, d).select("p_partkey", lang.gated_detection(found, key % 4 > 0, (key % 20) / 20.0, "s").alias("lang"))
+
+
+@query("t20_script_conversion", f"WITH {INTENT_SQL} SELECT p_partkey, CASE intent WHEN 'zh-Hans' THEN 'to_simplified' WHEN 'zh-Hant' THEN 'to_traditional' END AS conversion FROM m")
+def t20(spark: SparkSession, d: str) -> DataFrame:
+    return wanted(spark, d).select("p_partkey", lang.script_conversion("intent").alias("conversion"))
