@@ -114,17 +114,22 @@ def drop_fillers(text, language=None, custom: Sequence[str] | None = None, enabl
 def collapse_stutters(text) -> Column:
     """Three or more equal words in a row (letters only, any case) become the first of them; a text of white space alone stays."""
     w = words(text)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"), F.lit(0).alias("run"))
 
-    def step(acc: Column, x: Column) -> Column:
-        low = F.lower(x)
-        again = (low == acc["last"]) & low.rlike(rf"^\p{{IsAlphabetic}}+$")
-        run = F.when(again, acc["run"] + 1).otherwise(F.lit(1))
-        # the third in a row takes the second back; later ones add nothing
-        out = F.when(run < 3, F.concat(acc["out"], F.array(x))).when(run == 3, F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1)).otherwise(acc["out"])
-        return F.struct(out.alias("out"), low.alias("last"), run.alias("run"))
+    def kept(all_words: Column, low: Column) -> Column:
+        """A word goes if it repeats the one before it and, with a further neighbour, makes three."""
 
-    return F.when(F.size(w) == 0, _c(text)).otherwise(F.aggregate(w, start, step, lambda acc: F.array_join(acc["out"], " ")))
+        def stays(x: Column, i: Column) -> Column:
+            near = lambda k: F.coalesce(F.get(low, i) == F.get(low, i + k), F.lit(False))
+            return ~(near(-1) & (near(-2) | near(1)) & F.get(low, i).rlike(r"^\p{IsAlphabetic}+$"))
+
+        return F.array_join(F.filter(all_words, stays), " ")
+
+    return F.when(F.size(w) == 0, _c(text)).otherwise(_let(w, lambda a: _let(F.transform(a, F.lower), lambda low: kept(a, low))))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, though body uses it within other lambdas."""
+    return F.transform(F.array(value), body)[0]
 
 
 def normalize(text) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,38 +20,75 @@ def stream_counters(feeds: DataFrame) -> DataFrame:
     return feeds.groupBy("session").agg(F.count("*").alias("feeds"), audio.alias("audio_secs"), compute.alias("compute_secs"), F.max_by("gauge", "seq").alias("gauge"), F.when(compute > 0, audio / compute).otherwise(F.lit(0.0)).alias("rtf"))
 
 
-def _ordered(df: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
-    """One row for each key with its events as a sorted array. For keys whose events fit one row; streams keep state instead."""
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("events"))
+class Speed:
+    """H2: a smoothed speed in MiB a second, sampled when more than half a second has gone since the last sample."""
 
+    def __init__(self, t: float | None = None, done: float = 0.0, speed: float = 0.0, samples: int = 0) -> None:
+        self.t, self.done, self.speed, self.samples = t, done, speed, samples
 
-def download_speed(progress: DataFrame, key: str = "model_id") -> DataFrame:
-    """H2: the smoothed speed in MiB a second after each key's last event (t in seconds, downloaded in bytes): sampled when more than half a second has gone since the last sample."""
-    e = F.col("events")
-    first = F.element_at(e, 1)
-    start = F.struct(first["t"].cast("double").alias("t"), first["downloaded"].cast("double").alias("d"), F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    def feed(self, t: float, done: float) -> None:
+        if self.t is None:
+            self.t, self.done = t, done
+        elif t - self.t > SAMPLE_GAP_S:
+            now = max(0.0, (done - self.done) / 1048576.0 / (t - self.t))
+            self.speed = self.speed * OLD_SHARE + now * (1 - OLD_SHARE) if self.speed > 0 else now
+            self.t, self.done, self.samples = t, done, self.samples + 1
 
-    def step(a: Column, x: Column) -> Column:
-        gap = x["t"].cast("double") - a["t"]
-        now = F.greatest(F.lit(0.0), (x["downloaded"].cast("double") - a["d"]) / 1048576.0 / gap)
-        speed = F.when(a["s"] > 0, a["s"] * OLD_SHARE + now * (1 - OLD_SHARE)).otherwise(now)
-        taken = F.struct(x["t"].cast("double").alias("t"), x["downloaded"].cast("double").alias("d"), speed.alias("s"), (a["n"] + 1).alias("n"))
-        return F.when(gap > SAMPLE_GAP_S, taken).otherwise(a)
 
-    return _ordered(progress, key, "t", ["downloaded"]).select(key, F.aggregate(e, start, step).alias("a")).select(key, F.col("a.s").alias("speed"), F.col("a.n").alias("samples"))
+class Throttle:
+    """H3: lets an event through if enough time has gone since the last one, or if it is complete."""
 
+    def __init__(self, every_ms: int, last: int | None = None) -> None:
+        self.every, self.last = every_ms, last
 
-def throttled(events: DataFrame, key: str = "key", every_ms: int = PROGRESS_MS) -> DataFrame:
-    """H3: the events (t_ms, done, total) that are emitted: at least every_ms after the last emitted one, or complete."""
-    final = lambda x: (x["total"] > 0) & (x["done"] >= x["total"])
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<t_ms:bigint,done:bigint,total:bigint>>").alias("out"))
+    def feed(self, t: int, done: int, total: int) -> bool:
+        emit = self.last is None or t - self.last >= self.every or total > 0 and done >= total
+        if emit:
+            self.last = t
+        return emit
+
+
+def _in_order(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows of a key together and in order; tasks read them as a stream, so a key may have any number."""
+    return df.repartition(key).sortWithinPartitions(key, *order)
 
-    def step(a: Column, x: Column) -> Column:
-        item = F.struct(x["t_ms"].cast("long").alias("t_ms"), x["done"].cast("long").alias("done"), x["total"].cast("long").alias("total"))
-        emit = a["last"].isNull() | (x["t_ms"] - a["last"] >= every_ms) | final(x)
-        return F.when(emit, F.struct(x["t_ms"].cast("long").alias("last"), F.concat(a["out"], F.array(item)).alias("out"))).otherwise(a)
 
-    return _ordered(events, key, "t_ms", ["done", "total"]).select(key, F.inline(F.aggregate(F.col("events"), start, step)["out"]))
+def download_speed(progress: DataFrame, key: str = "model_id") -> DataFrame:
+    """H2: (key, speed, samples) after each key's last event (t in seconds, downloaded in bytes)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, meter = None, None
+        for batch in batches:
+            out = []
+            for k, t, d in batch.itertuples(index=False):
+                if meter is None or k != of:
+                    if meter is not None:
+                        out.append((of, meter.speed, meter.samples))
+                    of, meter = k, Speed()
+                meter.feed(float(t), float(d))
+            yield pd.DataFrame(out, columns=[key, "speed", "samples"])
+        if meter is not None:
+            yield pd.DataFrame([(of, meter.speed, meter.samples)], columns=[key, "speed", "samples"])
+
+    rows = progress.select(key, "t", "downloaded").filter(F.col(key).isNotNull())
+    return _in_order(rows, key, ["t", "downloaded"]).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, speed double, samples int")
+
+
+def throttled(events: DataFrame, key: str = "key", every_ms: int = PROGRESS_MS) -> DataFrame:
+    """H3: the events (t_ms, done, total) of each key that are emitted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, gate = None, None
+        for batch in batches:
+            taken = []
+            for k, t, done, total in batch.itertuples(index=False):
+                if gate is None or k != of:
+                    of, gate = k, Throttle(every_ms)
+                taken.append(gate.feed(int(t), int(done), int(total)))
+            yield batch[taken]
+
+    rows = events.select(key, F.col("t_ms").cast("long").alias("t_ms"), F.col("done").cast("long").alias("done"), F.col("total").cast("long").alias("total")).filter(F.col(key).isNotNull())
+    return _in_order(rows, key, ["t_ms", "done", "total"]).mapInPandas(run, rows.schema)
 
 
 def percentage(done, total) -> Column:

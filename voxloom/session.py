@@ -8,10 +8,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
+BATCH, DEFAULT_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def on_workers(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it is not installed and not on their path."""
+    """Lets Python workers import this package where it is not installed and not on their path.
+
+    Whole texts are long: unless another size is set, fewer rows go to a worker at once.
+    """
+    if spark.conf.get(BATCH, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH, BATCH_ROWS)
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):

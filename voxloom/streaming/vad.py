@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from voxloom.operators.metrics import OLD_SHARE, SAMPLE_GAP_S
+from voxloom.operators.metrics import Speed, Throttle
 
 
 class Smoother:
@@ -64,31 +64,24 @@ def download_speed_stream(progress: DataFrame) -> DataFrame:
     """H2 for a stream of (model_id, t, downloaded): the smoothed speed after each batch."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t0, d0, speed = state.get if state.exists else (None, None, 0.0)
+        meter = Speed(*state.get) if state.exists else Speed()
         for t, d in pd.concat(list(batches)).sort_values("t")[["t", "downloaded"]].itertuples(index=False):
-            if t0 is None:
-                t0, d0 = float(t), float(d)
-            elif t - t0 > SAMPLE_GAP_S:
-                now = max(0.0, (d - d0) / 1048576.0 / (t - t0))
-                t0, d0, speed = float(t), float(d), speed * OLD_SHARE + now * (1 - OLD_SHARE) if speed > 0 else now
-        state.update((t0, d0, speed))
-        yield pd.DataFrame({"model_id": [key[0]], "speed": [speed]})
+            meter.feed(float(t), float(d))
+        state.update((meter.t, meter.done, meter.speed, meter.samples))
+        yield pd.DataFrame({"model_id": [key[0]], "speed": [meter.speed]})
 
     kind = dict(progress.dtypes)["model_id"]
-    return progress.groupBy("model_id").applyInPandasWithState(run, f"model_id {kind}, speed double", "t double, d double, speed double", "update", GroupStateTimeout.NoTimeout)
+    return progress.groupBy("model_id").applyInPandasWithState(run, f"model_id {kind}, speed double", "t double, d double, speed double, samples int", "update", GroupStateTimeout.NoTimeout)
 
 
 def throttled_stream(events: DataFrame, every_ms: int) -> DataFrame:
     """H3 for a stream of (key, t_ms, done, total)."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for t, done, total in pd.concat(list(batches)).sort_values("t_ms")[["t_ms", "done", "total"]].itertuples(index=False):
-            if last is None or t - last >= every_ms or total > 0 and done >= total:
-                out.append((key[0], int(t), int(done), int(total)))
-                last = int(t)
-        state.update((last,))
+        gate = Throttle(every_ms, state.get[0] if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values("t_ms")[["t_ms", "done", "total"]]
+        out = [(key[0], int(t), int(done), int(total)) for t, done, total in rows.itertuples(index=False) if gate.feed(int(t), int(done), int(total))]
+        state.update((gate.last,))
         yield pd.DataFrame(out, columns=["key", "t_ms", "done", "total"])
 
     kind = dict(events.dtypes)["key"]
