@@ -45,8 +45,9 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str, threshold: float = 49.0) -> DataFrame:
     """Voice-activity frames: a session for each user, frames in order of time, voiced above the threshold."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), (F.row_number().over(order) - 1).cast("long").alias("i"), (F.col("value") > threshold).alias("voiced"))
+    order = Window.partitionBy("session").orderBy("ts", "event_id")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", "event_id", "value")  # named first: later windows by session need no other shuffle
+    return events.select("session", (F.row_number().over(order) - 1).cast("long").alias("i"), (F.col("value") > threshold).alias("voiced"))
 
 
 FRAMES_SQL = "frames AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value > 49 AS voiced FROM events)"
