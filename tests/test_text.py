@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import lang, text
 
+# Cases of known results.
 FILLERS = [
     ("So uhm I was thinking uh about this", "en", None, "So I was thinking about this"),
     ("UHM this is UH a test", "en", None, "this is a test"),
@@ -43,7 +44,7 @@ TERMS = [
     ("send it to RD for review", ["R&D"], 0.18, "send it to R&D for review"),
     ("send it to R and D for review", ["R&D"], 0.18, "send it to R&D for review"),
     ("send it to R&D for review", ["R&D"], 0.18, "send it to R&D for review"),
-    ("「Handee。」", ["Handy"], 0.5, "「Handy。」"),
+    ("「Loomee。」", ["Loomy"], 0.5, "「Loomy。」"),
     ("你好。", ["你号"], 1.0, "你好。"),
     ("keep  the   gaps", [], 0.5, "keep  the   gaps"),
 ]

@@ -91,6 +91,32 @@ def throttled(events: DataFrame, key: str = "key", every_ms: int = PROGRESS_MS)
     return _in_order(rows, key, ["t_ms", "done", "total"]).mapInPandas(run, rows.schema)
 
 
+def ring_drops(events: DataFrame, capacity: int, key: str = "session") -> DataFrame:
+    """(key, written, dropped) samples of a bounded buffer: writes (n) beyond its capacity lose their newest samples, reads take up to n."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, level, written, dropped = None, 0, 0, 0
+        names = [key, "written", "dropped"]
+        for batch in batches:
+            out = []
+            for k, _, is_write, n in batch.itertuples(index=False):
+                if k != of:
+                    if of is not None:
+                        out.append((of, written, dropped))
+                    of, level, written, dropped = k, 0, 0, 0
+                if is_write:
+                    taken = min(n, capacity - level)
+                    level, written, dropped = level + taken, written + taken, dropped + n - taken
+                else:
+                    level -= min(n, level)
+            yield pd.DataFrame(out, columns=names)
+        if of is not None:
+            yield pd.DataFrame([(of, written, dropped)], columns=names)
+
+    rows = events.select(key, F.col("seq").cast("long").alias("seq"), "is_write", F.col("n").cast("long").alias("n")).filter(F.col(key).isNotNull())
+    return _in_order(rows, key, ["seq"]).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, written long, dropped long")
+
+
 def percentage(done, total) -> Column:
     """H4: 0 where the total is 0."""
     d, t = (F.col(c) if isinstance(c, str) else c for c in (done, total))

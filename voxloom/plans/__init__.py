@@ -1 +1 @@
-"""plans of the engine."""
+"""Registered queries of the engine and their oracles."""

@@ -77,6 +77,19 @@ def s5c(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.element_at("x", 1).alias("first"), F.element_at("x", -1).alias("last"))
 
 
+@query(
+    "s6_ring_drops",
+    """WITH RECURSIVE p AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type <> 'view' AS w, event_id % 500 AS k FROM events),
+    s AS (SELECT session, n, CASE WHEN w THEN least(k, 900) ELSE 0 END AS level, CASE WHEN w THEN least(k, 900) ELSE 0 END AS written, CASE WHEN w THEN k - least(k, 900) ELSE 0 END AS dropped FROM p WHERE n = 1
+     UNION ALL SELECT p.session, p.n, CASE WHEN w THEN level + least(k, 900 - level) ELSE level - least(k, level) END, written + CASE WHEN w THEN least(k, 900 - level) ELSE 0 END, dropped + CASE WHEN w THEN k - least(k, 900 - level) ELSE 0 END
+     FROM s JOIN p ON p.session = s.session AND p.n = s.n + 1)
+    SELECT session, max_by(written, n) AS written, max_by(dropped, n) AS dropped FROM s GROUP BY session""",
+)
+def s6(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.col("event_type") != "view").alias("is_write"), (F.col("event_id") % 500).alias("n"))
+    return metrics.ring_drops(e, 900)
+
+
 @query("s7_spectrum_levels")
 def s7(spark: SparkSession, d: str) -> DataFrame:
     loud = F.transform("embedding", lambda x: x.cast("float"))
