@@ -66,4 +66,44 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
 }
-ORACLES: dict[str, str] = {}
+#: All pairs by shared shingle and components by closure: for tables of the size that the oracle is run on.
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 4 THEN [array_to_string(a, ' ')]
+    ELSE list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i + 3], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 85 * (nx.n + ny.n - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id WHERE r.root < e.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(root) FROM r WHERE r.doc_id = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+"""
+
+#: CRC by its table; the capacity by bisection, a row for each step of the greedy pass.
+OP7_SQL = """
+WITH RECURSIVE
+crc_table AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce([k] || range(8), lambda a, i: xor(a // 2, (a % 2) * 3988292384)) AS v FROM range(256) AS r(k))),
+base AS (SELECT doc_id, text, coalesce(strlen(text), 0) + 1 AS size FROM documents),
+g AS (SELECT text, min(doc_id) AS head, sum(size)::BIGINT AS bytes FROM base GROUP BY text),
+c AS (SELECT *, (sum(bytes) OVER (ORDER BY head))::BIGINT AS cum FROM g),
+st(lo, hi, j, pos) AS (
+  SELECT greatest(max(bytes), (max(cum) + 7) // 8)::BIGINT, max(cum)::BIGINT, 0, 0::BIGINT FROM c
+  UNION ALL
+  SELECT CASE WHEN j < 8 THEN lo WHEN pos < (SELECT max(cum) FROM c) THEN (lo + hi) // 2 + 1 ELSE lo END,
+         CASE WHEN j < 8 THEN hi WHEN pos < (SELECT max(cum) FROM c) THEN hi ELSE (lo + hi) // 2 END,
+         CASE WHEN j < 8 THEN j + 1 ELSE 0 END,
+         CASE WHEN j < 8 THEN coalesce((SELECT max(cum) FROM c WHERE cum <= pos + (lo + hi) // 2), pos) ELSE 0 END
+  FROM st WHERE lo < hi OR j > 0),
+cap AS (SELECT lo AS capacity FROM st WHERE lo = hi AND j = 0 LIMIT 1),
+ends(j, pos) AS (SELECT 0, 0::BIGINT UNION ALL SELECT j + 1, (SELECT max(cum) FROM c WHERE cum <= pos + (SELECT capacity FROM cap)) FROM ends WHERE j < 7),
+sh AS (SELECT text, head, (SELECT count(*) FROM ends WHERE j > 0 AND pos <= cum - bytes) AS shard FROM c)
+SELECT b.doc_id, b.size,
+  xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, b.size - 1), lambda i: ('0x' || substr(hex(coalesce(b.text, '')), 2 * i + 1, 2))::BIGINT), lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1])), 4294967295) AS text_crc32,
+  'bytes' AS law, sh.shard, row_number() OVER (PARTITION BY shard ORDER BY head, b.doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM base b JOIN sh ON b.text IS NOT DISTINCT FROM sh.text, crc_table
+"""
+
+ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL, "op7_sharding": OP7_SQL}
