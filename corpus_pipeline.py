@@ -30,8 +30,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier accepts."""
     on_workers(spark)
-    weights = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights, keep=[c for c in docs.columns if c != "text"], with_text=True).filter("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from voxloom.session import on_workers
 
+LEAST = -(1 << 62)  # stands for a null doc_id
 #: Constants of the 64-bit finaliser used for all token hashes here.
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -32,6 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text of docs, a null id as LEAST: pandas would make whole numbers beside a null inexact."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), "text")
+
+
+def unkeyed(df: DataFrame) -> DataFrame:
+    """df with null for the ids that keyed has replaced."""
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != LEAST, F.col("doc_id")))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df after a round trip through Parquet in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -40,6 +51,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: list = []
+
+
+def hold(cache):
+    """Makes cache the only one of the caches passed here that this process keeps filled; workers go from one operator to the next."""
+    if any(other is not cache for other in _HELD):
+        import contextlib
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        for other in _HELD:
+            if other is not cache:
+                other.clear()
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has
+            ctypes.CDLL(None).malloc_trim(0)
+    _HELD[:] = [cache]
+    return cache
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, elementwise."""
     with np.errstate(over="ignore"):
@@ -86,6 +120,14 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def sample_ids(df: DataFrame, key: str, stratum: str, per_stratum: int, seed: int) -> DataFrame:
-    """At most per_stratum keys of each stratum, those of the smallest seeded hash. Each task passes on so many at most."""
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
-    return df.select(key, stratum).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_stratum).drop("_rank")
+    """At most per_stratum keys of each of a few strata, those of the smallest seeded hash.
+
+    A first cut by the strata's counts leaves about twice as many rows as are
+    wanted, however many there are, so few rows meet in a window.
+    """
+    rows = df.select(key, stratum).withColumn("_u", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53))
+    share = F.lit(0.0)
+    for value, count in rows.groupBy(stratum).count().collect():
+        share = F.when(F.col(stratum).eqNullSafe(F.lit(value)), min(1.0, (2 * per_stratum + 100) / count)).otherwise(share)
+    order = Window.partitionBy(stratum).orderBy("_u", key)
+    return rows.filter(F.col("_u") < share).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_stratum).select(key, stratum)

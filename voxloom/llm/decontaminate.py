@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.common import keyed, unkeyed
+
 N, HITS, RARE, THRESHOLD = 3, 2, 1e-3, 0.5
 BLOCK_CHARS = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -120,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = N, hits: int
     """doc_id, item_id, score, n_seeds, start_word, end_word of each pair of docs (doc_id, text) and benchmark (item_id, text) that reaches threshold."""
     schema = "doc_id long, item_id long, score double, n_seeds int, start_word long, end_word long"
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = keyed(docs)
     out = rows.limit(0).mapInPandas(lambda batches: iter(()), schema)
     for block in _blocks(benchmark, block_chars):
         items = Items(block, n)
@@ -166,10 +168,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = N, hits: int
                     found += [(doc_id, *x) for x in _matches(items, keys, of_seed, items.numbers(text), hits, threshold)]
                 if found:
                     made = pd.DataFrame(found, columns=["doc_id", "item_id", "score", "n_seeds", "start_word", "end_word"])
-                    yield made.astype({"doc_id": "Int64", "item_id": "Int64"})
+                    yield made.astype({"item_id": "Int64"})
 
         out = out.unionByName(rows.mapInPandas(scored, schema))
-    return out
+    return unkeyed(out)
 
 
 def _matches(items: Items, keys: np.ndarray, of_seed: dict[int, list[int]], numbers: np.ndarray, hits: int, threshold: float) -> Iterator[tuple]:

@@ -33,10 +33,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Hashes, mix
+from voxloom.llm.common import LEAST, Hashes, mix
 
 SAMPLES = 64
-LEAST = -(1 << 62)  # stands for a null doc_id
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

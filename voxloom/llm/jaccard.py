@@ -39,10 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm import sigtree
-from voxloom.llm.common import Hashes, mix, ngrams, written
+from voxloom.llm.common import LEAST, Hashes, hold, mix, ngrams, written
 from voxloom.llm.components import connected_components
 
-LEAST = -(1 << 62)  # stands for a null doc_id
 SPARE, RATIO, BLOCK = 1.25, 1.3, 2048
 BROADCAST_ROWS = 400_000
 _WORDS = Hashes(3)
@@ -205,12 +204,13 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, block:
     ranges = size_ranges(percent)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold(_WORDS)
         for batch in batches:
-            sets = [shingles(t, n) for t in batch["text"]]
-            keys = [set_hash(s) for s in sets]
-            yield pd.DataFrame({"_id": batch["_id"], "n": [len(s) for s in sets], "h1": [k[0] for k in keys], "h2": [k[1] for k in keys]})
+            made = [(len(s), *set_hash(s)) for s in (shingles(t, n) for t in batch["text"])]
+            yield pd.DataFrame(made, columns=["n", "h1", "h2"]).assign(_id=batch["_id"].to_numpy())[["_id", "n", "h1", "h2"]]
 
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold(_WORDS)
         seen: set[int] = set()  # of one task: copies emit once
         for batch in batches:
             for at in range(0, len(batch), 500):
@@ -253,10 +253,13 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, block:
     chosen = chosen.join(counted, "grp")
 
     def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tokens = [shingles(t, n) for t in batch["text"]]
-            good = [set_hash(s) == k for s, k in zip(tokens, zip(batch["h1"], batch["h2"], strict=True), strict=True)]
-            yield batch.drop(columns=["text"]).assign(tokens=[s.tobytes() for s in tokens])[good]  # an id may come with several texts
+        hold(_WORDS)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.iloc[at : at + 1000]
+                tokens = [shingles(t, n) for t in batch["text"]]
+                good = [set_hash(s) == k for s, k in zip(tokens, zip(batch["h1"], batch["h2"], strict=True), strict=True)]
+                yield batch.drop(columns=["text"]).assign(tokens=[s.tobytes() for s in tokens])[good]  # an id may come with several texts
 
     texts = rows.join(small(chosen), rows["_id"] == chosen["label"]).select("grp", "h1", "h2", "label", "in_group", "text")
     members = texts.mapInPandas(filled, "grp long, h1 long, h2 long, label long, in_group long, tokens binary")

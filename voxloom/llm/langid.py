@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import sample_ids
+from voxloom.llm.common import keyed, sample_ids, unkeyed
 from voxloom.llm.quality import remainder
 
 BITS, ORDERS = 15, (1, 2, 3, 4)
@@ -112,7 +112,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, *, bits: int
                 score[part] = np.clip((decided[np.arange(len(part)), best] + 1) / 2, 0, 1)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": score})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return unkeyed(keyed(docs).mapInPandas(run, "doc_id long, lang_pred string, score double"))
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

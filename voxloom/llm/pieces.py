@@ -25,7 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from voxloom.llm.common import hold, keyed, unkeyed
 
 MARK = "▁"
 AT_ONCE = 1000  # rows of a result batch
@@ -220,6 +221,11 @@ class PieceModel:
             self.segments[segment] = made
         return made
 
+    def clear(self) -> None:
+        """Forgets what is remembered of texts."""
+        for kept in (self.segments, self.older, self.compatible, self.odd):
+            kept.clear()
+
     def split(self, text: str) -> list[str]:
         return self.segment.findall(MARK + text.replace(" ", MARK))
 
@@ -290,7 +296,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep_ids: bool = True)
         model_bytes = spark.sparkContext.broadcast(f.read())  # half a MB, whatever the input
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = loaded(model_bytes.value)
+        model = hold(loaded(model_bytes.value))
         sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
         for whole in batches:
             for at in range(0, len(whole), AT_ONCE):
@@ -306,4 +312,4 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep_ids: bool = True)
                 yield made
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInPandas(run, schema)
+    return unkeyed(keyed(docs).mapInPandas(run, schema))

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Hashes, ngrams, sample_ids
+from voxloom.llm.common import Hashes, hold, ngrams, sample_ids
 
 BITS = 18
 PER_CLASS = 1000
@@ -93,6 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, per_class: int
     chosen = sample_ids(usable, "doc_id", "quality", per_class, seed)  # two strata: a few thousand rows at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold(_SHAPES)
         for batch in batches:
             made = [features(t, bits) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "bins": [m[0] for m in made], "value": [m[1] for m in made]})
@@ -104,24 +105,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, per_class: int
     return train([(np.array(r.bins), np.array(r.value), r.quality) for r in rows], bits)
 
 
-def score(docs: DataFrame, weights: np.ndarray, *, bits: int = BITS, threshold: float = THRESHOLD, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
-    """Columns `keep` of docs (doc_id unless said), text if with_text, then score and predicted."""
-    keep = keep or ["doc_id"]
-    model = docs.sparkSession.sparkContext.broadcast(weights)  # 4 << bits bytes
+def scorer(spark: SparkSession, weights: np.ndarray, bits: int = BITS):
+    """A column function of text to score."""
+    model = spark.sparkContext.broadcast(weights)  # 4 << bits bytes
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = model.value
+        hold(_SHAPES)
         for batch in batches:
-            sums = np.array([float(w[i] @ x) for i, x in (features(t, bits) for t in batch["_text"])])
-            made = batch.rename(columns={"_text": "text"}) if with_text else batch.drop(columns="_text")
-            made["score"] = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-            made["predicted"] = (made["score"] >= threshold).astype("int32")
-            yield made
+            sums = np.array([float(w[i] @ x) for i, x in (features(t, bits) for t in batch)], np.float64)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
 
-    source = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = [("text" if c == "_text" else c, t) for c, t in source.dtypes if c != "_text" or with_text]
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds) + ", score double, predicted int"
-    return source.mapInPandas(run, schema)
+    return run
 
 
 def remainder(of: int) -> F.Column:
@@ -132,4 +128,10 @@ def remainder(of: int) -> F.Column:
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs. Learns from rows that aren't held out."""
     weights = fit(docs, labels.filter(remainder(4) != 2), **options)
-    return score(docs.select("doc_id", "text"), weights).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs.sparkSession, weights)("text").alias("score"))
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The rows of docs, with their columns, that score THRESHOLD or more."""
+    return docs.filter(scorer(docs.sparkSession, weights)("text") >= THRESHOLD)

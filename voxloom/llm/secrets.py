@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.common import keyed, unkeyed
+
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -144,7 +146,7 @@ def scan(docs: DataFrame, *, threshold: float = THRESHOLD, markov: Markov | None
             made.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield made
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    return unkeyed(keyed(docs).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"))
 
 
 def masked(docs: DataFrame, *, threshold: float = THRESHOLD, mask: str = MASK, markov: Markov | None = None, **options) -> DataFrame:
@@ -159,9 +161,10 @@ def masked(docs: DataFrame, *, threshold: float = THRESHOLD, mask: str = MASK, m
                 at = b
         return "".join([*out, text[at:]]) if out else text
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.assign(text=[clean(t) for t in batch["text"]])
+            yield batch.map(clean, na_action="ignore")
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = docs.withColumn("text", run("text"))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -24,9 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import written
+from voxloom.llm.common import LEAST, written
 
-LEAST = -(1 << 62)  # stands for a null doc_id
 
 
 def greedy_ends(capacity: int, shards: int, total: int, end_of) -> list[int] | None:
