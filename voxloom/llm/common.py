@@ -85,7 +85,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hashes(dict):
     """64-bit hashes of byte words, remembered up to a bound of entries."""
 
-    def __init__(self, seed: int = 0, most: int = 250_000) -> None:
+    def __init__(self, seed: int = 0, most: int = 200_000) -> None:
         import xxhash
 
         super().__init__()

@@ -66,7 +66,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """A merge-type SentencePiece model read from its file's bytes."""
 
-    def __init__(self, data: bytes, most_segments: int = 250_000) -> None:
+    def __init__(self, data: bytes, most_segments: int = 160_000) -> None:
         import struct
 
         import ahocorasick
@@ -158,7 +158,7 @@ class PieceModel:
         """Whether piece b may follow piece a: their characters merge to a and b again."""
         known = self.compatible.get((a, b))
         if known is None:
-            if len(self.compatible) > 400_000:
+            if len(self.compatible) > 300_000:
                 self.compatible.clear()
             known = self.compatible[a, b] = self.merged(a + b) == [a, b]
         return known

@@ -40,7 +40,7 @@ class Shapes(dict):
         self.hashes, self.shapes = Hashes(9, 50_000), Hashes(10, 50_000)
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= 250_000:
+        if len(self) >= 180_000:
             self.clear()
         shape = "".join(["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]])
         made = self.hashes[word.lower().encode()], self.shapes[_RUN.sub(r"\1", shape).encode()]
