@@ -16,6 +16,7 @@ from voxloom.session import on_workers
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BROADCAST_IDS = 1_000_000
+REMEMBER = 160_000  # segments; workers of the pipeline have other stages' memory to carry
 
 #: The stages include classifiers, alignment and tokenization, which SQL can't express.
 ORACLE_SQL = None
@@ -55,7 +56,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and their digests."""
     on_workers(spark)
-    return pieces.encode_documents(docs, public_tokenizers.path(PIECE_MODEL))
+    return pieces.encode_documents(docs, public_tokenizers.path(PIECE_MODEL), remember=REMEMBER)
 
 
 STAGES = [

@@ -30,6 +30,7 @@ from voxloom.llm.common import hold, keyed, unkeyed
 
 MARK = "▁"
 AT_ONCE = 1000  # rows of a result batch
+REMEMBER = 350_000  # segments that a worker remembers, twice at most; about 0.25 KB each
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -66,7 +67,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """A merge-type SentencePiece model read from its file's bytes."""
 
-    def __init__(self, data: bytes, most_segments: int = 160_000) -> None:
+    def __init__(self, data: bytes, most_segments: int = REMEMBER) -> None:
         import struct
 
         import ahocorasick
@@ -158,7 +159,7 @@ class PieceModel:
         """Whether piece b may follow piece a: their characters merge to a and b again."""
         known = self.compatible.get((a, b))
         if known is None:
-            if len(self.compatible) > 300_000:
+            if len(self.compatible) > 2 * self.most_segments:
                 self.compatible.clear()
             known = self.compatible[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -289,7 +290,7 @@ def loaded(data: bytes) -> PieceModel:
     return _MODELS[key]
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, *, keep_ids: bool = True, remember: int = REMEMBER) -> DataFrame:
     """doc_id, n_tokens, ids (array, unless keep_ids is false), decoded text's and ids' SHA-256 of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
@@ -297,6 +298,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, keep_ids: bool = True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = hold(loaded(model_bytes.value))
+        model.most_segments = remember
         sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
         for whole in batches:
             for at in range(0, len(whole), AT_ONCE):
