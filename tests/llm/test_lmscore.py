@@ -57,3 +57,16 @@ def test_bounded_model_and_nothing(spark):
     assert len(model.words) == 2 and len(model.keys) <= 1
     assert lmscore.scores(docs.limit(0), docs.limit(0).select("doc_id")).count() == 0
     assert all(np.isfinite(r.score) for r in lmscore.scores(docs, docs.limit(0).select("doc_id")).collect())
+
+
+def test_mid_frequency_words_count_in_any_vocabulary(spark):
+    """9,000 words of one count each: none of them is cut, in any number of chunks."""
+    of = lambda side, i: " ".join(f"{side}{(i * 50 + j) % 4500}" for j in range(100))
+    docs = spark.createDataFrame([(i, of("t" if i % 2 else "b", i // 2)) for i in range(360)], "doc_id long, text string").repartition(3)
+    targets = docs.filter("doc_id % 2 = 1 AND doc_id < 300").select("doc_id")
+    whole = {r.doc_id: r for r in lmscore.scores(docs, targets).collect()}
+    apart = {r.doc_id: r for r in lmscore.scores(docs, targets, chunk=700, block=300).collect()}
+    assert all(r.score < -0.1 for i, r in whole.items() if i % 2 and i < 300)
+    assert all(r.score > 0.1 for i, r in whole.items() if not i % 2)
+    assert set(whole) == set(apart) == set(range(360))
+    assert all(np.isclose(whole[i].score, apart[i].score) and whole[i].n_words == apart[i].n_words for i in whole)
