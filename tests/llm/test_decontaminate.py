@@ -56,3 +56,13 @@ def test_an_item_in_every_document_is_found(spark):
     docs = spark.createDataFrame([(i, f"start{i} {item} end{i}") for i in range(50)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {r.doc_id for r in d.contaminated(docs, bench).collect()} == set(range(50))
+
+
+def test_edited_copies_are_found_however_many(spark):
+    """Every fifth word changed: 14 of 38 seeds are left, in one document of few and in a hot group."""
+    item = [f"q{j}" for j in range(40)]
+    copy = " ".join("changed" if j % 5 == 2 else w for j, w in enumerate(item))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for copies in (1, 11):
+        docs = spark.createDataFrame([(i, f"start{i} {copy if i < copies else 'other words'} end{i}") for i in range(50)], "doc_id long, text string")
+        assert {(r.doc_id, r.score) for r in d.contaminated(docs, bench).collect()} == {(i, 0.7) for i in range(copies)}

@@ -1,13 +1,13 @@
-"""Operator 2: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 2: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 Words are maximal runs of letters, digits and underscores, lower-cased. Seeds are
-the benchmark items' word n-grams (n = `n`, shorter items whole) that are rare in
-the training documents: those in no more documents than the item's median seed
-is, and all in less than `rare` of the documents, counted over all of them. So
-each item keeps half of its seeds at least, however often it has leaked.
+all of the benchmark items' word n-grams (n = `n`, shorter items whole), however
+often they come in the documents. So no part of an item loses its seeds, and how
+often an item has leaked has no bearing on what is found.
 
 A document and an item that share `hits` different seeds (one for items with
-few seeds) near each other are aligned: Smith-Waterman over words, match 2,
+few seeds) near each other are aligned, unless they have too few words in common
+for any alignment to reach the threshold: Smith-Waterman over words, match 2,
 mismatch -1, gap -1, in the window around the seeds. The score is the best
 alignment's share of a perfect one, 2 for each word of the item; pairs that
 reach `threshold` are contaminated.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import keyed, unkeyed
 
-N, HITS, RARE, THRESHOLD = 3, 2, 1e-3, 0.5
+N, HITS, THRESHOLD = 3, 2, 0.5
 BLOCK_CHARS = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"\w+")
@@ -118,7 +118,7 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int |
             yield found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = N, hits: int = HITS, rare: float = RARE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = N, hits: int = HITS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, score, n_seeds, start_word, end_word of each pair of docs (doc_id, text) and benchmark (item_id, text) that reaches threshold."""
     schema = "doc_id long, item_id long, score double, n_seeds int, start_word long, end_word long"
     context = docs.sparkSession.sparkContext
@@ -127,37 +127,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = N, hits: int
     for block in _blocks(benchmark, block_chars):
         items = Items(block, n)
         shared = context.broadcast(items)  # of block_chars characters
-        every = np.unique(np.concatenate(items.seeds))
-        keys = context.broadcast(every)
-
-        def counted(batches: Iterator[pd.DataFrame], shared=shared, keys=keys) -> Iterator[pd.DataFrame]:
-            items, keys = shared.value, keys.value
-            count, seen = np.zeros(len(keys), np.int64), 0
-            for batch in batches:
-                for text in batch["text"]:
-                    numbers = items.numbers(text)
-                    seen += 1
-                    for m in items.lengths:
-                        found = items.keys(numbers, m)
-                        found = np.unique(found[found >= 0])
-                        at = np.searchsorted(keys, found)
-                        at[at == len(keys)] = 0
-                        count[at[keys[at] == found]] += 1
-            some = np.flatnonzero(count)
-            yield pd.DataFrame({"seed": np.append(some, -1), "n": np.append(count[some], seen)})
-
-        frequency = np.zeros(len(every), np.int64)
-        n_docs = 0
-        for r in rows.select("text").mapInPandas(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a row for each seed of the block
-            if r.seed < 0:
-                n_docs = r.n
-            else:
-                frequency[r.seed] = r.n
         of_seed: dict[int, list[int]] = defaultdict(list)
         for k, seeds in enumerate(items.seeds):
-            often = frequency[np.searchsorted(every, seeds)]
-            for key in seeds[(often <= np.median(often)) | (often <= rare * n_docs)]:
-                of_seed[int(key)].append(k)
+            for key in seeds.tolist():
+                of_seed[key].append(k)
         chosen = context.broadcast((np.array(sorted(of_seed), np.int64), dict(of_seed)))
 
         def scored(batches: Iterator[pd.DataFrame], shared=shared, chosen=chosen) -> Iterator[pd.DataFrame]:
@@ -201,6 +174,8 @@ def _matches(items: Items, keys: np.ndarray, of_seed: dict[int, list[int]], numb
             if seeds < needed:
                 continue
             low, high = max(0, part[0][0] - len(item)), min(len(numbers), part[-1][0] + 2 * len(item))
+            if _common(item, numbers[low:high]) < threshold * len(item):  # 2 a word at most: no alignment reaches the threshold
+                continue
             score, a, b = _windowed(item, numbers[low:high])
             if score > best[0]:
                 best = (score, seeds, low + a, low + b)
@@ -208,6 +183,14 @@ def _matches(items: Items, keys: np.ndarray, of_seed: dict[int, list[int]], numb
             yield items.ids[k], best[0] / (MATCH * len(item)), *best[1:]
 
 
+def _common(item: np.ndarray, window: np.ndarray) -> int:
+    """How many words the two have in common, each as often as both have it."""
+    words, count = np.unique(item, return_counts=True)
+    at = np.searchsorted(words, window)
+    at[at == len(words)] = 0
+    return int(np.minimum(count, np.bincount(at[words[at] == window], minlength=len(words))).sum())
+
+
 def _windowed(item: np.ndarray, window: np.ndarray, most: int = 20_000) -> tuple[int, int, int]:
     """As aligned, but over overlapping parts of a very long window, which loses nothing: an alignment is no longer than twice the item and more."""
     overlap = 4 * len(item)
