@@ -22,10 +22,20 @@ REMEMBER = 160_000  # segments; workers of the pipeline have other stages' memor
 ORACLE_SQL = None
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """docs and `_row`: doc_id, or where that is null a number of the row's own, above the ids in use."""
+    unnamed = written(docs.filter("doc_id IS NULL").withColumn("_row", F.lit(1 << 62) + F.monotonically_increasing_id()), "without-id")
+    return docs.filter("doc_id IS NOT NULL").withColumn("_row", F.col("doc_id").cast("long")).unionByName(unnamed)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("_row").alias("doc_id"), "text")
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is in ids (doc_id)."""
-    ids = written(ids.filter("doc_id IS NOT NULL").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+    """docs (told apart) but those whose _row is in ids (doc_id), without _row."""
+    ids = written(ids.select(F.col("doc_id").alias("_row")).distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_row", "left_anti").drop("_row").select(*[c for c in docs.columns if c != "_row"])
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +45,17 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near-duplicates: five words, similarity of 0.8 or more."""
+    """Keeps the least doc_id of each group of near-duplicates, or one row of a group without any: five words, similarity of 0.8 or more."""
     on_workers(spark)
-    found = jaccard.jaccard_components(docs, n=5, percent=80)
+    docs = _told_apart(docs)
+    found = jaccard.jaccard_components(_rows(docs), n=5, percent=80)
     return _without(docs, found.filter("component_id < doc_id").select("doc_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    docs = _told_apart(docs)
+    found = decontaminate.contaminated(_rows(docs), table(spark, sf_dir, "benchmark"))
     return _without(docs, found.select("doc_id"))
 
 

@@ -52,3 +52,15 @@ def test_stages_keep_the_columns(spark, tables):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, tables[0]).schema.simpleString() == docs.schema.simpleString(), name
         assert stage(spark, docs.limit(0), tables[0]).count() == 0, name
+
+
+def test_rows_without_id(spark, tables):
+    """Groups with null ids keep one row, and contaminated rows without id go."""
+    item = spark.read.parquet(f"{tables[0]}/benchmark.parquet").first().text
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(7, text(1)), (None, text(1)), (5, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (None, None), (None, None), (8, f"a {item} b"), (None, f"c {item} d")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    found = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=key)
+    assert found(corpus_pipeline.deduplicated(spark, docs.limit(8), tables[0])) == sorted([(5, text(1)), (None, text(2)), (None, text(3)), (None, None), (None, None)], key=key)
+    assert found(corpus_pipeline.decontaminated(spark, docs, tables[0])) == sorted(rows[:8], key=key)
