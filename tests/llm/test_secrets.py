@@ -37,3 +37,19 @@ def test_rows(spark):
     clean = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
     assert key not in clean[3] and "0f0f" not in clean[3] and clean[2] == texts[2] and clean[0] is None
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_long_runs_and_what_patterns_leave_of_a_run():
+    rng = random.Random(5)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda n: "".join(rng.choice(mixed) for _ in range(n))
+    words = ["plain", "words", "of", "ordinary", "names", "and", "things", "Here", "internationalization"]
+    model = secrets.Markov([drawn(40) for _ in range(500)], words * 50)
+    for n in (512, 513, 1600):
+        assert secrets.spans_of(f"key {drawn(n)} end", model, 0.4) == [(4, 3, 4 + n)]
+    tail = "Z" + drawn(39)
+    assert secrets.spans_of("0f1e" * 6 + tail, model, 0.4) == [(0, 2, 24), (24, 3, 64)]
+    assert secrets.spans_of("_".join(words * 60), model, 0.4) == []
+    path = "_".join(words * 30)
+    (a, kind, b), = secrets.spans_of(path + drawn(1600), model, 0.4)
+    assert kind == 3 and abs(a - len(path)) < 512 and b == len(path) + 1600

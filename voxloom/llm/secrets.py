@@ -7,10 +7,13 @@ match, in code points, end exclusive):
 - access: `AKIA` and capitals or digits, 20 or more characters in all;
 - hex: a maximal run of `[0-9a-f]` of 24 or more characters.
 
-The method adds `markov` spans: maximal runs of `[A-Za-z0-9+/_=-]` of 16 to 512
-characters with characters of two classes at least (capitals, small letters,
-digits), outside the spans above, whose mean log-likelihood ratio between two
-first-order character Markov models is over `threshold`. One model is trained on
+The method adds `markov` spans: what the spans above leave of maximal runs of
+`[A-Za-z0-9+/_=-]`, in pieces of 16 or more characters with characters of two
+classes at least (capitals, small letters, digits), whose mean log-likelihood
+ratio between two first-order character Markov models is over `threshold`.
+Pieces of over 512 characters are scored so in windows of 512, each half over
+the one before; windows over the threshold that touch make one span.
+One model is trained on
 random strings, the other on ordinary identifiers; the labelled samples are
 values of pattern matches and plain words of a bounded sample of documents
 (`sample` rows of the smallest seeded hash of doc_id), and random strings drawn
@@ -116,6 +119,25 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, seed: int = 6) -> Markov:
     return Markov(random + [s for r in rows for s in r.secret], [w for r in rows for w in r.plain] + ["snake_case_name", "camelCaseName", "SCREAMING_CASE", "path/to/file", "kebab-case-name"])
 
 
+def _left(a: int, b: int, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What spans in order leave of a run, in pieces of SHORTEST or more."""
+    for x, _, y in found:
+        if x < b and a < y:
+            if x - a >= SHORTEST:
+                yield a, x
+            a = max(a, y)
+    if b - a >= SHORTEST:
+        yield a, b
+
+
+def _windows(a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The piece itself, or overlapping windows of LONGEST that cover it."""
+    while b - a > LONGEST:
+        yield a, a + LONGEST
+        a = min(a + LONGEST // 2, b - LONGEST)
+    yield a, b
+
+
 def spans_of(text: str | None, markov: Markov, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """All spans of a text: those of the patterns, and those that the models add."""
     if not text:
@@ -124,9 +146,14 @@ def spans_of(text: str | None, markov: Markov, threshold: float = THRESHOLD) ->
     found = base_spans(text, classes)
     added = []
     for a, b in runs((classes & 1).astype(bool), SHORTEST):
-        part = classes[a:b]
-        if b - a <= LONGEST and sum(bool((part >> k & 1).any()) for k in (1, 2, 3)) >= 2 and not any(x < b and a < y for x, _, y in found) and markov.score(points[a:b]) > threshold:
-            added.append((a, 3, b))
+        for start, end in _left(a, b, found):
+            for x, y in _windows(start, end):
+                part = classes[x:y]
+                if sum(bool((part >> k & 1).any()) for k in (1, 2, 3)) >= 2 and markov.score(points[x:y]) > threshold:
+                    if added and start <= added[-1][0] and x <= added[-1][2]:
+                        added[-1] = (added[-1][0], 3, y)
+                    else:
+                        added.append((x, 3, y))
     return sorted(found + added) if added else found
 
 
