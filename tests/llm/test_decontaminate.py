@@ -66,3 +66,53 @@ def test_edited_copies_are_found_however_many(spark):
     for copies in (1, 11):
         docs = spark.createDataFrame([(i, f"start{i} {copy if i < copies else 'other words'} end{i}") for i in range(50)], "doc_id long, text string")
         assert {(r.doc_id, r.score) for r in d.contaminated(docs, bench).collect()} == {(i, 0.7) for i in range(copies)}
+
+
+def test_any_n_and_many_items():
+    """Keys of 5 and 8 words over a large vocabulary: no seed is lost, and verbatim copies are found."""
+    rng = random.Random(3)
+    items = [(k, " ".join(f"w{rng.randrange(19_000)}" for _ in range(30))) for k in range(2000)]
+    for n in (3, 5, 8):
+        block = d.Items(items, n)
+        assert len(block.of) == sum(31 - n for _ in items) and block.seed.sum() == len(block.of) - len(items)
+        for k, text in items[:: 40]:
+            found = [x[0] for x in d._matches(block, d.hashed(f"before {text} after"), 0.5)]
+            assert found == [k]
+
+
+def test_equal_items_and_seeds_that_many_items_have(spark):
+    stem = "which of the following is true of"
+    bench = spark.createDataFrame([(k, f"{stem} t{k} u{k} v{k} x{k}") for k in range(200)] + [(900, f"{stem} t7 u7 v7 x7")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {stem} t7 u7 v7 x7 b"), (2, f"a {stem} y z and other things")], "doc_id long, text string")
+    out = {(r.doc_id, r.item_id): r.score for r in d.contaminated(docs, bench).collect()}
+    assert out[1, 7] == out[1, 900] == 1.0
+    want = {(i, k) for i, text in ((1, f"a {stem} t7 u7 v7 x7 b"), (2, f"a {stem} y z and other things")) for k in [*range(200), 900] if brute([*stem.split(), *(f"{c}{7 if k == 900 else k}" for c in "tuvx")], text.split()) >= 11}
+    assert set(out) == want
+
+
+def test_whole_query_equals_brute_force(spark):
+    """Without edits that leave no seed: every pair that aligns well enough is found, with its best score."""
+    rng = random.Random(5)
+    word = lambda: f"w{min(int(rng.expovariate(0.05)), 400)}"
+    items = [(k, [word() for _ in range(rng.randint(6, 20))]) for k in range(25)]
+    rows = []
+    for i in range(80):
+        text = [word() for _ in range(rng.randint(0, 60))]
+        if i % 2:
+            copy = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = "edited"
+            at = rng.randint(0, len(text))
+            text[at:at] = copy
+        rows.append((i, text))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r.score for r in d.contaminated(docs, bench).collect()}
+    grams = lambda t: {tuple(t[j : j + 3]) for j in range(len(t) - 2)}
+    want = {}
+    for i, text in rows:
+        for k, item in items:
+            if len(grams(item) & grams(text)) >= (2 if len(grams(item)) > 4 else 1) and (score := brute(item, text)) >= len(item):
+                want[i, k] = score / (2 * len(item))
+    assert out.keys() >= {x for x, s in want.items() if s > 0.6} and out.keys() <= want.keys()
+    assert all(out[x] <= want[x] for x in out) and sum(out[x] == want[x] for x in out) >= 0.95 * len(out)

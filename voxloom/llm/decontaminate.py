@@ -1,23 +1,27 @@
 """Operator 2: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-Words are maximal runs of letters, digits and underscores, lower-cased. Seeds are
-all of the benchmark items' word n-grams (n = `n`, shorter items whole), however
-often they come in the documents. So no part of an item loses its seeds, and how
-often an item has leaked has no bearing on what is found.
-
-A document and an item that share `hits` different seeds (one for items with
-few seeds) near each other are aligned, unless they have too few words in common
-for any alignment to reach the threshold: Smith-Waterman over words, match 2,
-mismatch -1, gap -1, in the window around the seeds. The score is the best
-alignment's share of a perfect one, 2 for each word of the item; pairs that
-reach `threshold` are contaminated.
-
-The benchmark is taken in blocks of a bounded number of characters; each block's
-words and seeds go to every task, and the documents are read for each block.
+Words are maximal runs of letters, digits and underscores, lower-cased. The n-grams
+of an item (n = `n`, shorter items whole) are ranked by how many items have them;
+a candidate needs `hits` different ones (one for items with few) near each other.
+So the rarest of an item's n-grams, all but `hits` - 1, are seeds that join it to
+documents (any `hits` n-grams hold one of these), and the others are only counted
+where a seed has been found. Rarity is that among the items: how often an item has
+leaked into documents has no bearing on what is found, and no part of it is left
+without seeds.
+
+Candidates are aligned, unless they have too few words in common for any alignment
+to reach the threshold: Smith-Waterman over words, match 2, mismatch -1, gap -1, in
+the window around the seeds. The score is the best alignment's share of a perfect
+one, 2 for each word of the item; pairs that reach `threshold` are contaminated.
+
+Words and n-grams stand as 64-bit hashes; n may be any number. The benchmark is
+taken in blocks of a bounded number of characters; each block goes to every task
+(about 5 bytes a character), and the documents are read once for each block. Items
+of the same words are aligned once.
 
 Defined cases: null or empty texts and items match nothing; a null item_id or
 doc_id is kept as it is; repeated rows are repeated in the result; texts of any
-length are read whole; an empty side gives no rows.
+length are read whole; an empty side gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,18 +35,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import keyed, unkeyed
+from voxloom.llm.common import Hashes, hold, keyed, ngrams, unkeyed
+from voxloom.session import on_workers
 
 N, HITS, THRESHOLD = 3, 2, 0.5
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"\w+")
+_HASHES = Hashes(2)
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def hashed(text: str | None) -> np.ndarray:
+    """The words of a text, hashed."""
+    return _HASHES.array([w.encode("utf-8", "replace") for w in words(text)])
+
+
 def aligned(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     """(score, start, end) of the best local alignment of item in window (start and end of the window's part)."""
     w = len(window)
@@ -72,38 +83,56 @@ def aligned(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of benchmark items: word numbers (from 1), the items as numbers, and their seeds' keys."""
+    """A block of benchmark items as hashed words, each once, with the ids that have it; and their n-grams by key."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], n: int = N) -> None:
-        self.n, self.vocabulary = n, {}
-        number = self.vocabulary.setdefault
-        self.ids, self.items, self.seeds = [], [], []
+    def __init__(self, rows: list[tuple[int | None, str]], n: int = N, hits: int = HITS) -> None:
+        self.n, self.ids, self.items = n, [], []
+        place: dict[bytes, int] = {}
         for item_id, text in rows:
-            found = np.array([number(w, len(self.vocabulary) + 1) for w in words(text)], np.int64)
-            if len(found):
-                self.ids.append(item_id)
+            found = hashed(text)
+            if not len(found):
+                continue
+            k = place.setdefault(found.tobytes(), len(self.items))
+            if k == len(self.items):
                 self.items.append(found)
-        self.base = len(self.vocabulary) + 1
+                self.ids.append([])
+            self.ids[k].append(item_id)
         self.lengths = sorted({min(n, len(x)) for x in self.items})
-        self.seeds = [np.unique(self.keys(x, min(n, len(x)))) for x in self.items]
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        """Numbers of a document's words; 0 for words that no item has."""
-        get = self.vocabulary.get
-        found = words(text)
-        return np.fromiter((get(w, 0) for w in found), np.int64, len(found))
-
-    def keys(self, numbers: np.ndarray, n: int) -> np.ndarray:
-        """A key for each n-word window; -1 for windows with a word that no item has."""
-        if len(numbers) < n:
-            return np.zeros(0, np.int64)
-        key, good = np.full(len(numbers) - n + 1, n, np.int64), np.ones(len(numbers) - n + 1, bool)
-        with np.errstate(over="ignore"):
-            for k in range(n):
-                part = numbers[k : len(numbers) - n + 1 + k]
-                key = key * self.base + part
-                good &= part > 0
-        return np.where(good, key, -1)
+        grams = [np.unique(ngrams(x, min(n, len(x)))) for x in self.items]
+        #: how many different n-grams a candidate needs
+        self.needed = [hits if len(g) > 2 * hits else 1 for g in grams]
+        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        keys, which, items = np.unique(every, return_inverse=True, return_counts=True)
+        order = np.lexsort((every, items[which], of))  # an item's n-grams, the rarest first
+        rank = np.empty(len(order), np.int64)
+        starts = np.cumsum([0, *(len(g) for g in grams)])[:-1] if grams else np.zeros(0, np.int64)
+        rank[order] = np.arange(len(order)) - np.repeat(starts, [len(g) for g in grams])
+        spare = np.repeat([len(g) - need + 1 for g, need in zip(grams, self.needed, strict=True)], [len(g) for g in grams])
+        seed = rank < spare
+        #: keys in order; the items of key k are of[cut[k]:cut[k + 1]], those of which it is a seed first
+        by_key = np.lexsort((~seed, which))
+        self.keys, self.of, self.seed = keys, of[by_key].astype(np.int32), seed[by_key]
+        self.cut = np.searchsorted(which[by_key], np.arange(len(keys) + 1))
+        self.bits = max(16, min(28, int(len(keys) * 16).bit_length()))
+        self.map = np.zeros(1 << self.bits, bool)  # says at once of most n-grams that no item has them
+        self.map[keys >> np.uint64(64 - self.bits)] = True
+
+    def places(self, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, number of the key) of each of a document's n-grams that an item has."""
+        at, key = [], []
+        for m in self.lengths:
+            if len(document) < m:
+                continue
+            found = ngrams(document, m)
+            p = np.flatnonzero(self.map[found >> np.uint64(64 - self.bits)])
+            if len(p):
+                k = np.searchsorted(self.keys, found[p])
+                k[k == len(self.keys)] = 0
+                good = self.keys[k] == found[p]
+                at.append(p[good])
+                key.append(k[good])
+        return (np.concatenate(at), np.concatenate(key)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
@@ -121,46 +150,42 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int |
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = N, hits: int = HITS, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, score, n_seeds, start_word, end_word of each pair of docs (doc_id, text) and benchmark (item_id, text) that reaches threshold."""
     schema = "doc_id long, item_id long, score double, n_seeds int, start_word long, end_word long"
-    context = docs.sparkSession.sparkContext
+    context = on_workers(docs.sparkSession).sparkContext
     rows = keyed(docs)
-    out = rows.limit(0).mapInPandas(lambda batches: iter(()), schema)
+    out = None
     for block in _blocks(benchmark, block_chars):
-        items = Items(block, n)
-        shared = context.broadcast(items)  # of block_chars characters
-        of_seed: dict[int, list[int]] = defaultdict(list)
-        for k, seeds in enumerate(items.seeds):
-            for key in seeds.tolist():
-                of_seed[key].append(k)
-        chosen = context.broadcast((np.array(sorted(of_seed), np.int64), dict(of_seed)))
-
-        def scored(batches: Iterator[pd.DataFrame], shared=shared, chosen=chosen) -> Iterator[pd.DataFrame]:
-            items, (keys, of_seed) = shared.value, chosen.value
+        shared = context.broadcast(Items(block, n, hits))  # of block_chars characters
+
+        def scored(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            items = shared.value
+            hold(_HASHES)
             for batch in batches:
                 found = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    found += [(doc_id, *x) for x in _matches(items, keys, of_seed, items.numbers(text), hits, threshold)]
+                    found += [(doc_id, *x) for x in _matches(items, hashed(text), threshold)]
                 if found:
                     made = pd.DataFrame(found, columns=["doc_id", "item_id", "score", "n_seeds", "start_word", "end_word"])
                     yield made.astype({"item_id": "Int64"})
 
-        out = out.unionByName(rows.mapInPandas(scored, schema))
-    return unkeyed(out)
+        part = rows.mapInPandas(scored, schema)
+        out = part if out is None else out.unionByName(part)
+    return unkeyed(rows.limit(0).mapInPandas(lambda batches: iter(()), schema) if out is None else out)
 
 
-def _matches(items: Items, keys: np.ndarray, of_seed: dict[int, list[int]], numbers: np.ndarray, hits: int, threshold: float) -> Iterator[tuple]:
+def _matches(items: Items, document: np.ndarray, threshold: float) -> Iterator[tuple]:
     """(item_id, score, seeds, start, end) of the items that a document holds; the best place of each."""
+    at, key = items.places(document)
+    candidates = {int(k) for x in np.unique(key) for k in items.of[items.cut[x] : items.cut[x + 1]][items.seed[items.cut[x] : items.cut[x + 1]]]}
+    if not candidates:
+        return
     places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for m in items.lengths:
-        found = items.keys(numbers, m)
-        at = np.searchsorted(keys, found)
-        at[at == len(keys)] = 0
-        for p in np.flatnonzero((found >= 0) & (keys[at] == found)).tolist() if len(keys) else ():
-            for k in of_seed[int(found[p])]:
-                places[k].append((p, int(found[p])))
+    for p, x in zip(at.tolist(), key.tolist(), strict=True):
+        for k in items.of[items.cut[x] : items.cut[x + 1]].tolist():
+            if k in candidates:
+                places[k].append((p, x))
     for k, where in places.items():
-        item = items.items[k]
-        needed = hits if len(items.seeds[k]) > 2 * hits else 1
-        if len({key for _, key in where}) < needed:
+        item, needed = items.items[k], items.needed[k]
+        if len({x for _, x in where}) < needed:
             continue
         where.sort()
         best = (0, 0, 0, 0)
@@ -170,17 +195,18 @@ def _matches(items: Items, keys: np.ndarray, of_seed: dict[int, list[int]], numb
                 continue
             part = where[start:j]
             start = j
-            seeds = len({key for _, key in part})
+            seeds = len({x for _, x in part})
             if seeds < needed:
                 continue
-            low, high = max(0, part[0][0] - len(item)), min(len(numbers), part[-1][0] + 2 * len(item))
-            if _common(item, numbers[low:high]) < threshold * len(item):  # 2 a word at most: no alignment reaches the threshold
+            low, high = max(0, part[0][0] - len(item)), min(len(document), part[-1][0] + 2 * len(item))
+            if _common(item, document[low:high]) < threshold * len(item):  # 2 a word at most: no alignment reaches the threshold
                 continue
-            score, a, b = _windowed(item, numbers[low:high])
+            score, a, b = _windowed(item, document[low:high])
             if score > best[0]:
                 best = (score, seeds, low + a, low + b)
         if best[0] >= threshold * MATCH * len(item):
-            yield items.ids[k], best[0] / (MATCH * len(item)), *best[1:]
+            for item_id in items.ids[k]:
+                yield item_id, best[0] / (MATCH * len(item)), *best[1:]
 
 
 def _common(item: np.ndarray, window: np.ndarray) -> int:
