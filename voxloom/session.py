@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -12,13 +14,22 @@ BATCH, DEFAULT_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch
 
 
 def on_workers(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it is not installed and not on their path.
+    """Lets Python workers import this package: by its path in local modes, elsewhere by a copy that Spark sends to the executors.
 
     Whole texts are long: unless another size is set, fewer rows go to a worker at once.
     """
     if spark.conf.get(BATCH, DEFAULT_BATCH) == DEFAULT_BATCH:
         spark.conf.set(BATCH, BATCH_ROWS)
-    env = spark.sparkContext.environment
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        if not any(name.startswith("voxloom-") for name in context._python_includes):
+            with tempfile.TemporaryDirectory() as folder:
+                with zipfile.ZipFile(f"{folder}/voxloom-package.zip", "w") as copy:
+                    for file in sorted(Path(ROOT, "voxloom").rglob("*.py")):
+                        copy.write(file, file.relative_to(ROOT))
+                context.addPyFile(f"{folder}/voxloom-package.zip")
+        return spark
+    env = context.environment
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
