@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import decontaminate, jaccard, pieces, quality, secrets
-from voxloom.llm.common import table, written
+from voxloom.llm.common import join_ids, table, written
 from voxloom.session import on_workers
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -35,7 +35,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs (told apart) but those whose _row is in ids (doc_id), without _row."""
     ids = written(ids.select(F.col("doc_id").alias("_row")).distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_row", "left_anti").drop("_row").select(*[c for c in docs.columns if c != "_row"])
+    return join_ids(docs, "_row", ids, "left_anti", BROADCAST_IDS).select(*[c for c in docs.columns if c != "_row"])
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import LEAST, Hashes, mix
+from voxloom.llm.common import LEAST, Hashes, cut_points, mix
+from voxloom.session import on_workers
 
 SAMPLES = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -130,29 +131,20 @@ def edited(text: str, after: str) -> str:
 _SAMPLERS: dict[int, Sampler] = {}
 
 
-def _ranges(ids: DataFrame, per_range: int, most: int = 100_000) -> list[int]:
-    """Lower bounds of ranges of doc_id of about per_range rows each; the first is the least id of all."""
-    count, least = ids.agg(F.count("*"), F.min("_id")).first()
-    if not count:
-        return []
-    parts = min(most, max(1, count // per_range))
-    cuts = ids.approxQuantile("_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    return sorted({least, *map(int, cuts)})
-
-
-def fingerprints(docs: DataFrame, *, samples: int = SAMPLES, per_range: int = 2000) -> DataFrame:
+def fingerprints(docs: DataFrame, *, samples: int = SAMPLES, per_range: int = 500, most_ranges: int = 100_000) -> DataFrame:
     """A row for each row of docs (doc_id, text): fingerprints of its text and edited text, and their likenesses."""
-    spark = docs.sparkSession
+    spark = on_workers(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bounds = _ranges(rows.select("_id"), per_range)
-    cuts = spark.sparkContext.broadcast(np.array(bounds, np.int64))  # 8 bytes for per_range documents, 100,000 at most
+    count = rows.count()
+    bounds = cut_points(rows, "_id", count, min(most_ranges, -(-count // per_range)))
+    cuts = spark.sparkContext.broadcast(bounds)  # 8 bytes for per_range documents, most_ranges at most
 
     def ranged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"range": np.searchsorted(cuts.value, batch["_id"].to_numpy(), "right") - 1, "_id": batch["_id"]})
 
     # the first document of each range: ids alone, then the least text of that id
-    firsts = {r["range"]: r["first"] for r in rows.select("_id").mapInPandas(ranged, "range long, _id long").groupBy("range").agg(F.min("_id").alias("first")).collect()} if bounds else {}
+    firsts = {r["range"]: r["first"] for r in rows.select("_id").mapInPandas(ranged, "range long, _id long").groupBy("range").agg(F.min("_id").alias("first")).collect()} if len(bounds) else {}
     order = sorted(firsts)
     follows = {firsts[b]: a for a, b in zip(order, [*order[1:], *order[:1]], strict=True)}  # the last is followed by the first
     leads = spark.sparkContext.broadcast(follows)
@@ -191,6 +183,6 @@ def fingerprints(docs: DataFrame, *, samples: int = SAMPLES, per_range: int = 20
                 made["doc_id"] = made["doc_id"].astype("Int64").mask(made["doc_id"] == LEAST)
                 yield made
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    moved = rows.mapInPandas(dealt, "range long, tail int, _id long, text string").repartition(max(parts, 1), "range").sortWithinPartitions("range", "tail", "_id", "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(bounds) // 16)  # ranges of a few thousand documents to a task
+    moved = rows.mapInPandas(dealt, "range long, tail int, _id long, text string").repartition(parts, "range").sortWithinPartitions("range", "tail", "_id", "text")
     return moved.mapInPandas(finish, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

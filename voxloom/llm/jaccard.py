@@ -18,10 +18,15 @@ components of the links; every link between different texts is found.
    one token, which say little, are not emitted, nor are empty ones.
    Signatures that different sets share join these to candidate groups.
 3. Within a group, signature trees and their dual traversal find the links. A
-   group of more than `block` sets is cut into blocks: trees join each block,
-   representatives of what has been merged are joined again in new blocks, and
-   at last all pairs of blocks that aren't wholly in one component are walked.
-   So no task holds more than two blocks, whatever the size of a group.
+   group of more than `block` sets (or that many times BYTES) is cut into blocks:
+   trees join each block, representatives of what has been merged are joined again
+   in new blocks, and at last all pairs of blocks of sets of like sizes that aren't
+   wholly in one component are walked. So no task holds more than two blocks,
+   whatever the size of a group.
+
+Hot groups: copies emit once in a task; of sets of a batch that share a signature,
+only one emits it, and the others an edge to that one (as a signature that only the
+two have); links and copies of hot sets are joined by broadcast of their few keys.
 
 64-bit hashes stand for shingles. Defined cases: a null text or one without
 words has an empty set and is a component of its own; a null doc_id is a
@@ -39,11 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm import sigtree
-from voxloom.llm.common import LEAST, Hashes, hold, mix, ngrams, written
+from voxloom.llm.common import LEAST, Hashes, hold, hot_join, join_ids, mix, ngrams, written
 from voxloom.llm.components import connected_components
+from voxloom.session import on_workers
 
-SPARE, RATIO, BLOCK = 1.25, 1.3, 2048
+SPARE, RATIO, BLOCK, BYTES = 1.25, 1.3, 2048, 16_384
 BROADCAST_ROWS = 400_000
+SIZE_STEP = 0.16  # of the logarithm of sizes
 _WORDS = Hashes(3)
 
 
@@ -95,6 +102,20 @@ def signatures(tokens: np.ndarray, percent: int, ranges: list[tuple[int, int, in
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
+def _shared_once(sig: np.ndarray, node: np.ndarray) -> dict[str, np.ndarray]:
+    """Signatures of nodes, each for one node only; that others have it too is told by a signature of the two."""
+    order = np.argsort(sig, kind="stable")
+    sig, node = sig[order], node[order]
+    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
+    if first.all():
+        return {"sig": sig, "node": node}
+    hub = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+    edges = np.unique(np.stack([node, hub])[:, ~first & (node != hub)], axis=1)
+    with np.errstate(over="ignore"):
+        key = mix(mix(edges[0].view(np.uint64)) + edges[1].view(np.uint64)).view(np.int64)
+    return {"sig": np.concatenate([sig[first], key, key]), "node": np.concatenate([node[first], edges[0], edges[1]])}
+
+
 def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Whole groups of rows that come sorted by keys, one at a time."""
     held: list[pd.DataFrame] = []
@@ -161,28 +182,30 @@ def _large_groups(members: DataFrame, percent: int, block: int) -> DataFrame:
         if most is None or most <= block and turn or before is not None and left > 0.8 * before:
             break
         before = left
-    # blocks of one component, and blocks of what is left
-    state = members.select("h1", "h2", "tokens").join(labels.select("grp", "h1", "h2", "component"), ["h1", "h2"])
-    sizes = labels.groupBy("grp", "component").agg(F.count("*").alias("n"))
-    pool = sizes.filter(F.col("n") < block).groupBy("grp").agg(F.sum("n").alias("pooled"))
-    sizes = sizes.join(pool, "grp", "left")
-    dealt = state.join(sizes, ["grp", "component"]).select(
-        "grp",
-        "component",
-        "tokens",
-        F.when(F.col("n") >= block, F.col("component")).alias("whole"),
-        F.when(F.col("n") >= block, F.pmod(F.xxhash64("h1", "h2"), F.ceil(F.col("n") / block))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("pooled") / block))).cast("long").alias("part"),
+    # blocks of one component, and blocks of what is left, by classes of sizes
+    kind = F.floor(F.log(F.octet_length("tokens") / 8.0) / SIZE_STEP).cast("int")
+    state = members.select("h1", "h2", "tokens", kind.alias("kind")).join(labels.select("grp", "h1", "h2", "component"), ["h1", "h2"])
+    sizes = state.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    state = written(state.join(sizes, ["grp", "component"]).withColumn("whole", F.when(F.col("n") >= block, F.col("component"))).drop("n"), "states")
+    counts = state.groupBy("grp", "whole", "kind").agg(F.count("*").alias("n"), F.sum(F.octet_length("tokens")).alias("bytes"))
+    counts = written(counts.select("grp", "whole", "kind", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / (block * BYTES))).alias("parts")), "block-counts")
+    same = (state["grp"] == counts["grp"]) & state["whole"].eqNullSafe(counts["whole"]) & (state["kind"] == counts["kind"])
+    # of what is left, sets of one component stay together as far as the classes go
+    dealt = state.join(counts, same).select(
+        state["grp"], state["whole"], state["kind"], "component", "tokens", F.pmod(F.when(state["whole"].isNull(), F.xxhash64("component")).otherwise(F.xxhash64("h1", "h2")), F.col("parts")).cast("long").alias("part")
     )
     dealt = written(dealt, "blocks")
-    blocks = dealt.select("grp", "whole", "part").distinct()
-    a, b = blocks.select("grp", F.col("whole").alias("aw"), F.col("part").alias("ap")), blocks.select("grp", F.col("whole").alias("bw"), F.col("part").alias("bp"))
-    one, two = F.struct(F.coalesce("aw", F.lit(LEAST - 1)), "ap"), F.struct(F.coalesce("bw", F.lit(LEAST - 1)), "bp")
-    pairs = a.join(b, "grp").filter((one < two) & ~F.coalesce(F.col("aw") == F.col("bw"), F.lit(False)) | (one == two) & F.col("aw").isNull())
-    pairs = written(pairs.withColumn("pair", F.xxhash64("grp", "aw", "ap", "bw", "bp")), "block-pairs")
+    blocks = dealt.select("grp", "whole", "kind", "part").distinct()
+    a, b = (blocks.select("grp", *[F.col(c).alias(f"{s}_{c}") for c in ("whole", "kind", "part")]) for s in "ab")
+    one, two = (F.struct(F.coalesce(f"{s}_whole", F.lit(LEAST - 1)), f"{s}_kind", f"{s}_part") for s in "ab")
+    like = F.exp((F.abs(F.col("a_kind") - F.col("b_kind")) - 1) * SIZE_STEP) <= 100 / percent + 1e-6  # sizes that links allow
+    pairs = a.join(b, "grp").filter(like & ((one < two) & ~F.coalesce(F.col("a_whole") == F.col("b_whole"), F.lit(False)) | (one == two) & F.col("a_whole").isNull()))
+    pairs = written(pairs.withColumn("pair", F.xxhash64("grp", "a_whole", "a_kind", "a_part", "b_whole", "b_kind", "b_part")), "block-pairs")
     sides = []
-    for side, w, p in ((0, "aw", "ap"), (1, "bw", "bp")):
-        taken = pairs.filter("NOT (aw <=> bw AND ap = bp)") if side else pairs
-        sides.append(dealt.join(taken, (dealt["grp"] == taken["grp"]) & dealt["whole"].eqNullSafe(taken[w]) & (dealt["part"] == taken[p])).select("pair", F.lit(side).alias("side"), "component", "tokens"))
+    for side, s in enumerate("ab"):
+        taken = pairs.filter("NOT (a_whole <=> b_whole AND a_kind = b_kind AND a_part = b_part)") if side else pairs
+        on = (dealt["grp"] == taken["grp"]) & dealt["whole"].eqNullSafe(taken[f"{s}_whole"]) & (dealt["kind"] == taken[f"{s}_kind"]) & (dealt["part"] == taken[f"{s}_part"])
+        sides.append(dealt.join(taken, on).select("pair", F.lit(side).alias("side"), "component", "tokens"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _grouped(batches, ["pair"]):
@@ -200,6 +223,7 @@ def _large_groups(members: DataFrame, percent: int, block: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    on_workers(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("_id"), "text")
     ranges = size_ranges(percent)
 
@@ -213,9 +237,9 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, block:
         hold(_WORDS)
         seen: set[int] = set()  # of one task: copies emit once
         for batch in batches:
-            for at in range(0, len(batch), 500):
+            for at in range(0, len(batch), 2000):
                 found, nodes = [], []
-                for text in batch["text"].iloc[at : at + 500]:
+                for text in batch["text"].iloc[at : at + 2000]:
                     tokens = shingles(text, n)
                     node = set_hash(tokens)[0]
                     if len(tokens) and node not in seen:
@@ -223,7 +247,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, block:
                         found.append(signatures(tokens, percent, ranges))
                         nodes.append(np.full(len(found[-1]), node, np.int64))
                 if found:
-                    yield pd.DataFrame({"sig": np.concatenate(found), "node": np.concatenate(nodes)})
+                    yield pd.DataFrame(_shared_once(np.concatenate(found), np.concatenate(nodes)))
 
     def starred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = hub = None  # of the signature that goes on from the batch before
@@ -245,12 +269,11 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, block:
     edges = emission.repartition("sig").sortWithinPartitions("sig", "node").mapInPandas(starred, "a long, b long")
     groups = written(connected_components(edges).withColumnsRenamed({"node": "h1", "component": "grp"}), "groups")
 
-    classes = sets.filter("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("label"))
-    few = groups.count() <= broadcast_rows
-    small = F.broadcast if few else (lambda df: df)
-    chosen = written(classes.join(groups, "h1"), "candidates")
-    counted = chosen.groupBy("grp").agg(F.count("*").alias("in_group"))
-    chosen = chosen.join(counted, "grp")
+    filled_sets = sets.filter("n > 0")
+    classes = filled_sets.groupBy("h1", "h2").agg(F.min("_id").alias("label"), F.count("*").alias("rows"), F.max("n").alias("size"))
+    chosen = written(classes.drop("rows").join(groups, "h1"), "candidates")
+    counted = written(chosen.groupBy("grp").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") * 8 / BYTES)).alias("in_group")), "group-sizes")
+    chosen = chosen.drop("size").join(counted, "grp")
 
     def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hold(_WORDS)
@@ -261,15 +284,14 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, block:
                 good = [set_hash(s) == k for s, k in zip(tokens, zip(batch["h1"], batch["h2"], strict=True), strict=True)]
                 yield batch.drop(columns=["text"]).assign(tokens=[s.tobytes() for s in tokens])[good]  # an id may come with several texts
 
-    texts = rows.join(small(chosen), rows["_id"] == chosen["label"]).select("grp", "h1", "h2", "label", "in_group", "text")
+    texts = join_ids(rows, "_id", chosen.withColumn("_id", F.col("label")), "inner", broadcast_rows).select("grp", "h1", "h2", "label", "in_group", "text")
     members = texts.mapInPandas(filled, "grp long, h1 long, h2 long, label long, in_group long, tokens binary")
     found = _joined(members.filter(F.col("in_group") <= block), ["grp"], ["h1", "h2"], percent)
     if counted.filter(F.col("in_group") > block).limit(1).count():
         found = found.unionByName(_large_groups(members.filter(F.col("in_group") > block).drop("in_group"), percent, block))
     found = written(found.groupBy("h1", "h2").agg(F.min("joined").alias("joined")), "components")
 
-    of_class = classes.join(small(found), ["h1", "h2"], "left").select("h1", "h2", F.coalesce("joined", "label").alias("component"))
+    of_class = written(classes.join(found, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("joined", "label").alias("component"), F.col("rows").alias("_rows")), "classes")
     null = lambda c: F.when(F.col(c) != LEAST, F.col(c))
-    return sets.join(of_class, ["h1", "h2"], "left").select(
-        null("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(null("component"), F.when(F.col("n") == 0, null("_id"))).alias("component_id")
-    )
+    told = hot_join(filled_sets, of_class, ["h1", "h2"], filled_sets.count()).select(null("_id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"))
+    return told.unionByName(sets.filter("n = 0").select(null("_id").alias("doc_id"), F.col("n").alias("n_shingles"), null("_id").alias("component_id")))

@@ -36,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Hashes, hold, keyed, mix, unkeyed, written
+from voxloom.llm.common import Hashes, hold, join_ids, keyed, mix, unkeyed, written
+from voxloom.session import on_workers
 
 MOST_WORDS, MOST_BIGRAMS, K = 8191, 1 << 20, 20.0
 BROADCAST_IDS = 2_000_000
@@ -255,9 +256,10 @@ def _answers(asked: DataFrame) -> DataFrame:
 
 def scores(docs: DataFrame, targets: DataFrame, *, broadcast_ids: int = BROADCAST_IDS, chunk: int = CHUNK, block: int = BLOCK, k: float = K) -> DataFrame:
     """doc_id, is_target, n_words, loss_target, loss_background, score of every row of docs (doc_id, text). targets: doc_id of the target documents."""
-    ids = targets.select(F.col("doc_id").cast("long").alias("_target")).filter("_target IS NOT NULL").distinct()
+    on_workers(docs.sparkSession)
+    ids = targets.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("_target", F.lit(True))
     rows = keyed(docs)
-    marked = rows.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, rows["doc_id"] == ids["_target"], "left").select("doc_id", "text", F.col("_target").isNotNull().alias("target"))
+    marked = join_ids(rows, "doc_id", ids, "left", broadcast_ids).select("doc_id", "text", F.col("_target").isNotNull().alias("target"))
     chunks = _chunks(marked, chunk)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from voxloom.llm.common import hold, keyed, unkeyed
+from voxloom.session import on_workers
 
 MARK = "▁"
 AT_ONCE = 1000  # rows of a result batch
@@ -292,7 +293,7 @@ def loaded(data: bytes) -> PieceModel:
 
 def encode_documents(docs: DataFrame, model_path: str, *, keep_ids: bool = True, remember: int = REMEMBER) -> DataFrame:
     """doc_id, n_tokens, ids (array, unless keep_ids is false), decoded text's and ids' SHA-256 of each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+    spark = on_workers(docs.sparkSession)
     with open(model_path, "rb") as f:
         model_bytes = spark.sparkContext.broadcast(f.read())  # half a MB, whatever the input
 

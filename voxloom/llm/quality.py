@@ -6,7 +6,7 @@ bins: lower-cased words (n 1 to 2), word shapes such as `Aa`, `A!`, `0` or `|`
 value is its share of the n-grams of its kind, so length alone says nothing.
 Training is FTRL-proximal with per-coordinate rates on a bounded sample:
 `per_class` labelled rows of each label, those of the smallest seeded hash of
-doc_id. Scoring is a sparse dot product and a logistic function.
+doc_id (of rows with one id the least text). Scoring is a sparse dot product and a logistic function.
 
 Defined cases: rows with a null id, label or text are not learned from; a null
 text scores as an empty one, whose only evidence is the bias; with no usable
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import Hashes, hold, ngrams, sample_ids
+from voxloom.session import on_workers
 
 BITS = 18
 PER_CLASS = 1000
@@ -42,7 +43,7 @@ class Shapes(dict):
     def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) >= 180_000:
             self.clear()
-        shape = "".join(["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]])
+        shape = "".join(["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word])
         made = self.hashes[word.lower().encode()], self.shapes[_RUN.sub(r"\1", shape).encode()]
         if len(word) <= 64:
             self[word] = made
@@ -89,6 +90,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, *, e
 
 def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, per_class: int = PER_CLASS, seed: int = 9) -> np.ndarray:
     """Weights learned from docs (doc_id, text) and labels (doc_id, quality); see the module for the sample."""
+    on_workers(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
     chosen = sample_ids(usable, "doc_id", "quality", per_class, seed)  # two strata: a few thousand rows at most
 
@@ -99,15 +101,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, per_class: int
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "bins": [m[0] for m in made], "value": [m[1] for m in made]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    rows = texts.mapInPandas(run, "doc_id long, quality int, bins array<long>, value array<double>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality, len(r.bins)))
-    rows = rows[: 4 * per_class]  # repeated ids could make more
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # an id may come again
+    rows = texts.mapInPandas(run, "doc_id long, quality int, bins array<long>, value array<double>").collect()  # 2 * per_class at most
+    rows.sort(key=lambda r: (r.doc_id, r.quality))
     return train([(np.array(r.bins), np.array(r.value), r.quality) for r in rows], bits)
 
 
 def scorer(spark: SparkSession, weights: np.ndarray, bits: int = BITS):
     """A column function of text to score."""
-    model = spark.sparkContext.broadcast(weights)  # 4 << bits bytes
+    model = on_workers(spark).sparkContext.broadcast(weights)  # 4 << bits bytes
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

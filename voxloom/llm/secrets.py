@@ -15,9 +15,9 @@ Pieces of over 512 characters are scored so in windows of 512, each half over
 the one before; windows over the threshold that touch make one span.
 One model is trained on
 random strings, the other on ordinary identifiers; the labelled samples are
-values of pattern matches and plain words of a bounded sample of documents
-(`sample` rows of the smallest seeded hash of doc_id), and random strings drawn
-with a fixed seed over the alphabets in ALPHABETS.
+values of pattern matches and all different plain words of each document of a
+bounded sample (those of the `sample` smallest seeded hashes of doc_id), and random
+strings drawn with a fixed seed over the alphabets in ALPHABETS.
 
 Defined cases: a null text is an empty one and has no spans; whole texts are
 scanned; rows repeat as often as they come; an empty table gives no rows.
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import keyed, unkeyed
+from voxloom.session import on_workers
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -78,16 +79,24 @@ def base_spans(text: str, classes: np.ndarray | None = None) -> list[tuple[int,
     return sorted(found)
 
 
+def _pairs(s: str) -> np.ndarray:
+    """The pairs of characters of a string, the first with a start, as numbers."""
+    a = np.frombuffer(s.encode("ascii", "ignore"), np.uint8).astype(np.int64)
+    return np.concatenate([np.zeros(1, np.int64), a[:-1]]) * 128 + a if len(a) else a
+
+
 class Markov:
-    """The log-likelihood ratio of random strings against ordinary identifiers, by first-order character models."""
+    """The log-likelihood ratio of random strings against ordinary identifiers, by first-order character models. more: counts of further pairs of characters of both."""
 
-    def __init__(self, random: list[str], ordinary: list[str], smoothing: float = 0.5) -> None:
+    def __init__(self, random: list[str], ordinary: list[str], smoothing: float = 0.5, more: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         logs = []
-        for strings in (random, ordinary):
-            counts = np.full((128, 128), smoothing)
+        for k, strings in enumerate((random, ordinary)):
+            counts = np.full(128 * 128, smoothing)
             for s in strings:
-                a = np.frombuffer(s.encode("ascii", "ignore"), np.uint8)
-                np.add.at(counts, (np.concatenate([[0], a[:-1]]), a), 1)
+                np.add.at(counts, _pairs(s), 1)
+            if more is not None:
+                counts += more[k]
+            counts = counts.reshape(128, 128)
             logs.append(np.log(counts / counts.sum(axis=1, keepdims=True)))
         self.ratio = (logs[0] - logs[1]).astype(np.float32)
 
@@ -98,25 +107,32 @@ class Markov:
 
 def fit(docs: DataFrame, *, sample: int = SAMPLE, seed: int = 6) -> Markov:
     """The models of docs (doc_id, text); see the module for the samples."""
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+    on_workers(docs.sparkSession)
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     chosen = usable.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)  # so many ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values, words = [], []
+            counts = np.zeros((2, 128 * 128), np.int64)
             for text in batch["text"]:
                 spans = base_spans(text)
-                values.append([m[2] for m in map(lambda s: ASSIGN.match(text, s[0], s[2]) if s[1] == 0 else None, spans) if m] + [text[a:b] for a, k, b in spans if k])
+                values = [m[2] for m in map(lambda s: ASSIGN.match(text, s[0], s[2]) if s[1] == 0 else None, spans) if m] + [text[a:b] for a, k, b in spans if k]
                 hidden = [text[a:b] for a, _, b in spans]
                 plain = {w for w in re.findall(r"[A-Za-z0-9+/_=-]{3,64}", text, re.A) if not any(w in h for h in hidden)}
-                words.append([w for w in sorted(plain) if sum(c.isdigit() for c in w) * 2 < len(w)][:400])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "secret": values, "plain": words})
+                for k, strings in enumerate((values, [w for w in plain if sum(c.isdigit() for c in w) * 2 < len(w)])):
+                    for s in strings:
+                        np.add.at(counts[k], _pairs(s), 1)
+            at = np.flatnonzero(counts.any(axis=0))
+            yield pd.DataFrame({"pair": at, "random": counts[0, at], "ordinary": counts[1, at]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    rows = sorted(texts.mapInPandas(run, "doc_id long, secret array<string>, plain array<string>").collect(), key=lambda r: (r.doc_id, r.plain))[: 2 * sample]
+    found = texts.mapInPandas(run, "pair long, random long, ordinary long").groupBy("pair").agg(F.sum("random").alias("random"), F.sum("ordinary").alias("ordinary")).toPandas()  # 16,384 rows at most
+    more = np.zeros((2, 128 * 128))
+    for k, column in enumerate(("random", "ordinary")):
+        more[k, found["pair"].to_numpy(np.int64)] = found[column].to_numpy(np.float64)
     rng = np.random.default_rng(seed)
     random = ["".join(rng.choice(list(a), rng.integers(16, 64))) for a in ALPHABETS for _ in range(200)]
-    return Markov(random + [s for r in rows for s in r.secret], [w for r in rows for w in r.plain] + ["snake_case_name", "camelCaseName", "SCREAMING_CASE", "path/to/file", "kebab-case-name"])
+    return Markov(random, ["snake_case_name", "camelCaseName", "SCREAMING_CASE", "path/to/file", "kebab-case-name"], more=(more[0], more[1]))
 
 
 def _left(a: int, b: int, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -159,7 +175,7 @@ def spans_of(text: str | None, markov: Markov, threshold: float = THRESHOLD) ->
 
 def scan(docs: DataFrame, *, threshold: float = THRESHOLD, markov: Markov | None = None, **options) -> DataFrame:
     """doc_id, spans (array of kind, start, end) and the digest columns of every row of docs (doc_id, text)."""
-    model = docs.sparkSession.sparkContext.broadcast(markov or fit(docs, **options))  # 64 KB
+    model = on_workers(docs.sparkSession).sparkContext.broadcast(markov or fit(docs, **options))  # 64 KB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -178,7 +194,7 @@ def scan(docs: DataFrame, *, threshold: float = THRESHOLD, markov: Markov | None
 
 def masked(docs: DataFrame, *, threshold: float = THRESHOLD, mask: str = MASK, markov: Markov | None = None, **options) -> DataFrame:
     """docs with its columns, each span of its texts replaced by mask and n_chars (if there) brought up to date."""
-    model = docs.sparkSession.sparkContext.broadcast(markov or fit(docs, **options))
+    model = on_workers(docs.sparkSession).sparkContext.broadcast(markov or fit(docs, **options))
 
     def clean(text: str | None) -> str | None:
         out, at = [], 0

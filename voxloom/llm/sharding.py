@@ -6,11 +6,13 @@ shards is found by binary search over the groups' running sizes; the groups are
 then cut where that pass ends each shard, so the largest shard is as small as
 contiguous shards of whole groups can be.
 
-The running sizes stay distributed. The driver holds one sum for each of at most
-`most_parts` ranges of groups; ends of shards are first bounded by these, and
-the running sizes of the few ranges in which the answer depends on single groups
-are fetched. A group may hold a large part of all rows: its rows are counted and
-numbered by ranges of doc_id, never by one task.
+The running sizes stay distributed. Rows are cut into at most `most_parts` ranges
+of doc_id with about as many rows each, wherever the ids lie. The driver holds one
+sum for each range of groups (by their first doc_id); ends of shards are first
+bounded by these. In the few ranges in which the answer depends on single groups,
+running sizes are fetched, or asked for one by one where a range has more than
+`most_fetched` groups. A group may hold a large part of all rows: its rows are
+counted and numbered by ranges of doc_id, never by one task.
 
 Defined cases: a null text has size 1, the CRC of an empty text, and forms a
 group with the other null texts; rows of one doc_id are numbered by size and
@@ -21,11 +23,12 @@ are empty; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import LEAST, written
-
+from voxloom.llm.common import LEAST, cut_points, written
+from voxloom.session import on_workers
 
 
 def greedy_ends(capacity: int, shards: int, total: int, end_of) -> list[int] | None:
@@ -37,9 +40,9 @@ def greedy_ends(capacity: int, shards: int, total: int, end_of) -> list[int] | N
     return ends if at == total else None
 
 
-def minimax_ends(total: int, largest: int, shards: int, coarse: np.ndarray, fetch) -> list[int]:
-    """Ends of the shards of the smallest capacity. coarse: running sizes at the ends of ranges; fetch(k): those of the groups of range k."""
-    fine: dict[int, np.ndarray] = {}
+def minimax_ends(total: int, largest: int, shards: int, coarse: np.ndarray, fetch, ask=None) -> list[int]:
+    """Ends of the shards of the smallest capacity. coarse: running sizes at the ends of ranges; fetch(k): those of the groups of range k, or None; then ask(k, x): the largest up to x of these, or None."""
+    fine: dict[int, np.ndarray | None] = {}
 
     def exact(x: int) -> int:
         k = int(np.searchsorted(coarse, x, "right"))  # the range in which the group that ends after x lies
@@ -47,6 +50,9 @@ def minimax_ends(total: int, largest: int, shards: int, coarse: np.ndarray, fetc
             return int(coarse[-1])
         if k not in fine:
             fine[k] = fetch(k)
+        if fine[k] is None:
+            end = ask(k, x)
+            return end if end is not None else int(coarse[k - 1]) if k else 0
         at = int(np.searchsorted(fine[k], x, "right"))
         return int(fine[k][at - 1]) if at else int(coarse[k - 1]) if k else 0
 
@@ -65,28 +71,27 @@ def minimax_ends(total: int, largest: int, shards: int, coarse: np.ndarray, fetc
     return greedy_ends(low, shards, total, exact) or [0] * (shards - 1) + [total]
 
 
-def contiguous_shards(docs: DataFrame, *, shards: int = 8, per_range: int = 4096, most_parts: int = 20_000) -> DataFrame:
+def contiguous_shards(docs: DataFrame, *, shards: int = 8, per_range: int = 4096, most_parts: int = 20_000, most_fetched: int = 1 << 20) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row of docs (doc_id, text)."""
+    on_workers(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("crc"),
         F.coalesce(F.sha2("text", 256), F.lit("null")).alias("key"),
     )
-    count, low, high = rows.agg(F.count("*"), F.min(F.when(F.col("_id") != LEAST, F.col("_id"))), F.max("_id")).first()
+    count = rows.count()
     empty = rows.limit(0).select(F.col("_id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     if not count:
         return empty
-    low = LEAST if low is None else low
-    span = max(1, high - low + 1)
-    width = max(1, -(-span // max(1, -(-count // per_range))))  # ids of one range of rows
-    wide = width * max(1, -(-span // (width * most_parts)))
+    bounds = docs.sparkSession.sparkContext.broadcast(cut_points(rows, "_id", count, min(most_parts, -(-count // per_range))))  # 8 bytes a range
 
-    def ranged(column: str, size: int):
-        return F.when(F.col(column) == LEAST, F.lit(-1)).otherwise(F.expr(f"({column} - ({low}L)) div {size}L"))
+    @F.pandas_udf("long")
+    def ranged(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, ids.to_numpy(np.int64), "right").astype(np.int64))
 
     # rows of a group by ranges of doc_id, then running over its ranges
-    counted = rows.withColumn("range", ranged("_id", width)).groupBy("key", "range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("_id").alias("first"))
+    counted = rows.withColumn("range", ranged("_id")).groupBy("key", "range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("_id").alias("first"))
     of_key = Window.partitionBy("key")
     ranges = counted.select(
         "key",
@@ -97,11 +102,11 @@ def contiguous_shards(docs: DataFrame, *, shards: int = 8, per_range: int = 4096
         F.sum("bytes").over(of_key).alias("bytes"),
         F.sum("n").over(of_key).alias("n"),
     )
-    ranges = written(ranges.withColumn("part", ranged("first", wide)), "shard-ranges")
+    ranges = written(ranges.withColumn("part", ranged("first")), "shard-ranges")
 
     # groups with the running sizes and counts of what comes before them
     groups = ranges.filter("nth = 1")
-    parts = sorted(groups.groupBy("part").agg(F.sum("bytes"), F.sum("n"), F.max("bytes")).collect())
+    parts = sorted(groups.groupBy("part").agg(F.sum("bytes"), F.sum("n"), F.max("bytes"), F.count("*")).collect())
     offsets = np.cumsum([[0, 0], *([p[1], p[2]] for p in parts)], axis=0)
     starts = docs.sparkSession.createDataFrame([(int(p[0]), int(a), int(b)) for p, (a, b) in zip(parts, offsets, strict=False)], "part long, part_bytes long, part_n long")  # most_parts rows
     in_part = Window.partitionBy("part").orderBy("first", "key").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,12 +119,16 @@ def contiguous_shards(docs: DataFrame, *, shards: int = 8, per_range: int = 4096
     )
     placed = written(placed, "shard-groups")
 
-    def fetch(k: int) -> np.ndarray:
-        found = placed.filter(F.col("part") == int(parts[k][0])).select((F.col("from_byte") + F.col("bytes")).alias("end")).toPandas()
-        return np.sort(found["end"].to_numpy(np.int64))
+    ends_of = lambda k: placed.filter(F.col("part") == int(parts[k][0])).select((F.col("from_byte") + F.col("bytes")).alias("end"))
+
+    def fetch(k: int) -> np.ndarray | None:
+        return np.sort(ends_of(k).toPandas()["end"].to_numpy(np.int64)) if parts[k][4] <= most_fetched else None
+
+    def ask(k: int, x: int) -> int | None:
+        return ends_of(k).filter(F.col("end") <= x).agg(F.max("end")).first()[0]
 
     total = int(offsets[-1][0])
-    ends = minimax_ends(total, max(int(p[3]) for p in parts), shards, offsets[1:, 0], fetch)
+    ends = minimax_ends(total, max(int(p[3]) for p in parts), shards, offsets[1:, 0], fetch, ask)
     cut = sorted(set(ends[:-1]) - {total})
     heads = {int(r.from_byte): int(r.from_row) for r in placed.filter(F.col("from_byte").isin([0, *cut])).select("from_byte", "from_row").collect()}  # a row for each shard
     shard, base = F.lit(0), F.lit(0).cast("long")
@@ -128,7 +137,7 @@ def contiguous_shards(docs: DataFrame, *, shards: int = 8, per_range: int = 4096
         base = F.when(F.col("from_byte") >= end, F.lit(heads[end]).cast("long")).otherwise(base)
     placed = placed.select("key", shard.alias("shard"), (F.col("from_row") - base).alias("slot"))
 
-    numbered = rows.withColumn("range", ranged("_id", width)).join(ranges.select("key", "range", "before").join(placed, "key"), ["key", "range"])
+    numbered = rows.withColumn("range", ranged("_id")).join(ranges.select("key", "range", "before").join(placed, "key"), ["key", "range"])
     in_range = Window.partitionBy("key", "range").orderBy("_id", "size", "crc")
     return numbered.select(
         F.when(F.col("_id") != LEAST, F.col("_id")).alias("doc_id"),
