@@ -137,10 +137,21 @@ def normalize(text) -> Column:
     return trimmed(F.regexp_replace(collapse_stutters(text), r"(?U)\s{2,}", " "))
 
 
-def clean_transcript(text, language=None, *, terms: Sequence[str] = (), threshold: float = 0.18, prompted: bool = False, fillers: Sequence[str] | None = None, enabled: bool = True) -> Column:
-    """Dictionary correction (unless the model was prompted with the terms), filler removal, normalisation."""
+def clean_transcript(
+    text, language=None, *, detected=None, terms: Sequence[str] = (), threshold: float = 0.18, prompted: bool = False, fillers: Sequence[str] | None = None, enabled: bool = True
+) -> Column:
+    """Dictionary correction (unless the model was prompted with the terms), filler removal, normalisation.
+
+    language: what is evident of the output's language; where it is null, `detected`
+    (that which a detector finds in the text, as gated by lang.gated_detection) counts.
+    A cleaning that fails gives the raw text: the correction keeps a text that it can't
+    read, the rest are total functions of a text.
+    """
     out = correct_terms(text, terms, threshold) if terms and not prompted else _c(text)
-    return normalize(drop_fillers(out, language, fillers, enabled))
+    known = _c(language) if language is not None else None
+    if detected is not None:
+        known = _c(detected) if known is None else F.coalesce(known, _c(detected))
+    return F.coalesce(normalize(drop_fillers(out, known, fillers, enabled)), _c(text))
 
 
 def entry_title(seconds) -> Column:
@@ -247,16 +258,22 @@ def resolve_ui_language(requested, known: Sequence[str]) -> Column:
 
 
 def correct_terms(text, terms: Sequence[str], threshold: float = 0.18) -> Column:
-    """Words, or two or three together, that are close to a dictionary term become the term, from left to right."""
+    """Words, or two or three together, that are close to a dictionary term become the term, from left to right. A text that can't be corrected stays as it is."""
     if not terms:
         return _c(text)
     from voxloom.functions.terms import Dictionary
 
     wanted = Dictionary(list(terms), threshold)
 
+    def corrected(value: str) -> str:
+        try:
+            return wanted.corrected(value)
+        except Exception:
+            return value
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(wanted.corrected, na_action="ignore")
+            yield batch.map(corrected, na_action="ignore")
 
     return run(_c(text))

@@ -8,7 +8,7 @@ listings) are joined, never looped over.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.lang import supports
@@ -58,10 +58,11 @@ def found_files(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def mirror_urls(rows: DataFrame, mirrors: DataFrame) -> DataFrame:
-    """A URL for each mirror (base, mirror_ord) of each file with a revision and a digest."""
-    usable = rows.filter("revision IS NOT NULL AND sha256 IS NOT NULL")
-    base = F.regexp_replace("base", "/+$", "")
-    return usable.join(F.broadcast(mirrors)).select("model_id", "mirror_ord", F.concat_ws("/", base, "repo_id", "revision", "filename").alias("url"))  # a handful of mirrors
+    """A URL for each mirror (base, mirror_ord) of each file with a revision and a digest. The mirrors are those of one catalog's list: they go along with each file as one array."""
+    usable = rows.filter("revision IS NOT NULL AND sha256 IS NOT NULL").withColumn("_k", F.lit(0))
+    listed = mirrors.select(F.lit(0).alias("_k"), F.struct("mirror_ord", F.regexp_replace("base", "/+$", "").alias("base")).alias("m")).groupBy("_k").agg(F.array_sort(F.collect_list("m")).alias("_mirrors"))
+    each = usable.join(listed, "_k").withColumn("m", F.explode("_mirrors"))
+    return each.select("model_id", F.col("m.mirror_ord").alias("mirror_ord"), F.concat_ws("/", "m.base", "repo_id", "revision", "filename").alias("url"))
 
 
 def ranked(rows: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -75,6 +76,18 @@ def registry_order() -> list[Column]:
     return [F.asc("rank_of"), F.desc("is_recommended"), F.desc("accuracy"), F.desc("speed"), F.asc("name")]
 
 
+def places(rows: DataFrame, key: str = "model_id") -> DataFrame:
+    """Rows with their place in the registry's order (ties by key). Rows of one rank, recommendation and pair of scores are numbered apart and placed behind those of the groups before, so no task sorts them all."""
+    names = ["rank_of", "is_recommended", "accuracy", "speed"]
+    order = registry_order()
+    groups = rows.groupBy(*names).agg(F.count("*").alias("_n"))  # a row for each rank and pair of scores
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*order[:-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select(*[F.col(c).alias(f"_{c}") for c in names], before.alias("_before"))
+    same = [rows[c].eqNullSafe(groups[f"_{c}"]) for c in names]
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(order[-1], F.asc(key)))
+    return rows.join(groups, same).select(*rows.columns, (F.col("_before") + nth).alias("place"))
+
+
 def merged(existing: DataFrame, found: DataFrame, key: str = "model_id") -> DataFrame:
     """Existing rows, and found ones whose key is new."""
     return existing.unionByName(unknown(found, existing, [key]), allowMissingColumns=True)
@@ -170,8 +183,8 @@ def matching_languages(languages: DataFrame, query: str) -> DataFrame:
 
 
 def ui_languages(languages: DataFrame) -> DataFrame:
-    """By priority, then by name in the root collation."""
-    return languages.orderBy(F.asc_nulls_last("priority"), F.collate("name", "UNICODE"))
+    """The picker's languages with their place: by priority, then by name in the root collation."""
+    return languages.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("priority"), F.collate("name", "UNICODE"))))  # one list of languages
 
 
 def resolved_paths(rows: DataFrame) -> DataFrame:

@@ -90,12 +90,9 @@ def r6(spark: SparkSession, d: str) -> DataFrame:
     return r.ranked(rows, catalog(spark)).select("p_partkey", "rank_of")
 
 
-@query("r7_registry_order", WITH + "SELECT model_id, row_number() OVER (ORDER BY rank_of, is_recommended DESC, accuracy DESC, speed DESC, name, model_id) AS place FROM models QUALIFY place <= 200")
+@query("r7_registry_order", WITH + "SELECT model_id, row_number() OVER (ORDER BY rank_of, is_recommended DESC, accuracy DESC, speed DESC, name, model_id) AS place FROM models")
 def r7(spark: SparkSession, d: str) -> DataFrame:
-    top = models(spark, d).orderBy(*r.registry_order(), "model_id").limit(200)
-    from pyspark.sql import Window
-
-    return top.select("model_id", F.row_number().over(Window.orderBy(*r.registry_order(), "model_id")).alias("place"))
+    return r.places(models(spark, d)).select("model_id", "place")
 
 
 KNOWN = "(SELECT 'm' || (s_suppkey * 3) AS model_id, s_name AS name FROM supplier)"
@@ -186,9 +183,10 @@ def r21(spark: SparkSession, d: str) -> DataFrame:
     return r.matching_languages(table(spark, d, "nation").select(F.col("n_name").alias("label")), "AN")
 
 
-@query("r22_ui_language_order")
+@query("r22_ui_language_order", "SELECT name, priority, row_number() OVER (ORDER BY priority NULLS LAST, lower(name)) AS place FROM (SELECT CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS name, CASE WHEN n_nationkey % 9 = 0 THEN n_nationkey END AS priority FROM nation)")
 def r22(spark: SparkSession, d: str) -> DataFrame:
-    return r.ui_languages(table(spark, d, "nation").selectExpr("n_name AS name", "CASE WHEN n_nationkey % 9 = 0 THEN n_nationkey END AS priority"))
+    rows = table(spark, d, "nation").selectExpr("CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS name", "CASE WHEN n_nationkey % 9 = 0 THEN n_nationkey END AS priority")
+    return r.ui_languages(rows)
 
 
 PATHS = "SELECT p_partkey AS model_id, CASE WHEN p_partkey % 2 = 0 THEN 'hub' ELSE 'url' END AS kind, p_partkey % 13 > 0 AS is_known, p_partkey % 3 > 0 AS is_downloaded, p_partkey % 11 = 0 AS is_downloading, CASE WHEN p_partkey % 4 = 0 THEN 'c' END AS cached_path, CASE WHEN p_partkey % 5 = 0 THEN 'm' END AS main_path, CASE WHEN p_partkey % 7 > 0 THEN 'l' END AS local_path, CASE WHEN p_partkey % 6 = 1 THEN 'p' END AS partial_path FROM part"

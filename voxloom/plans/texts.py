@@ -24,9 +24,16 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.match_key("text").alias("key"))
 
 
-@query("t2_ngram_key", f"SELECT conv_id, turn, lower(regexp_replace(list_aggregate(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:3], 'string_agg', ''), '[^{ALNUM}]', '', 'g')) AS key FROM conversations")
+@query(
+    "t2_ngram_key",
+    f"""SELECT conv_id, turn, i AS "at", lower(regexp_replace(array_to_string(a[i:i + 2], ''), '[^{ALNUM}]', '', 'g')) AS key
+    FROM (SELECT conv_id, turn, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS a FROM conversations))""",
+)
 def t2(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", text.ngram_key(F.slice(text.words("text"), 1, 3)).alias("key"))
+    """The key of three words from each word of a turn on."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", text.words("text").alias("a"))
+    rows = rows.select("conv_id", "turn", "a", F.posexplode("a").alias("i", "w"))
+    return rows.select("conv_id", "turn", (F.col("i") + 1).cast("long").alias("at"), text.ngram_key(F.expr("slice(a, i + 1, 3)")).alias("key"))
 
 
 @query("t3_term_keys", "SELECT p_partkey, lower(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '', 'g')) AS first_key, regexp_full_match(p_name, '.*[A-Za-z0-9].*') AS has_key FROM part")
@@ -47,7 +54,17 @@ def t5(spark: SparkSession, d: str) -> DataFrame:
     return pairs.filter(text.match_score("candidate", "term").isNotNull()).select("candidate", "term", share.alias("share"))
 
 
-@query("t5_match_scores")
+#: Soundex of a key of letters: digits of the letters, h and w aside, runs as one, the first letter in place of its own digit.
+SOUNDEX = """soundex AS (SELECT k, upper(k[1]) || left(rpad(replace(array_to_string(list_filter(list_transform(range(2, len(c) + 1), lambda i: CASE WHEN c[i] <> c[i - 1] THEN c[i] ELSE '' END), lambda x: x <> ''), ''), '0', ''), 3, '0'), 3) AS code
+  FROM (SELECT k, string_split(translate(k[1] || regexp_replace(k[2:], '[hw]', '', 'g'), 'bfpvcgjkqsxzdtlmnraeiouyhw', '11112222222233455600000000'), '') AS c FROM keys WHERE regexp_full_match(k, '[a-z]+')))"""
+
+
+@query(
+    "t5_match_scores",
+    f"""WITH keys AS (SELECT DISTINCT lower(regexp_replace(n_name, '[^{ALNUM}]', '', 'g')) AS k FROM nation), {SOUNDEX}
+    SELECT a.k AS candidate, b.k AS term, levenshtein(a.k, b.k) / CAST(greatest(length(a.k), length(b.k)) AS DOUBLE) * CASE WHEN sa.code = sb.code THEN CAST(0.3 AS DOUBLE) ELSE 1 END AS score
+    FROM keys a JOIN keys b ON abs(length(a.k) - length(b.k)) <= greatest(greatest(length(a.k), length(b.k)) * 0.25, 2.0) LEFT JOIN soundex sa ON sa.k = a.k LEFT JOIN soundex sb ON sb.k = b.k""",
+)
 def t5s(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "nation").select(text.match_key("n_name").alias("candidate")).distinct()
     pairs = names.join(F.broadcast(names.withColumnRenamed("candidate", "term")))  # 25 names
@@ -57,15 +74,56 @@ def t5s(spark: SparkSession, d: str) -> DataFrame:
 TERMS = ("Thandle", "therein", "Erin", "the R&D", "ciudad")
 
 
-@query("t6_custom_words")
+def corrected_sql(source: str) -> str:
+    """Tables that end in `corrected` (doc_id, text): T6 of source (doc_id, text).
+
+    The best match of the groups of one to three words at each place; then, among
+    matches of several words, which ones stand when words are taken from left to right.
+    """
+    terms = ", ".join(f"({n}, '{key}', '{term}')" for n, (key, term) in enumerate((k, t) for t in TERMS for k in dict.fromkeys((_key(t), _key(t.replace("&", " and "))))))
+    key = f"lower(regexp_replace(w, '[^{ALNUM}]', '', 'g'))"
+    return f"""tk AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, {key} AS key, regexp_extract(w, '^[^{ALNUM}]*') AS prefix, regexp_extract(w, '[^{ALNUM}]*$') AS suffix
+   FROM (SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS a FROM {source})) WHERE w <> ''),
+ grp AS (SELECT doc_id, pos, 1 AS n, key AS k FROM tk
+   UNION ALL SELECT a.doc_id, a.pos, 2, a.key || b.key FROM tk a JOIN tk b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.suffix = ''
+   UNION ALL SELECT a.doc_id, a.pos, 3, a.key || b.key || c.key FROM tk a JOIN tk b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN tk c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.suffix = '' AND b.suffix = ''),
+ terms(nth, key, term) AS (VALUES {terms}),
+ cand AS (SELECT DISTINCT k FROM grp WHERE length(k) <= 12 AND regexp_full_match(k, '[A-Za-z0-9]+')),
+ keys AS (SELECT k FROM cand UNION SELECT key FROM terms), {SOUNDEX},
+ scored AS (SELECT c.k, t.nth, t.term, levenshtein(c.k, t.key) / CAST(greatest(length(c.k), length(t.key)) AS DOUBLE) * CASE WHEN sa.code = sb.code THEN CAST(0.3 AS DOUBLE) ELSE 1 END AS score
+   FROM cand c JOIN terms t ON abs(length(c.k) - length(t.key)) <= greatest(greatest(length(c.k), length(t.key)) * 0.25, 2.0) LEFT JOIN soundex sa ON sa.k = c.k LEFT JOIN soundex sb ON sb.k = t.key),
+ best AS (SELECT k, min(score) AS score, arg_min(term, (score, nth)) AS term FROM scored WHERE score < 0.18 GROUP BY k),
+ hit AS (SELECT doc_id, pos, n, term FROM (SELECT g.doc_id, g.pos, g.n, b.term, row_number() OVER (PARTITION BY g.doc_id, g.pos ORDER BY b.score, g.n DESC) AS place FROM grp g JOIN best b ON b.k = g.k) WHERE place = 1),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM hit),
+ taken(doc_id, r, pos, n, term, free, stands) AS (SELECT doc_id, r, pos, n, term, pos + n, true FROM ranked WHERE r = 1
+   UNION ALL SELECT x.doc_id, x.r, x.pos, x.n, x.term, CASE WHEN x.pos >= t.free THEN x.pos + x.n ELSE t.free END, x.pos >= t.free FROM taken t JOIN ranked x ON x.doc_id = t.doc_id AND x.r = t.r + 1),
+ stands AS (SELECT * FROM taken WHERE stands),
+ covered AS (SELECT s.doc_id, s.pos + j.j AS pos FROM stands s, range(0, 3) AS j(j) WHERE j.j > 0 AND j.j < s.n),
+ said AS (SELECT k.doc_id, k.pos, CASE WHEN s.term IS NULL THEN k.w ELSE k.prefix
+    || CASE WHEN regexp_full_match(k.w, '\\p{{Lu}}+') THEN upper(s.term) WHEN regexp_matches(k.w, '^\\p{{Lu}}') THEN upper(s.term[1]) || s.term[2:] ELSE s.term END || z.suffix END AS w
+   FROM tk k LEFT JOIN stands s ON s.doc_id = k.doc_id AND s.pos = k.pos LEFT JOIN tk z ON z.doc_id = k.doc_id AND z.pos = k.pos + s.n - 1
+   WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = k.doc_id AND c.pos = k.pos)),
+ corrected AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.text, '') END AS text FROM {source} d LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS text FROM said GROUP BY doc_id) s USING (doc_id))"""
+
+
+def _key(term: str) -> str:
+    return "".join(c for c in term if c.isalnum()).lower()
+
+
+@query("t6_custom_words", f"WITH RECURSIVE {corrected_sql('documents')} SELECT doc_id, text AS cleaned FROM corrected")
 def t6(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.correct_terms("text", TERMS).alias("cleaned"))
 
 
-@query("t7_keep_case", "SELECT conv_id, turn, CASE WHEN regexp_full_match(w, '\\p{Lu}*') THEN upper('wOrd') WHEN regexp_matches(w, '^\\p{Lu}') THEN 'WOrd' ELSE 'wOrd' END AS word FROM (SELECT conv_id, turn, coalesce(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1], '') AS w FROM conversations)")
+@query(
+    "t7_keep_case",
+    """SELECT conv_id, turn, i - 1 AS "at", CASE WHEN regexp_full_match(w, '\\p{Lu}*') THEN upper('wOrd') WHEN regexp_matches(w, '^\\p{Lu}') THEN 'WOrd' ELSE 'wOrd' END AS word
+    FROM (SELECT conv_id, turn, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS a FROM conversations))""",
+)
 def t7(spark: SparkSession, d: str) -> DataFrame:
-    first = F.coalesce(F.try_element_at(text.words("text"), F.lit(1)), F.lit(""))
-    return table(spark, d, "conversations").select("conv_id", "turn", text.keep_case(first, F.lit("wOrd")).alias("word"))
+    """The case of each word of a turn, given to another word."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(text.words("text")).alias("at", "w"))
+    return rows.select("conv_id", "turn", F.col("at").cast("long").alias("at"), text.keep_case("w", F.lit("wOrd")).alias("word"))
 
 
 @query("t8_edge_punctuation", f"SELECT doc_id, regexp_extract(text, '^[^{ALNUM}]*') AS prefix, regexp_extract(text, '[^{ALNUM}]*$') AS suffix FROM documents")
@@ -73,12 +131,27 @@ def t8(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.edge_punctuation("text").alias("e")).select("doc_id", "e.prefix", "e.suffix")
 
 
-@query("t9_drop_fillers")
+def fillers_sql(column: str, fillers) -> str:
+    """T9's removal of fillers, one after the other; neighbours share the character between them, so each is looked for twice."""
+    edge = "[^\\p{L}\\p{N}\\p{M}_]"
+    for w in fillers:
+        for _ in range(2):
+            column = f"regexp_replace({column}, '(^|{edge})(?i:{w})(?:[,.]|({edge})|$)', '\\1\\2', 'g')"
+    return column
+
+
+def without_fillers_sql(source: str) -> str:
+    """Tables that end in `bare` (doc_id, text): T9 of source (doc_id, text), by the documents' languages."""
+    gated = " ".join(f"WHEN regexp_extract(lang, '^[^-_]*') = '{code}' THEN {fillers_sql('text', words)}" for code, words in text.GATED_FILLERS.items())
+    return f"universal AS (SELECT doc_id, lang, {fillers_sql('s.text', text.UNIVERSAL_FILLERS)} AS text FROM {source} s JOIN (SELECT doc_id, lang FROM documents) l USING (doc_id)), bare AS (SELECT doc_id, CASE {gated} ELSE text END AS text FROM universal)"
+
+
+@query("t9_drop_fillers", f"WITH plain AS (SELECT doc_id, text FROM documents), {without_fillers_sql('plain')} SELECT doc_id, text AS cleaned FROM bare")
 def t9(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.drop_fillers("text", F.col("lang")).alias("cleaned"))
 
 
-@query("t9_custom_fillers")
+@query("t9_custom_fillers", f"SELECT doc_id, {fillers_sql('text', ['okay', 'right', 'the'])} AS cleaned FROM documents")
 def t9c(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.drop_fillers("text", None, ["okay", "right", "the"]).alias("cleaned"))
 
@@ -102,7 +175,11 @@ def t11(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.normalize("text").alias("cleaned"))
 
 
-@query("t12_clean_transcript")
+@query(
+    "t12_clean_transcript",
+    f"WITH RECURSIVE {corrected_sql('documents')}, {without_fillers_sql('corrected')}, "
+    + STUTTERS.replace("WITH tok AS", "tok AS").replace("FROM documents", "FROM bare").replace("coalesce(f.t, d.text)", "trim(regexp_replace(coalesce(f.t, d.text), '\\s{2,}', ' ', 'g'))"),
+)
 def t12(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.clean_transcript("text", F.col("lang"), terms=TERMS).alias("cleaned"))
 
