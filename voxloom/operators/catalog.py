@@ -52,6 +52,7 @@ def headline_wer(by_set) -> Column:
 
 def quant_of(filename) -> Column:
     """the quantisation in a file's name, ? without."""
+    # Fixed value: the grammar of such file names.
     found = F.regexp_extract(_c(filename), r"-(F32|F16|BF16|Q\d[\w_]*?)\.gguf$", 1)
     return F.when(found == "", "?").otherwise(found)
 
@@ -148,24 +149,27 @@ def verified(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     return j.agg(count(F.col("_got").isNull()).alias("missing"), count(F.col("_got") != F.col("sha256")).alias("bad"), count(F.col("_got") == F.col("sha256")).alias("ok"))
 
 
-def flattened(docs: DataFrame, depth: int = 6) -> DataFrame:
-    """(lang, key_path) of all leaves of JSON documents (lang, content)."""
+def flattened(docs: DataFrame) -> DataFrame:
+    """(lang, key_path) of all leaves of JSON documents (lang, content), level by level as deep as they go. Lists and empty objects are leaves."""
     level = docs.select("lang", F.lit("").alias("path"), F.parse_json("content").alias("v"))
     out = None
-    for _ in range(depth):
+    while True:
         kids = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).select("lang", F.concat_ws(".", F.nullif("path", F.lit("")), "key").alias("path"), "value")
-        nested = F.schema_of_variant("value").startswith("OBJECT")
+        nested = F.schema_of_variant("value").startswith("OBJECT") & (F.schema_of_variant("value") != "OBJECT<>")
         leaves = kids.filter(~nested).select("lang", F.col("path").alias("key_path"))
         out = leaves if out is None else out.unionByName(leaves)
         level = kids.filter(nested).select("lang", "path", F.col("value").alias("v"))
-    return out
+        if level.isEmpty():
+            return out
 
 
 def translation_audit(keys: DataFrame, reference: str = "en") -> DataFrame:
     """(lang, key_path, problem) of keys that a language lacks or has beyond the reference language."""
     ref, rest = keys.filter(F.col("lang") == reference).select("key_path"), keys.filter(F.col("lang") != reference)
-    wanted = rest.select("lang").distinct().join(ref)  # each language against the reference's keys: the audit's own output size
-    missing = wanted.join(rest, ["lang", "key_path"], "left_anti").withColumn("problem", F.lit("missing"))
+    langs = rest.agg(F.collect_set("lang")).scalar()  # the languages, in one array
+    having = rest.groupBy("key_path").agg(F.collect_set("lang").alias("_has"))
+    lacking = F.array_except(langs, F.coalesce("_has", F.array().cast("array<string>")))
+    missing = ref.join(having, "key_path", "left").select(F.explode(lacking).alias("lang"), "key_path", F.lit("missing").alias("problem"))
     return missing.unionByName(rest.join(ref, "key_path", "left_anti").select("lang", "key_path").withColumn("problem", F.lit("extra")))
 
 

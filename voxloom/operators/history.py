@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.text import entry_title, is_blank, version
+from voxloom.sources.tables import HISTORY_SCHEMA
 
 PAGE_MOST, PAGE_SIZE, KEEP = 100, 30, 5
 # Seconds of the retention periods.
@@ -111,39 +113,71 @@ def retained(df: DataFrame, policy: str, *, keep: int = KEEP, now: int = 0) -> D
     return df.filter(F.col("saved") | (F.col("timestamp") >= now - PERIODS[policy]))
 
 
-def appended(df: DataFrame, entries: DataFrame, now: int, *, policy: str = "preserve_limit", keep: int = KEEP) -> tuple[DataFrame, DataFrame]:
-    """Df with new entries (file_name, texts, post_process_requested; ids follow the greatest, in order of file_name), after retention, and the Added events of all of them."""
+def _made(entries: DataFrame, top: Column, now: int) -> DataFrame:
+    """New entries with ids above top, time, mark and title."""
     order = Window.orderBy("file_name")  # of the appended entries alone
-    top = df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    made = (
-        entries.crossJoin(F.broadcast(top))  # one row
-        .withColumn("id", F.col("_top") + F.row_number().over(order))
+    return (
+        entries.withColumn("id", top + F.row_number().over(order))
         .withColumn("timestamp", F.lit(now).cast("long"))
         .withColumn("saved", F.lit(False))
         .withColumn("title", entry_title(F.lit(now)))
-        .select(*df.columns)
     )
+
+
+def appended(df: DataFrame, entries: DataFrame, now: int, *, policy: str = "preserve_limit", keep: int = KEEP) -> tuple[DataFrame, DataFrame]:
+    """Df with new entries (file_name, texts, post_process_requested; ids follow the greatest, in order of file_name), after retention, and the Added events of all of them."""
+    made = _made(entries, df.agg(F.coalesce(F.max("id"), F.lit(0))).scalar(), now).select(*df.columns)
     events = made.select(F.lit("added").alias("action"), "id")
     return retained(df.unionByName(made), policy, keep=keep, now=now), events
 
 
-def updated(df: DataFrame, entry_id: int, text: str, post_text: str | None, prompt: str | None) -> DataFrame:
-    """New texts for an id; other columns stay."""
-    hit = F.col("id") == entry_id
+def _found(df: DataFrame, entry_id: int) -> DataFrame:
+    """The entry of an id; an error if there is none."""
+    entry = df.filter(F.col("id") == entry_id)
+    if entry.select("id").isEmpty():
+        raise LookupError(f"history entry {entry_id} not found")
+    return entry
+
+
+def append(spark: SparkSession, path: str, entries: DataFrame, now: int) -> list[int]:
+    """K5: writes new entries (file_name, texts, post_process_requested) to the history table at path, and returns their ids in order of file_name. The entries of one call come to the driver as ids alone."""
+    try:
+        known = spark.read.schema(HISTORY_SCHEMA).parquet(path)
+    except AnalysisException:  # the first entries
+        known = spark.createDataFrame([], HISTORY_SCHEMA)
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    kinds = dict(known.dtypes)
+    made = _made(entries, F.lit(top), now).select(*[F.col(c).cast(kinds[c]) for c in known.columns])
+    made.write.mode("append").parquet(path)
+    return [r.id for r in spark.read.schema(HISTORY_SCHEMA).parquet(path).filter(F.col("id") > top).select("id").orderBy("id").collect()]
+
+
+def updated(df: DataFrame, entry_id: int, text: str, post_text: str | None, prompt: str | None) -> tuple[DataFrame, DataFrame]:
+    """Df with new texts for an id, other columns as they are, and the updated event with the new entry. A missing id is an error."""
     new = {"transcription_text": text, "post_processed_text": post_text, "post_process_prompt": prompt}
-    return df.withColumns({c: F.when(hit, F.lit(v).cast("string")).otherwise(F.col(c)) for c, v in new.items()})
+
+    def changed(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({c: F.when(F.col("id") == entry_id, F.lit(v).cast("string")).otherwise(F.col(c)) for c, v in new.items()})
+
+    event = changed(_found(df, entry_id)).select(F.lit("updated").alias("action"), *df.columns)
+    return changed(df), event
 
 
-def toggled(df: DataFrame, entry_id: int) -> DataFrame:
-    """D3."""
-    return df.withColumn("saved", F.when(F.col("id") == entry_id, ~F.col("saved")).otherwise(F.col("saved")))
+def toggled(df: DataFrame, entry_id: int) -> tuple[DataFrame, DataFrame]:
+    """D3: df with the saved mark of an id turned, and the toggled event. A missing id is an error."""
+    event = _found(df, entry_id).select(F.lit("toggled").alias("action"), "id")
+    return df.withColumn("saved", F.when(F.col("id") == entry_id, ~F.col("saved")).otherwise(F.col("saved"))), event
 
 
-def deleted(df: DataFrame, ids: Sequence[int] | DataFrame) -> DataFrame:
-    """Without some ids; ids that aren't there don't matter."""
+def deleted(df: DataFrame, ids: Sequence[int] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Df without some ids, and a deleted event for each of these; ids that aren't there don't matter, and have an event too."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select("id"), "id", "left_anti")
-    return df.filter(~F.col("id").isin(list(ids)))
+        wanted = ids.select(F.col("id").cast("long").alias("id")).distinct()
+        rest = df.join(wanted, "id", "left_anti")
+    else:
+        wanted = df.sparkSession.createDataFrame([(int(i),) for i in dict.fromkeys(ids)], "id long")
+        rest = df.filter(~F.col("id").isin(list(ids)))
+    return rest, wanted.select(F.lit("deleted").alias("action"), "id")
 
 
 def deleted_files(doomed: DataFrame, files: DataFrame) -> DataFrame:

@@ -58,10 +58,10 @@ def found_files(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def mirror_urls(rows: DataFrame, mirrors: DataFrame) -> DataFrame:
-    """A URL for each mirror (base, mirror_ord) of each file with a revision and a digest. The mirrors are those of one catalog's list: they go along with each file as one array."""
-    usable = rows.filter("revision IS NOT NULL AND sha256 IS NOT NULL").withColumn("_k", F.lit(0))
-    listed = mirrors.select(F.lit(0).alias("_k"), F.struct("mirror_ord", F.regexp_replace("base", "/+$", "").alias("base")).alias("m")).groupBy("_k").agg(F.array_sort(F.collect_list("m")).alias("_mirrors"))
-    each = usable.join(listed, "_k").withColumn("m", F.explode("_mirrors"))
+    """A URL for each mirror (base, mirror_ord) of each file with a revision and a digest. The mirrors are those of one catalog's list: one array for all files."""
+    usable = rows.filter("revision IS NOT NULL AND sha256 IS NOT NULL")
+    listed = mirrors.agg(F.collect_list(F.struct("mirror_ord", F.regexp_replace("base", "/+$", "").alias("base")))).scalar()
+    each = usable.withColumn("m", F.explode(listed))
     return each.select("model_id", F.col("m.mirror_ord").alias("mirror_ord"), F.concat_ws("/", "m.base", "repo_id", "revision", "filename").alias("url"))
 
 

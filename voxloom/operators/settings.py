@@ -16,37 +16,82 @@ SCHEMA_VERSION = 2
 
 @dataclass(frozen=True)
 class Field:
-    """A settings field: Spark type, default, and its allowed values if it is an enumeration."""
+    """A settings field: Spark type, default, its allowed values if it is an enumeration, and other stored values that stand for some of them.
+
+    count: no negative number. optional: null is a value. parts: the fields (and those
+    that may lack) of the records of a list or map of records, kept as VARIANT; null
+    stands for the caller's defaults, which C3 merges.
+    """
 
     name: str
     kind: str
     default: object
     allowed: tuple[str, ...] = ()
+    aliases: tuple[tuple[str, str], ...] = ()
+    count: bool = False
+    optional: bool = False
+    parts: tuple[tuple[str, str], ...] = ()
+    lacking: tuple[tuple[str, str], ...] = ()
 
     @property
     def json_kinds(self) -> tuple[str, ...]:
-        return {"boolean": ("BOOLEAN",), "string": ("STRING",), "bigint": ("BIGINT",), "double": ("BIGINT", "DOUBLE", "DECIMAL"), "array<string>": ("ARRAY",)}[self.kind]
+        return {"boolean": ("BOOLEAN",), "string": ("STRING",), "bigint": ("BIGINT",), "double": ("BIGINT", "DOUBLE", "DECIMAL"), "array<string>": ("ARRAY",), "map<string,string>": ("OBJECT",), "records": ("ARRAY",), "map of records": ("OBJECT",)}[self.kind]
+
 
+def _flags(names: str, default: bool) -> tuple[Field, ...]:
+    return tuple(Field(name, "boolean", default) for name in names.split())
 
+
+STRING_MAP = "map<string,string>"
+LEVELS = ("trace", "debug", "info", "warn", "error")
 # Fields with their defaults and the names of their enumerations.
 FIELDS = (
     Field("selected_model", "string", ""),
     Field("selected_language", "string", "auto"),
-    Field("translate_to_english", "boolean", False),
-    Field("onboarding_completed", "boolean", False),
-    Field("history_limit", "bigint", 5),
+    Field("app_language", "string", "en"),
+    Field("history_limit", "bigint", 5, count=True),
     Field("word_correction_threshold", "double", 0.18),
-    Field("hold_threshold_ms", "bigint", 300),
+    Field("audio_feedback_volume", "double", 1.0),
+    Field("hold_threshold_ms", "bigint", 300, count=True),
+    Field("paste_delay_ms", "bigint", 60, count=True),
+    Field("paste_delay_after_ms", "bigint", 60, count=True),
+    Field("extra_recording_buffer_ms", "bigint", 0, count=True),
     Field("custom_words", "array<string>", None),
+    Field("custom_filler_words", "array<string>", None, optional=True),
+    Field("selected_microphone", "string", None, optional=True),
+    Field("selected_channel", "bigint", None, count=True, optional=True),
+    Field("clamshell_microphone", "string", None, optional=True),
+    Field("selected_output_device", "string", None, optional=True),
+    Field("external_script_path", "string", None, optional=True),
+    Field("post_process_provider_id", "string", "openai"),
+    Field("post_process_selected_prompt_id", "string", None, optional=True),
     Field("recording_retention_period", "string", "preserve_limit", ("never", "preserve_limit", "days_3", "weeks_2", "months_3")),
     Field("shortcut_activation", "string", "hold_or_toggle", ("toggle", "push_to_talk", "hold_or_toggle")),
     Field("model_unload_timeout", "string", "min_5", ("never", "immediately", "min_2", "min_5", "min_10", "min_15", "hour_1", "sec_15")),
     Field("transcribe_accelerator", "string", "auto", ("auto", "cpu", "gpu")),
-    Field("transcribe_gpu_device", "string", None),
-    Field("overlay_style", "string", "live", ("none", "live")),
+    Field("ort_accelerator", "string", "auto", ("auto", "cpu", "cuda", "directml", "rocm")),
+    Field("transcribe_gpu_device", "string", None, optional=True),
+    Field("vad_backend", "string", "silero", ("silero", "earshot")),
+    Field("overlay_style", "string", "live", ("none", "minimal", "live")),
+    Field("overlay_position", "string", "bottom", ("top", "bottom"), (("none", "bottom"),)),
+    Field("log_level", "string", "debug", LEVELS, tuple((str(k), level) for k, level in enumerate(LEVELS, 1))),
+    Field("sound_theme", "string", "marimba", ("marimba", "pop", "custom")),
+    Field("theme", "string", "system", ("system", "light", "dark")),
+    Field("paste_method", "string", "ctrl_v", ("ctrl_v", "direct", "none", "shift_insert", "ctrl_shift_v", "external_script")),
+    Field("clipboard_handling", "string", "dont_modify", ("dont_modify", "copy_to_clipboard")),
+    Field("auto_submit_key", "string", "enter", ("enter", "ctrl_enter", "cmd_enter")),
+    Field("typing_tool", "string", "auto", ("auto", "wtype", "kwtype", "dotool", "ydotool", "xdotool")),
+    Field("keyboard_implementation", "string", ""),  # the names are the caller's
     Field("whats_new_last_seen_version", "string", ""),
-    Field("settings_schema_version", "bigint", 0),
-)
+    Field("settings_schema_version", "bigint", 0, count=True),
+    Field("post_process_api_keys", STRING_MAP, None),
+    Field("post_process_models", STRING_MAP, None),
+    Field("bindings", "map of records", None, parts=tuple((n, "STRING") for n in ("id", "name", "description", "default_binding", "current_binding"))),
+    Field("post_process_prompts", "records", None, parts=(("id", "STRING"), ("name", "STRING"), ("prompt", "STRING"))),
+    Field("post_process_providers", "records", None, parts=(("id", "STRING"), ("label", "STRING"), ("base_url", "STRING")), lacking=(("allow_base_url_edit", "BOOLEAN"), ("models_endpoint", "STRING"), ("supports_structured_output", "BOOLEAN"))),
+    *_flags("translate_to_english onboarding_completed audio_feedback start_hidden autostart_enabled always_on_microphone debug_mode auto_submit post_process_enabled mute_while_recording append_trailing_space experimental_enabled lazy_stream_close reliable_paste", False),
+    *_flags("update_checks_enabled show_whats_new_on_update show_tray_icon filler_word_removal_enabled vad_enabled", True),
+)
 
 
 def parsed(content) -> Column:
@@ -63,6 +108,23 @@ def has_key(doc: Column, name: str) -> Column:
     return _stored(doc, name).isNotNull() & (F.schema_of_variant(_stored(doc, name)) != "VOID")
 
 
+def _records_right(raw: Column, field: Field) -> Column:
+    """Whether all records of a list or map have the fields that they must have, of the right types."""
+    every = F.try_variant_get(raw, "$", "array<variant>" if field.kind == "records" else "map<string,variant>")
+    records = every if field.kind == "records" else F.map_values(every)
+
+    def right(record: Column) -> Column:
+        kind = lambda name: F.schema_of_variant(F.try_variant_get(record, f"$.{name}", "variant"))
+        out = F.lit(True)
+        for name, wanted in field.parts:
+            out = out & F.coalesce(kind(name) == wanted, F.lit(False))
+        for name, wanted in field.lacking:
+            out = out & F.coalesce(kind(name).isin(wanted, *(["VOID"] if wanted == "STRING" else [])), F.lit(True))
+        return out
+
+    return F.forall(records, right)
+
+
 def salvaged_field(doc: Column, field: Field) -> Column:
     """A field's stored value if it is of the right type (and allowed), else its default."""
     raw = _stored(doc, field.name)
@@ -70,12 +132,29 @@ def salvaged_field(doc: Column, field: Field) -> Column:
     right = kind.startswith(field.json_kinds[0])
     for k in field.json_kinds[1:]:
         right = right | kind.startswith(k)
+    if field.parts:
+        return F.when(right & _records_right(raw, field), raw).alias(field.name)
     if field.kind == "array<string>":
         right = kind.isin("ARRAY<STRING>", "ARRAY<VOID>")
+    if field.kind == STRING_MAP:
+        right = right & F.forall(F.map_values(F.try_variant_get(raw, "$", "map<string,variant>")), lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
+    if field.aliases and field.kind == "string":
+        right = right | kind.startswith("BIGINT")
     value = F.when(right, F.try_variant_get(doc, f"$.{field.name}", field.kind))
+    if field.count:
+        value = F.when(value >= 0, value)
     if field.allowed:
+        if field.name == "log_level":
+            value = F.lower(value)
+        for stored, meant in field.aliases:
+            value = F.when(value == stored, meant).otherwise(value)
         value = F.when(value.isin(*field.allowed), value)
-    default = F.array().cast("array<string>") if field.kind == "array<string>" else F.lit(field.default).cast(field.kind)
+    if field.kind == "array<string>" and not field.optional:
+        default = F.array().cast("array<string>")
+    elif field.kind == STRING_MAP:
+        default = F.create_map().cast(STRING_MAP)
+    else:
+        default = F.lit(field.default).cast(field.kind)
     return F.coalesce(value, default).alias(field.name)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from voxloom.operators import registry as r
 from voxloom.operators import settings as s
 from voxloom.plans.base import registrar
 from voxloom.sources import documents as sources
+from voxloom.sources import media
 from voxloom.sources.tables import table
 
 QUERIES, ORACLES, query = registrar()
@@ -310,9 +314,15 @@ def f13(spark: SparkSession, d: str) -> DataFrame:
     return c.translation_audit(spark.sql(KEYS.replace("FROM nation", "FROM voxloom_nation")))
 
 
-@query("f13_flatten_translations", "SELECT n_nationkey AS lang, 'a.b' AS key_path FROM nation UNION ALL SELECT n_nationkey, 'a.c.d' FROM nation UNION ALL SELECT n_nationkey, 'e' FROM nation")
+@query(
+    "f13_flatten_translations",
+    """SELECT n_nationkey AS lang, 'a.b' AS key_path FROM nation UNION ALL SELECT n_nationkey, 'a.c.d' FROM nation UNION ALL SELECT n_nationkey, 'e' FROM nation
+    UNION ALL SELECT n_nationkey, replace(n_name, ' ', '_') || repeat('.x', n_nationkey % 11) FROM nation""",
+)
 def f13f(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "nation").selectExpr("n_nationkey AS lang", """'{"a": {"b": "' || n_name || '", "c": {"d": 1}}, "e": [1, 2]}' AS content""")
+    """Documents of up to eleven levels, each with a key of its own."""
+    deep = "'\"' || replace(n_name, ' ', '_') || '\": ' || repeat('{\"x\": ', n_nationkey % 11) || '0' || repeat('}', n_nationkey % 11)"
+    docs = table(spark, d, "nation").selectExpr("n_nationkey AS lang", """'{"a": {"b": "' || n_name || '", "c": {"d": 1}}, "e": [1, 2], ' || """ + deep + " || '}' AS content")
     return c.flattened(docs)
 
 
@@ -327,6 +337,37 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
     return c.invariant_breaches(catalog(spark))
 
 
+#: A header of string, flag, number and list values; parts with a long one need a larger prefix than the first.
+def header(key: int, name: str) -> bytes:
+    text = lambda t: struct.pack("<Q", len(t.encode())) + t.encode()
+    pairs = [("general.architecture", 8, text("whisper" if key % 2 else "other")), ("x.tokens", 9, struct.pack("<IQ", 8, 2) + text("t" * (50_000 if key % 50 == 0 else 5)) * 2)]
+    pairs += [("general.name", 8, text(name)), ("stt.capability.streaming", 7, struct.pack("<?", key % 3 == 0)), ("general.languages", 9, struct.pack("<IQ", 8, 2) + text("en") + text("de"))]
+    magic = b"GGUF" if key % 7 else b"GGUX"
+    return magic + struct.pack("<IQQ", 3, 0, len(pairs)) + b"".join(text(k) + struct.pack("<I", kind) + value for k, kind, value in pairs)
+
+
+@query(
+    "k7_k9_header_probe",
+    """SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN ok THEN p_name END AS name, CASE WHEN ok THEN CASE WHEN p_partkey % 2 = 1 THEN 'whisper' ELSE 'other' END END AS arch, CASE WHEN ok THEN 'en,de' END AS languages,
+    CASE WHEN ok THEN p_partkey % 3 = 0 END AS streaming, NOT ok AS failed FROM (SELECT *, p_partkey % 7 > 0 AS ok FROM part)""",
+)
+def k7(spark: SparkSession, d: str) -> DataFrame:
+    @F.pandas_udf("binary")
+    def content(keys: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([header(k, n) for k, n in zip(keys, names, strict=True)])
+
+    files = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), content("p_partkey", "p_name").alias("content"))
+    return media.probed(files).select("path", "name", "arch", F.array_join("languages", ",").alias("languages"), "streaming", F.col("error").isNotNull().alias("failed"))
+
+
+@query("k16_settings_round_trip", "SELECT s_suppkey, s_name AS selected_model, s_suppkey % 2 = 0 AS debug_mode, 5 AS history_limit FROM supplier")
+def k16(spark: SparkSession, d: str) -> DataFrame:
+    """Settings written as one JSON document and read again."""
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey", "s_name AS selected_model", "s_suppkey % 2 = 0 AS debug_mode")
+    stored = rows.select("s_suppkey", c.run_json("selected_model", "debug_mode").alias("content"))
+    return s.salvaged(stored).select("s_suppkey", "selected_model", "debug_mode", "history_limit")
+
+
 @query("k6_catalog_scan", "SELECT n_nationkey, k AS ord, 'm' || k AS id, n_name AS name, k * 7 AS speed_score, 'a.gguf' AS first_file FROM nation, range(0, 2) AS t(k)")
 def k6(spark: SparkSession, d: str) -> DataFrame:
     one = lambda k: f'''{{"id": "m{k}", "unknown": [1], "name": "' || n_name || '", "speed_score": {k * 7}, "files": [{{"filename": "a.gguf", "quant": "Q8_0", "size_bytes": 5, "sha256": "x", "more": 1}}]}}'''
@@ -391,6 +432,27 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("event_id", "history_limit", "shortcut_activation", "translate_to_english", "word_correction_threshold")
 
 
+#: Stored values of each sort: right, of another type, not allowed, missing, null.
+STORED = [
+    ('"paste_delay_ms": 90, "theme": "dark", "log_level": 2, "overlay_position": "none", "custom_words": ["a", "b"], "selected_channel": 1, "vad_enabled": false', (90, "dark", "debug", "bottom", "a,b", 1, False)),
+    ('"paste_delay_ms": "sixty", "theme": 42, "log_level": 9, "overlay_position": "left", "custom_words": [1], "selected_channel": -1, "vad_enabled": "no"', (60, "system", "debug", "bottom", "", None, True)),
+    ('"paste_delay_ms": -1, "theme": "Dark", "log_level": "WARN", "overlay_position": "top", "custom_words": [], "selected_channel": null, "vad_enabled": 0', (60, "system", "warn", "top", "", None, True)),
+    ('"other": 1', (60, "system", "debug", "bottom", "", None, True)),
+]
+FIELD_NAMES = ("paste_delay_ms", "theme", "log_level", "overlay_position", "custom_words", "selected_channel", "vad_enabled")
+STORED_JSON = "CASE event_id % 4 " + " ".join(f"WHEN {k} THEN '{{{text}}}'" for k, (text, _) in enumerate(STORED)) + " END"
+
+
+def _literal(value) -> str:
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+
+
+@query("c1_salvage_each_kind", "SELECT event_id, " + ", ".join(f"CASE event_id % 4 {' '.join(f'WHEN {k} THEN {_literal(want[n])}' for k, (_, want) in enumerate(STORED))} END AS {name}" for n, name in enumerate(FIELD_NAMES)) + " FROM events")
+def c1k(spark: SparkSession, d: str) -> DataFrame:
+    rows = s.salvaged(table(spark, d, "events").select("event_id", F.expr(STORED_JSON).alias("content")))
+    return rows.select("event_id", *[F.array_join(n, ",").alias(n) if n == "custom_words" else n for n in FIELD_NAMES])
+
+
 @query(
     "c2_migrations",
     """SELECT event_id, event_id % 6 IN (0, 5) AS onboarding_completed, CASE event_id % 6 WHEN 0 THEN 'toggle' WHEN 5 THEN 'toggle' ELSE 'hold_or_toggle' END AS shortcut_activation,

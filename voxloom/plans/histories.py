@@ -130,17 +130,30 @@ def d1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d2_update_texts", WITH + "SELECT id, saved, CASE WHEN id = 77 THEN 'new' ELSE transcription_text END AS transcription_text, CASE WHEN id = 77 THEN NULL ELSE post_processed_text END AS post_processed_text, CASE WHEN id = 77 THEN 'p' ELSE post_process_prompt END AS post_process_prompt FROM history")
 def d2(spark: SparkSession, d: str) -> DataFrame:
-    return h.updated(history(spark, d), 77, "new", None, "p").select("id", "saved", "transcription_text", "post_processed_text", "post_process_prompt")
+    rows, _ = h.updated(history(spark, d), 77, "new", None, "p")
+    return rows.select("id", "saved", "transcription_text", "post_processed_text", "post_process_prompt")
 
 
 @query("d3_toggle_saved", WITH + "SELECT id, CASE WHEN id = 77 THEN NOT saved ELSE saved END AS saved FROM history")
 def d3(spark: SparkSession, d: str) -> DataFrame:
-    return h.toggled(history(spark, d), 77).select("id", "saved")
+    return h.toggled(history(spark, d), 77)[0].select("id", "saved")
+
+
+@query(
+    "d2_d4_change_events",
+    WITH + """SELECT 'updated' AS action, id, 'new' AS transcription_text FROM history WHERE id = 77 UNION ALL SELECT 'toggled', id, NULL FROM history WHERE id = 77
+    UNION ALL SELECT 'deleted', k, NULL FROM (VALUES (5), (6), (999999999)) AS t(k)""",
+)
+def d2_events(spark: SparkSession, d: str) -> DataFrame:
+    rows = history(spark, d)
+    events = [h.updated(rows, 77, "new", None, "p")[1], h.toggled(rows, 77)[1], h.deleted(rows, [5, 6, 999999999])[1]]
+    text = F.lit(None).cast("string").alias("transcription_text")
+    return events[0].select("action", "id", "transcription_text").unionByName(events[1].select("action", "id", text)).unionByName(events[2].select("action", "id", text))
 
 
 @query("d4_delete", WITH + "SELECT id FROM history WHERE id NOT IN (5, 6, 7, 999999999)")
 def d4(spark: SparkSession, d: str) -> DataFrame:
-    return h.deleted(history(spark, d), [5, 6, 7, 999999999]).select("id")
+    return h.deleted(history(spark, d), [5, 6, 7, 999999999])[0].select("id")
 
 
 @query("d5_bulk_delete_files", WITH + f"SELECT count(*) AS removed FROM history WHERE id IN ({BEYOND}) AND file_name IN (SELECT 'rec-' || o_orderkey || '.wav' FROM orders)")

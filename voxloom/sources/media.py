@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.session import on_workers
+
 RATE = 16_000
 FIRST_PREFIX, LAST_PREFIX = 64 << 10, 16 << 20
 # The format's magic, types and sanity bounds.
@@ -90,12 +92,14 @@ def gguf_header(data: bytes, wanted: tuple[str, ...]) -> dict[str, object]:
     return found
 
 
-def growing_header(data: bytes, wanted: tuple[str, ...]) -> dict[str, object]:
-    """K7: the header from a prefix that doubles, or grows to what is needed, up to a bound."""
+def growing_header(read, wanted: tuple[str, ...]) -> dict[str, object]:
+    """K7: the header from a prefix that doubles, or grows to what is needed, up to a bound. read: the file's bytes, or a function that gives its first so many."""
+    first = read if callable(read) else (lambda size: read[:size])
     size = FIRST_PREFIX
     while True:
+        data = first(size)
         try:
-            return gguf_header(data[:size], wanted)
+            return gguf_header(data, wanted)
         except Truncated as e:
             larger = min(max(e.needed, 2 * size), LAST_PREFIX)
             if len(data) < size or larger <= size:
@@ -103,6 +107,27 @@ def growing_header(data: bytes, wanted: tuple[str, ...]) -> dict[str, object]:
             size = larger
 
 
+def opened(path: str):
+    """A file by its path or URI, in any file system that Arrow knows."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        path = path.removeprefix("file:")
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path)
+
+
+def prefix_of(path: str):
+    """A function that gives a file's first so many bytes and never reads the rest."""
+
+    def first(size: int) -> bytes:
+        system, name = opened(path)
+        with system.open_input_stream(name, buffer_size=None) as f:
+            return f.read(size)
+
+    return first
+
+
 def as_flag(found: tuple[int, object] | None) -> bool | None:
     """A flag stored as such or as a small integer; other types are unknown."""
     return bool(found[1]) if found and found[0] in (0, 1, 4, 5, 7) else None
@@ -112,25 +137,29 @@ PROBE_SCHEMA = "path string, name string, arch string, size_label string, langua
 FLAGS = ("stt.capability.translate", "stt.capability.lang_detect", "stt.capability.streaming")
 
 
+def _probe(path: str, read, wanted: tuple[str, ...], flags: tuple[str, str, str]) -> tuple:
+    try:
+        found, error = growing_header(read, wanted), None
+    except (ValueError, Truncated, OSError) as e:
+        found, error = {}, str(e)
+    text = lambda k: found[k][1] if k in found and found[k][0] == STRING else None
+    langs = found.get("general.languages", (None, None))[1]
+    langs = langs if isinstance(langs, list) and all(isinstance(x, str) for x in langs) else None
+    return path, text("general.name"), text("general.architecture"), text("general.size_label"), langs, *(as_flag(found.get(k)) for k in flags), error
+
+
 def probed(files: DataFrame, flags: tuple[str, str, str] = FLAGS) -> DataFrame:
-    """K7-K9: labels and flags of each file (path, content); an unreadable header gives its error and no values."""
-    wanted = (*LABEL_KEYS, *flags)
+    """K7-K9: labels and flags of each file, by its prefix at path, or by content where files have that column; an unreadable header gives its error and no values."""
+    wanted, held = (*LABEL_KEYS, *flags), "content" in files.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    found, error = growing_header(bytes(content or b""), wanted), None
-                except (ValueError, Truncated) as e:
-                    found, error = {}, str(e)
-                text = lambda k, f=found: f[k][1] if k in f and f[k][0] == STRING else None
-                langs = found.get("general.languages", (None, None))[1]
-                langs = langs if isinstance(langs, list) and all(isinstance(x, str) for x in langs) else None
-                rows.append((path, text("general.name"), text("general.architecture"), text("general.size_label"), langs, *(as_flag(found.get(k)) for k in flags), error))
+            contents = (bytes(c or b"") for c in batch["content"]) if held else map(prefix_of, batch["path"])
+            rows = [_probe(path, read, wanted, flags) for path, read in zip(batch["path"], contents, strict=True)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PROBE_SCHEMA.split(", ")]).astype({"translate": "boolean", "lang_detect": "boolean", "streaming": "boolean"})
 
-    return files.select("path", "content").mapInPandas(run, PROBE_SCHEMA)
+    on_workers(files.sparkSession)
+    return files.select("path", *["content"] * held).mapInPandas(run, PROBE_SCHEMA)
 
 
 def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -158,6 +187,30 @@ def encoded_wav(samples) -> Column:
     return run(F.col(samples) if isinstance(samples, str) else samples)
 
 
+def write_wavs(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes a WAV file for each row (file_name, samples) into a folder that all executors reach, each under another name first, so a task that runs again does no harm. Returns (file_name, bytes, samples) of what has been written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        system, base = opened(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            made = []
+            for name, samples in zip(batch["file_name"], batch["samples"], strict=True):
+                data = wav_bytes(samples)
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(data)
+                system.move(part, f"{base}/{name}")
+                made.append((name, len(data), len(samples)))
+            yield pd.DataFrame(made, columns=["file_name", "bytes", "samples"])
+
+    spark = on_workers(rows.sparkSession)
+    done = rows.filter("samples IS NOT NULL AND file_name IS NOT NULL").select("file_name", "samples").mapInPandas(run, "file_name string, bytes long, samples long")
+    return spark.createDataFrame(done.toArrow())  # a line for each file
+
+
 def recordings(files: DataFrame) -> DataFrame:
     """Format and samples (as value / 32767) of each WAV file (path, content)."""
 
