@@ -27,7 +27,7 @@ def levels(samples: np.ndarray, window: int, rate: int = 16_000) -> np.ndarray |
     """The levels of the first window of samples; None if there are fewer."""
     if len(samples) < window:
         return None
-    x = np.asarray(samples[:window], np.float32)
+    x = np.asarray(samples[:window], np.float32).astype(np.float64)
     hann = 0.5 * (1 - np.cos(2 * np.pi * np.arange(window) / window))
     power = np.abs(np.fft.fft((x - x.mean()) * hann)) ** 2
     out = np.zeros(BUCKETS)

@@ -90,13 +90,30 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return metrics.ring_drops(e, 900)
 
 
-@query("s7_spectrum_levels")
+def levels_sql(window: int, rate: int) -> str:
+    """S7 by the sums of a Fourier transform; each bucket but the edges takes its left neighbour as smoothed already."""
+    bins = signal.bucket_bins(window, rate)
+    level = f"least(1.0, greatest(0.0, pow(least(1.0, greatest(0.0, (db - {signal.DB_LOW}) / {signal.DB_HIGH - signal.DB_LOW})) * {signal.GAIN}, {signal.CURVE})))"
+    raw = ", ".join(f"max(CASE WHEN bucket = {k} THEN level END) AS r{k}" for k in range(len(bins)))
+    smooth = ", ".join(f"r{k} AS s{k}" if k in (0, len(bins) - 1) else f"0.7 * r{k} + 0.15 * s{k - 1} + 0.15 * r{k + 1} AS s{k}" for k in range(len(bins)))
+    return f"""WITH x AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(0, {window}) AS r(i) WHERE len(embedding) >= {window}),
+    w AS (SELECT vec_id, i, (v - avg(v) OVER (PARTITION BY vec_id)) * 0.5 * (1 - cos(2 * pi() * i / {window})) AS v FROM x),
+    p AS (SELECT vec_id, k, pow(sum(v * cos(2 * pi() * k * i / {window})), 2) + pow(sum(v * sin(2 * pi() * k * i / {window})), 2) AS power FROM w, range(0, {window // 2}) AS f(k) GROUP BY vec_id, k),
+    b(bucket, low, high) AS (VALUES {", ".join(f"({k}, {a}, {z})" for k, (a, z) in enumerate(bins) if a < z <= window // 2)}),
+    m AS (SELECT vec_id, bucket, avg(power) AS mean FROM p JOIN b ON k >= low AND k < high GROUP BY vec_id, bucket),
+    l AS (SELECT vec_id, bucket, {level} AS level FROM (SELECT vec_id, bucket, CASE WHEN mean > 1e-12 THEN 20 * log10(sqrt(mean) / {window}) ELSE {signal.SILENCE_DB} END AS db FROM m)),
+    s AS (SELECT vec_id, {smooth} FROM (SELECT vec_id, {raw} FROM l GROUP BY vec_id))
+    """ + " UNION ALL ".join(f"SELECT vec_id, {k} AS bucket, round(s{k}, 4) AS level FROM s" for k in range(len(bins)))
+
+
+@query("s7_spectrum_levels", levels_sql(32, 16_000))
 def s7(spark: SparkSession, d: str) -> DataFrame:
     loud = F.transform("embedding", lambda x: x.cast("float"))
-    return table(spark, d, "embeddings").select("vec_id", signal.spectrum(loud, 32, 16_000).alias("levels"))
+    found = table(spark, d, "embeddings").select("vec_id", F.posexplode(signal.spectrum(loud, 32, 16_000)).alias("bucket", "level"))
+    return found.select("vec_id", "bucket", F.round("level", 4).alias("level"))
 
 
-@query("s8_resample")
+@query("s8_resample", "SELECT vec_id, CAST(ceil((len(embedding) * 16000 // 48000 + 171) / 16.0) * 16 AS INT) AS n FROM embeddings")
 def s8(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.size(signal.resample("embedding", 48_000, 16_000, 16)).alias("n"))
 
@@ -170,7 +187,54 @@ def h5(spark: SparkSession, d: str) -> DataFrame:
     return metrics.idle_evictions(a, 36_000_000, 1_706_659_200_000)
 
 
-@query("g1_coordinator")
+#: G1 step by step: phase 0 lets time pass up to an event (a deferred release may take effect), phase 1 takes the event.
+#: A cancel outside a recording drops the press and a deferred release, and leaves the stage.
+G1_SQL = """WITH RECURSIVE e0 AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, epoch_us(ts) // 1000 AS t,
+   CASE WHEN event_id % 11 = 0 THEN 'finished' WHEN event_id % 29 = 0 THEN 'cancel' WHEN event_type IN ('view', 'purchase') THEN 'press' ELSE 'release' END AS kind,
+   CASE WHEN event_id % 17 = 0 THEN 'b2' ELSE 'b1' END AS b, CASE event_id % 3 WHEN 0 THEN 'toggle' WHEN 1 THEN 'push_to_talk' ELSE 'hold_or_toggle' END AS mode, event_id % 13 = 0 AS external FROM events),
+ ev AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY t, seq) AS n, t, kind, b, mode, external, CASE WHEN mode = 'hold_or_toggle' THEN 300 ELSE 0 END AS needed FROM e0
+   UNION ALL SELECT key, count(*) + 1, 4611686018427387904, 'end', '', '', false, 0 FROM e0 GROUP BY key),
+ m(key, n, phase, stage, act, pb, ps, pl, rb, ra, rn, last, effect, et, eb) AS (
+   SELECT DISTINCT key, 0::BIGINT, 1, 'idle', NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, false, NULL::VARCHAR, NULL::BIGINT, NULL::INTEGER, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR FROM e0
+   UNION ALL
+   SELECT key, n, phase,
+     CASE WHEN does = 'stop' THEN 'processing' WHEN does = 'start' THEN 'recording' WHEN does IN ('clear', 'idle') THEN 'idle' ELSE stage END,
+     CASE WHEN does = 'start' THEN coalesce(wb, b) WHEN does IN ('stop', 'clear', 'idle') THEN NULL ELSE act END,
+     CASE WHEN does = 'start' THEN coalesce(wb, b) WHEN does = 'remember' THEN b WHEN does IN ('stop', 'clear', 'idle', 'forget', 'drop') THEN NULL ELSE pb END,
+     CASE WHEN does = 'start' THEN coalesce(ws, t) WHEN does = 'remember' THEN t WHEN does IN ('stop', 'clear', 'idle', 'forget', 'drop') THEN NULL ELSE ps END,
+     CASE WHEN does = 'start' THEN CASE WHEN wb IS NULL THEN mode = 'toggle' ELSE wl END WHEN does = 'remember' THEN mode = 'toggle' WHEN does = 'lock' THEN true WHEN does IN ('stop', 'clear', 'idle', 'forget', 'drop') THEN false ELSE pl END,
+     CASE WHEN does = 'defer' THEN b WHEN due OR does IN ('retake', 'clear', 'drop') THEN NULL ELSE rb END,
+     CASE WHEN does = 'defer' THEN t WHEN due OR does IN ('retake', 'clear', 'drop') THEN NULL ELSE ra END,
+     CASE WHEN does = 'defer' THEN needed WHEN due OR does IN ('retake', 'clear', 'drop') THEN NULL ELSE rn END,
+     CASE WHEN stamps THEN t ELSE last END,
+     CASE WHEN does IN ('start', 'stop') THEN does END, CASE WHEN phase = 0 THEN ra + 50 ELSE t END, CASE WHEN does = 'stop' AND phase = 0 THEN rb WHEN does = 'start' THEN coalesce(wb, b) ELSE b END
+   FROM (SELECT *,
+      CASE WHEN phase = 0 THEN CASE WHEN NOT due THEN 'none'
+          WHEN stage = 'recording' AND act = rb THEN CASE WHEN pb IS NOT NULL AND ra - ps < rn THEN 'lock' ELSE 'stop' END
+          WHEN stage = 'processing' AND pb = rb THEN CASE WHEN ra - ps < rn THEN 'lock' ELSE 'forget' END ELSE 'none' END
+        WHEN kind = 'end' THEN 'none'
+        WHEN kind = 'cancel' THEN CASE WHEN stage = 'recording' THEN 'clear' ELSE 'drop' END
+        WHEN kind = 'finished' THEN CASE WHEN wb IS NOT NULL THEN 'start' ELSE 'idle' END
+        WHEN holds AND kind = 'press' AND rb = b THEN 'retake'
+        WHEN holds AND kind = 'release' AND held = b AND rb IS NULL THEN 'defer'
+        WHEN bounced THEN 'none'
+        WHEN stage = 'processing' THEN CASE WHEN kind = 'release' OR pb IS NOT NULL AND pb <> b THEN 'none' WHEN pb IS NULL THEN 'remember' WHEN mode = 'toggle' OR pl THEN 'forget' ELSE 'none' END
+        WHEN stage = 'idle' THEN CASE WHEN kind = 'press' THEN 'start' ELSE 'none' END
+        WHEN act = b THEN CASE WHEN kind = 'press' AND (mode = 'toggle' OR pb IS NOT NULL AND pl) THEN 'stop' WHEN kind = 'release' AND holds THEN CASE WHEN pb IS NOT NULL AND t - ps < needed THEN 'lock' ELSE 'stop' END ELSE 'none' END
+        ELSE 'none' END AS does,
+      phase = 1 AND kind = 'press' AND NOT external AND NOT (holds AND coalesce(rb = b, false)) AND NOT bounced AS stamps
+     FROM (SELECT m.key, e.n, 1 - m.phase AS phase, m.stage, m.act, m.pb, m.ps, m.pl, m.rb, m.ra, m.rn, m.last, e.t, e.kind, e.b, e.mode, e.external, e.needed,
+        m.phase = 1 AND m.rb IS NOT NULL AND e.t >= m.ra + 50 AS due,
+        e.mode <> 'toggle' AND NOT (m.pb IS NOT NULL AND m.pl) AS holds,
+        CASE WHEN m.stage = 'recording' THEN m.act ELSE m.pb END AS held,
+        e.kind = 'press' AND NOT e.external AND m.last IS NOT NULL AND e.t - m.last < 30 AS bounced,
+        CASE WHEN e.kind = 'finished' AND m.stage = 'processing' THEN m.pb END AS wb, CASE WHEN e.kind = 'finished' AND m.stage = 'processing' THEN m.ps END AS ws, m.pl AS wl
+        FROM m JOIN ev e ON e.key = m.key AND e.n = m.n + m.phase))),
+ every AS (SELECT * FROM m)
+ SELECT key, et AS t_ms, effect, eb AS binding FROM every WHERE effect IS NOT NULL"""
+
+
+@query("g1_coordinator", G1_SQL)
 def g1(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     kind = F.when(e % 11 == 0, "finished").when(e % 29 == 0, "cancel").when(F.col("event_type").isin("view", "purchase"), "press").otherwise("release")

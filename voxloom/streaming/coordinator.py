@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from voxloom.session import on_workers
+
 # Fixed values, in milliseconds.
 DEBOUNCE_MS, GRACE_MS, HOLD_MS = 30, 50, 300
 IDLE, RECORDING, PROCESSING = "idle", "recording", "processing"
@@ -133,23 +135,44 @@ class Coordinator:
                 self._let_go(Release(binding, now, needed), self.press, now)
 
 
-def _fed(key: str, machine: Coordinator, rows: pd.DataFrame) -> pd.DataFrame:
-    for r in rows.sort_values(["t_ms", "seq"], kind="stable").itertuples(index=False):
-        value = lambda x, other: other if x is None or x != x else x
-        machine.feed(int(r.t_ms), r.kind, value(r.binding, ""), value(r.mode, "hold_or_toggle"), int(value(r.hold_ms, HOLD_MS)), bool(value(r.external, False)))
-    return pd.DataFrame([(key, *e) for e in machine.effects], columns=["key", "t_ms", "effect", "binding"])
+def _feed(machine: Coordinator, r) -> None:
+    value = lambda x, other: other if x is None or x != x else x
+    machine.feed(int(r.t_ms), r.kind, value(r.binding, ""), value(r.mode, "hold_or_toggle"), int(value(r.hold_ms, HOLD_MS)), bool(value(r.external, False)))
 
 
-def coordinated(events: DataFrame, until_ms: int | None = None) -> DataFrame:
-    """The effects (start, stop) of each key's events; time runs on to until_ms, or until all grace is over."""
+def _effects(key: str, machine: Coordinator) -> list[tuple]:
+    """The effects since the last call."""
+    made, machine.effects = [(key, *e) for e in machine.effects], []
+    return made
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        machine = Coordinator()
-        _fed(key[0], machine, rows)
-        machine.advance(until_ms if until_ms is not None else 1 << 62)
-        return pd.DataFrame([(key[0], *e) for e in machine.effects], columns=["key", "t_ms", "effect", "binding"])
 
-    return events.groupBy("key").applyInPandas(run, EFFECTS)
+def coordinated(events: DataFrame, until_ms: int | None = None) -> DataFrame:
+    """The effects (start, stop) of each key's events; time runs on to until_ms, or until all grace is over. Events of a key are read as a stream in order, so a key may have any number."""
+    columns = ["key", "t_ms", "effect", "binding"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, machine = None, None
+
+        def closed() -> list[tuple]:
+            machine.advance(until_ms if until_ms is not None else 1 << 62)
+            return _effects(of, machine)
+
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if machine is None or r.key != of:
+                    if machine is not None:
+                        out += closed()
+                    of, machine = r.key, Coordinator()
+                _feed(machine, r)
+                out += _effects(of, machine)
+            yield pd.DataFrame(out, columns=columns)
+        if machine is not None:
+            yield pd.DataFrame(closed(), columns=columns)
+
+    rows = edges_of(events).filter("key IS NOT NULL")
+    on_workers(events.sparkSession)
+    return rows.repartition("key").sortWithinPartitions("key", "t_ms", "seq").mapInPandas(run, EFFECTS)
 
 
 def coordinated_stream(events: DataFrame) -> DataFrame:
@@ -162,7 +185,8 @@ def coordinated_stream(events: DataFrame) -> DataFrame:
                 machine.advance(machine.deadline)
         else:
             for rows in batches:
-                _fed(key[0], machine, rows)
+                for r in rows.sort_values(["t_ms", "seq"], kind="stable").itertuples(index=False):
+                    _feed(machine, r)
         state.update((machine.dumped(),))
         if machine.deadline is not None:
             state.setTimeoutDuration(GRACE_MS)
