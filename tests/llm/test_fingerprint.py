@@ -48,3 +48,36 @@ def test_one_row_and_none(spark):
     one = fingerprint.fingerprints(spark.createDataFrame([(None, "a b c")], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.n_chars, r.near_next) for r in one] == [(None, 5, 1.0)]
     assert fingerprint.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_samples_equal_brute_force():
+    """Sample by sample and word by word, from the same uniform numbers."""
+    import numpy as np
+
+    rng = random.Random(9)
+    sampler = fingerprint.Sampler(32)
+    agree = []
+    for _ in range(10):
+        text = " ".join(rng.choice(["a", "b", f"w{rng.randrange(50)}"]) for _ in range(40))
+        found = sampler.sample(text)
+        bags = sorted(Counter(text.encode().split()).items())
+        base = fingerprint.mix(sampler.hashes.array([w for w, _ in bags]))
+        (r1, r2), (c1, c2), (b, _) = (sampler._uniform(base, which) for which in range(3))
+        for k in range(32):
+            best = None
+            for j, (_, weight) in enumerate(bags):
+                r, c = -np.log(float(r1[j, k]) * float(r2[j, k])), -np.log(float(c1[j, k]) * float(c2[j, k]))
+                t = np.floor(np.log(weight) / r + float(b[j, k]))
+                log_a = np.log(c) - r * (t - float(b[j, k]) + 1)
+                if best is None or log_a < best[0]:
+                    best = log_a, int(fingerprint.mix(np.array([(int(base[j]) + (int(t) + 1) * int(fingerprint._STEP)) % 2**64], np.uint64))[0]) >> 48
+            agree.append(best[1] == found[k])
+    assert np.mean(agree) > 0.98  # single precision there
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k % 70_000}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, "a b"), (3, long)], "doc_id long, text string")
+    out = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    assert out[1].fingerprint == out[3].fingerprint and out[1].n_chars == len(long) and out[1].near_next < 0.2
+    assert out[1].edited_sha256 == hashlib.sha256((long[: len(long) - len(long) // 2] + "a b").encode()).hexdigest()

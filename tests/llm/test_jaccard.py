@@ -114,3 +114,11 @@ def test_components(spark):
             if a is not None and a != b:
                 low[a] = low[b] = min(low.get(a, a), low.get(b, b))
     assert out == low
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    near = [*words[:60_000], "new", *words[60_000:]]
+    docs = spark.createDataFrame([(4, " ".join(words)), (2, " ".join(near)), (9, " ".join(words[:60_000])), (1, "short")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs, n=4, percent=85).collect()} == {(4, 2), (2, 2), (9, 9), (1, 1)}

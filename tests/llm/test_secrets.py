@@ -53,3 +53,53 @@ def test_long_runs_and_what_patterns_leave_of_a_run():
     path = "_".join(words * 30)
     (a, kind, b), = secrets.spans_of(path + drawn(1600), model, 0.4)
     assert kind == 3 and abs(a - len(path)) < 512 and b == len(path) + 1600
+
+
+def plain_spans(text, model, threshold):
+    """All spans, run by run and character by character."""
+    base = naive(text)
+    added = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) < secrets.SHORTEST:
+            continue
+        at, free = m.start(), []
+        for a, _, b in [s for s in base if s[0] < m.end() and s[2] > m.start()] + [(m.end(), 0, m.end())]:
+            if a - at >= secrets.SHORTEST:
+                free.append((at, a))
+            at = max(at, b)
+        for a, b in free:
+            starts, size = [a], secrets.LONGEST
+            while b - starts[-1] > size:
+                starts.append(min(starts[-1] + size // 2, b - size))
+            here = []
+            for x in starts:
+                part = text[x : min(x + size, b)]
+                classes = any(c.isupper() for c in part) + any(c.islower() for c in part) + any(c.isdigit() for c in part)
+                score = sum(float(model.ratio[ord(p) if p else 0, ord(c)]) for p, c in zip(["", *part], part, strict=False)) / len(part)
+                if classes >= 2 and score > threshold:
+                    if here and x <= here[-1][2]:
+                        here[-1] = (here[-1][0], 3, x + len(part))
+                    else:
+                        here.append((x, 3, x + len(part)))
+            added += here
+    return sorted(base + added)
+
+
+def test_all_spans_equal_a_plain_version():
+    rng = random.Random(8)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda n: "".join(rng.choice(mixed) for _ in range(n))
+    words = ["plain", "words", "of", "ordinary", "names", "internationalization", "and"]
+    model = secrets.Markov([drawn(40) for _ in range(300)], words * 40)
+    for _ in range(400):
+        bits = [rng.choice([rng.choice(words), drawn(rng.choice([8, 20, 60, 700])), "0f" * rng.randint(5, 30), "token=", "AKIA" + "Z9" * 9, "é", "_", "/"]) + rng.choice(["", " ", "-"]) for _ in range(rng.randint(0, 8))]
+        text = "".join(bits)
+        assert secrets.spans_of(text, model, 0.5) == plain_spans(text, model, 0.5), text
+
+
+def test_words_of_long_documents_are_all_learned_from(spark):
+    """The sample's words aren't cut: words that sort last in a document of thousands count too."""
+    text = " ".join(f"aa{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{'xyz'[k % 3]}" for k in range(3000)) + " zqzqzqzqzqzq"
+    model = secrets.fit(spark.createDataFrame([(1, text), (None, "x"), (2, None)], "doc_id long, text string"))
+    bare = secrets.fit(spark.createDataFrame([(1, text.removesuffix(" zqzqzqzqzqzq"))], "doc_id long, text string"))
+    assert model.ratio[ord("z"), ord("q")] < bare.ratio[ord("z"), ord("q")]

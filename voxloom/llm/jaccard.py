@@ -105,15 +105,16 @@ def signatures(tokens: np.ndarray, percent: int, ranges: list[tuple[int, int, in
 def _shared_once(sig: np.ndarray, node: np.ndarray) -> dict[str, np.ndarray]:
     """Signatures of nodes, each for one node only; that others have it too is told by a signature of the two."""
     order = np.argsort(sig, kind="stable")
-    sig, node = sig[order], node[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
+    sorted_sig, sorted_node = sig[order], node[order]
+    first = np.concatenate([[True], sorted_sig[1:] != sorted_sig[:-1]]) if len(sig) else np.zeros(0, bool)
     if first.all():
         return {"sig": sig, "node": node}
-    hub = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-    edges = np.unique(np.stack([node, hub])[:, ~first & (node != hub)], axis=1)
+    hub = sorted_node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+    edges = np.unique(np.stack([sorted_node, hub])[:, ~first & (sorted_node != hub)], axis=1)
     with np.errstate(over="ignore"):
         key = mix(mix(edges[0].view(np.uint64)) + edges[1].view(np.uint64)).view(np.int64)
-    return {"sig": np.concatenate([sig[first], key, key]), "node": np.concatenate([node[first], edges[0], edges[1]])}
+    kept = np.sort(order[first])  # rows of a node side by side, as they came: they take less room so
+    return {"sig": np.concatenate([sig[kept], key, key]), "node": np.concatenate([node[kept], edges[0], edges[1]])}
 
 
 def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
