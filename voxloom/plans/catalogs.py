@@ -144,9 +144,14 @@ for _name, _current, _onboarded in (("kept", "m3", True), ("picked", "m4", True)
         return r.selected(models(spark, d), current, onboarded)
 
 
-@query("r14_arch_verdict", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'compatible' WHEN 1 THEN 'incompatible' ELSE 'unknown' END AS verdict FROM part")
+ARCHES = "[" + ", ".join(f"'{a}'" for a in r.KNOWN_ARCHES) + "]"
+ARCH = "CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN p_type ELSE {arches}[p_partkey % {n} + {first}] END"
+
+
+@query("r14_arch_verdict", f"SELECT p_partkey, CASE WHEN arch IS NULL THEN 'unknown' WHEN list_contains({ARCHES}, arch) THEN 'compatible' ELSE 'incompatible' END AS verdict FROM (SELECT p_partkey, {ARCH.format(arches=ARCHES, n=len(r.KNOWN_ARCHES), first=1)} AS arch FROM part)")
 def r14(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", r.verdict(F.expr("CASE p_size % 3 WHEN 0 THEN 'moonshine' WHEN 1 THEN p_type END")).alias("verdict"))
+    arch = F.expr(ARCH.format(arches="array(" + ARCHES[1:-1] + ")", n=len(r.KNOWN_ARCHES), first=0))
+    return table(spark, d, "part").select("p_partkey", r.verdict(arch).alias("verdict"))
 
 
 @query("r15_local_capabilities", WITH + "SELECT model_id AS filename, coalesce(CASE WHEN pos % 4 > 0 THEN translate END, false) AS translate, len(languages) > 1 AS can_choose_language FROM models")
@@ -247,10 +252,20 @@ def f5(spark: SparkSession, d: str) -> DataFrame:
     return catalog(spark).select("id", c.default_quant("files", F.expr("CASE WHEN ord % 2 = 0 THEN '1.7B' ELSE '62M' END"), F.expr("CASE WHEN ord % 7 = 0 THEN 'F16' END")).alias("quant"))
 
 
-@query("f6_family", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'moonshine' WHEN 1 THEN 'canary' WHEN 2 THEN 'voxtral' ELSE 'other' END AS family FROM part")
+SLUGS = "lower(replace(p_name, ' ', '-')) || CASE p_size % 5 WHEN 0 THEN '-Moonshine-Streaming-x' WHEN 1 THEN '-canary-qwen' WHEN 2 THEN '-Whisper-Canary' WHEN 3 THEN '-x-qwen3' ELSE '' END"
+
+
+def _list(names, start: str, end: str) -> str:
+    return start + ", ".join(f"'{n}'" for n in names) + end
+
+
+@query(
+    "f6_family",
+    f"""SELECT p_partkey, coalesce(string_split(list_filter({_list(c.FAMILIES, '[', ']')}, lambda f: contains(lower({SLUGS}), f))[1], '-')[1], CASE WHEN p_size % 7 = 2 THEN 'voxtral' WHEN p_size % 7 = 3 THEN 'granite' END, 'other') AS family FROM part""",
+)
 def f6(spark: SparkSession, d: str) -> DataFrame:
-    slug = F.expr("CASE p_size % 4 WHEN 0 THEN 'Moonshine-Streaming-' || p_size WHEN 1 THEN 'my-canary-qwen' ELSE 'zz' END")
-    return table(spark, d, "part").select("p_partkey", c.family(slug, F.expr("CASE WHEN p_size % 4 = 2 THEN array('x', 'voxtral') ELSE array('x') END")).alias("family"))
+    tags = F.expr("CASE p_size % 7 WHEN 2 THEN array('x', 'voxtral') WHEN 3 THEN array('granite', 'y') ELSE array('x') END")
+    return table(spark, d, "part").select("p_partkey", c.family(F.expr(SLUGS), tags).alias("family"))
 
 
 @query("f7_model_files", CAT + "SELECT id AS repo, string_agg(filename, ',' ORDER BY size_bytes) AS names FROM files WHERE sha256 IS NOT NULL GROUP BY id")
@@ -389,16 +404,27 @@ def k14(spark: SparkSession, d: str) -> DataFrame:
     return c.model_paths(listing).select("path")
 
 
-@query("k15_hub_cache", "SELECT 'org/r' || n_nationkey AS repo_id, CASE WHEN n_nationkey % 2 = 0 THEN 'c-main' ELSE 'c-a' END AS \"commit\" FROM nation")
+REFS = """SELECT CASE WHEN n_nationkey % 6 = 5 THEN 'x' ELSE '' END || 'models--org--r' || n_nationkey % 9 AS folder, CASE WHEN n_nationkey % 4 = 0 THEN 'main' ELSE 'ref' || n_name END AS ref, 'c' || n_nationkey AS "commit" FROM nation"""
+
+
+@query("k15_hub_cache", f"SELECT replace(replace(folder, 'models--', ''), '--', '/') AS repo_id, arg_min(\"commit\", CASE WHEN ref = 'main' THEN '0' ELSE '1' || ref END) AS \"commit\" FROM ({REFS}) WHERE folder LIKE 'models--%' GROUP BY folder")
 def k15(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").selectExpr("'models--org--r' || n_nationkey AS folder", "n_nationkey")
-    refs = n.selectExpr("folder", "'a' AS ref", "'c-a' AS commit").unionByName(n.filter("n_nationkey % 2 = 0").selectExpr("folder", "'main' AS ref", "'c-main' AS commit")).unionByName(n.selectExpr("'x' || folder AS folder", "'b' AS ref", "'c' AS commit"))
-    return c.hub_cache(refs)
+    table(spark, d, "nation").createOrReplaceTempView("voxloom_nation")
+    return c.hub_cache(spark.sql(REFS.replace("FROM nation", "FROM voxloom_nation").replace('"commit"', "`commit`")))
+
 
+ANSWERS = """CASE n_nationkey % 5 WHEN 0 THEN '{"data": [{"id": "a"}, {"name": "' || n_name || '"}, {"x": 1}]}' WHEN 1 THEN '["' || n_name || '", "z"]' WHEN 2 THEN '{"data": [{"id": "' || n_name || '", "name": "other"}]}'
+ WHEN 3 THEN '["a", 5, {"name": "' || n_name || '"}]' ELSE '{"data": []}' END"""
 
-@query("k17_remote_models", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'a,' || n_name WHEN 1 THEN n_name || ',z' ELSE '' END AS names FROM nation")
+
+@query(
+    "k17_remote_models",
+    f"""SELECT n_nationkey, coalesce(list_aggregate(list_filter(list_transform(CAST(CASE json_type(c) WHEN 'OBJECT' THEN c->'$.data' ELSE c END AS JSON[]),
+      lambda x: CASE json_type(x) WHEN 'OBJECT' THEN coalesce(x->>'$.id', x->>'$.name') WHEN 'VARCHAR' THEN x->>'$' END), lambda x: x IS NOT NULL), 'string_agg', ','), '') AS names
+    FROM (SELECT n_nationkey, CAST({ANSWERS} AS JSON) AS c FROM nation)""",
+)
 def k17(spark: SparkSession, d: str) -> DataFrame:
-    content = F.expr("""CASE n_nationkey % 3 WHEN 0 THEN '{"data": [{"id": "a"}, {"name": "' || n_name || '"}, {"x": 1}]}' WHEN 1 THEN '["' || n_name || '", "z"]' ELSE '{"data": []}' END""")
+    content = F.expr(ANSWERS)
     return table(spark, d, "nation").select("n_nationkey", F.array_join(c.remote_models(content), ",").alias("names"))
 
 
@@ -412,9 +438,9 @@ def k20(spark: SparkSession, d: str) -> DataFrame:
     return c.model_lines(models(spark, d))
 
 
-@query("k24_digest_check", "SELECT s_suppkey, s_suppkey % 3 <> 1 AS ok FROM supplier")
+@query("k24_digest_check", "SELECT s_suppkey, expected IS NULL OR sha256(s_name) = lower(expected) AS ok FROM (SELECT s_suppkey, s_name, CASE s_suppkey % 3 WHEN 0 THEN upper(sha256(s_name)) WHEN 1 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'bad' ELSE sha256(s_name) END END AS expected FROM supplier)")
 def k24(spark: SparkSession, d: str) -> DataFrame:
-    expected = F.expr("CASE s_suppkey % 3 WHEN 0 THEN upper(sha2(s_name, 256)) WHEN 1 THEN 'bad' END")
+    expected = F.expr("CASE s_suppkey % 3 WHEN 0 THEN upper(sha2(s_name, 256)) WHEN 1 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'bad' ELSE sha2(s_name, 256) END END")
     return table(spark, d, "supplier").select("s_suppkey", c.digest_ok(F.col("s_name").cast("binary"), expected).alias("ok"))
 
 

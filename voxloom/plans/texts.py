@@ -217,7 +217,11 @@ def t18(spark: SparkSession, d: str) -> DataFrame:
 ANSWER = """CASE turn % 4 WHEN 0 THEN '<think>t</think>{"transcription": "' || role || '"}' WHEN 1 THEN '{"transcription": 5}' WHEN 2 THEN '{"other": "x"}' ELSE 'not json ' || role END"""
 
 
-@query("t19_structured_transcript", TURNS + """CASE turn % 4 WHEN 0 THEN role WHEN 1 THEN '{"transcription": 5}' WHEN 2 THEN '{"other": "x"}' ELSE 'not json ' || role END AS answer FROM conversations""")
+@query(
+    "t19_structured_transcript",
+    TURNS + f"""CASE WHEN json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END, '$.transcription') = 'VARCHAR' THEN CAST(raw AS JSON)->>'$.transcription' ELSE raw END AS answer
+    FROM (SELECT conv_id, turn, regexp_replace({ANSWER}, '^\\s*<think>.*?</think>\\s*', '', 's') AS raw FROM conversations)""",
+)
 def t19(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", text.structured_transcript(F.expr(ANSWER)).alias("answer"))
 
@@ -271,7 +275,13 @@ def t27(spark: SparkSession, d: str) -> DataFrame:
 CODES = "SELECT n_nationkey, ['en', 'EN_us', 'zh_Hant_HK', 'zh-Hans-TW', 'zh-TW', 'yue', 'yue-Hans', 'pt-BR', 'xx', 'de_AT', 'zh', 'fr-CA'][n_nationkey % 12 + 1] AS code FROM nation"
 
 
-@query("t28_ui_language", f"SELECT n_nationkey, CASE code WHEN 'en' THEN 'en' WHEN 'EN_us' THEN 'en' WHEN 'zh_Hant_HK' THEN 'zh-TW' WHEN 'zh-Hans-TW' THEN 'zh' WHEN 'zh-TW' THEN 'zh-TW' WHEN 'yue' THEN 'zh-TW' WHEN 'yue-Hans' THEN 'zh' WHEN 'pt-BR' THEN 'pt' WHEN 'de_AT' THEN 'de' WHEN 'zh' THEN 'zh' END AS ui FROM ({CODES})")
+@query(
+    "t28_ui_language",
+    f"""WITH c AS (SELECT n_nationkey, lower(replace(code, '_', '-')) AS low FROM ({CODES})), known AS (SELECT unnest(['en', 'de', 'pt', 'zh', 'zh-TW']) AS k),
+    w AS (SELECT *, regexp_extract(low, '^[^-_]*') AS base, list_contains(string_split(low, '-'), 'hans') AS hans, list_contains(string_split(low, '-'), 'hant') AS hant, list_has_any(string_split(low, '-'), ['tw', 'hk', 'mo']) AS place FROM c),
+    x AS (SELECT *, CASE WHEN base = 'yue' THEN CASE WHEN hans THEN 'zh' ELSE 'zh-tw' END WHEN base = 'zh' AND (hant OR NOT hans AND place) THEN 'zh-tw' ELSE base END AS wanted FROM w)
+    SELECT n_nationkey, coalesce(a.k, b.k) AS ui FROM x LEFT JOIN known a ON lower(a.k) = low LEFT JOIN known b ON lower(b.k) = wanted""",
+)
 def t28(spark: SparkSession, d: str) -> DataFrame:
     codes = F.array(*map(F.lit, ["en", "EN_us", "zh_Hant_HK", "zh-Hans-TW", "zh-TW", "yue", "yue-Hans", "pt-BR", "xx", "de_AT", "zh", "fr-CA"]))
     return table(spark, d, "nation").select("n_nationkey", text.resolve_ui_language(F.element_at(codes, F.col("n_nationkey") % 12 + 1), ["en", "de", "pt", "zh", "zh-TW"]).alias("ui"))
