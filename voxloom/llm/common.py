@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxloom.session import on_workers
+from voxloom.session import on_workers, shared_dir
 
 LEAST = -(1 << 62)  # stands for a null doc_id
 #: Constants of the 64-bit finaliser used for all token hashes here.
@@ -23,20 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests), else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = context.get() if context.isDefined() else None
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="voxloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text of docs, a null id as LEAST: pandas would make whole numbers beside a null inexact."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), "text")
