@@ -7,10 +7,10 @@ catalogs and settings are literal rows on both sides.
 
 from __future__ import annotations
 
-from voxloom.plans import catalogs, histories, streams, texts
+from voxloom.plans import catalogs, files, histories, streams, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (histories, texts, streams, catalogs):
+for _module in (histories, texts, streams, catalogs, files):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -42,6 +42,15 @@ def t3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.try_element_at(keys, F.lit(1)).alias("first_key"), (F.size(keys) > 0).alias("has_key"))
 
 
+@query(
+    "t4_supported_keys",
+    f"SELECT doc_id, at_word, regexp_full_match(k, '[A-Za-z0-9]+') AS fuzzy, regexp_full_match(k, '[A-Za-z]+') AS soundex FROM (SELECT doc_id, i - 1 AS at_word, lower(regexp_replace(w, '[^{ALNUM}]', '', 'g')) AS k FROM (SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS a FROM documents)))",
+)
+def t4(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d).select("doc_id", F.posexplode(text.words("text")).alias("i", "w")).withColumn("k", text.match_key("w"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("at_word"), text.fuzzy_key_ok("k").alias("fuzzy"), text.soundex_ok("k").alias("soundex"))
+
+
 NAMES = "(SELECT DISTINCT lower(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) AS k FROM nation)"
 
 

@@ -41,7 +41,8 @@ def parsed_catalog(content) -> Column:
 
 
 def _file(df: DataFrame, pattern: str, name: str) -> DataFrame:
-    made = df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # a URI
+    made = df.withColumn(name, F.regexp_extract(path, pattern, 1))
     return made.filter(F.col(name) != "")
 
 
