@@ -17,9 +17,6 @@ counts of its different words and bigrams, its features, in blocks of 64-bit key
 each block sums what all chunks have of its keys and answers each chunk. There are
 more blocks in a larger corpus, so neither a chunk nor a block outgrows a task.
 
-`fit` makes a Model of bounded size for callers that want one to hold; `scores`
-doesn't use it.
-
 Defined cases: a null or empty text has 0 words, losses and score 0; without
 target or background documents both models are the same up to smoothing; rows
 repeat as often as they come, and count so; a null id is never a target.
@@ -39,9 +36,8 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import Hashes, hold, join_ids, keyed, mix, unkeyed, written
 from voxloom.session import on_workers
 
-MOST_WORDS, MOST_BIGRAMS, K = 8191, 1 << 20, 20.0
+K = 20.0  # smoothing
 BROADCAST_IDS = 2_000_000
-HELD = 2_000_000  # words that a task holds before it counts them
 CHUNK, BLOCK = 2_000_000, 500_000  # words of a chunk, and of the corpus for each block of keys
 _WORDS = Hashes(5)
 
@@ -50,109 +46,6 @@ def hashed(text: str | None) -> np.ndarray:
     return _WORDS.array(text.encode("utf-8", "replace").lower().split()).view(np.int64) if text else np.zeros(0, np.int64)
 
 
-def _totals(parts: list[np.ndarray], target: list[np.ndarray]) -> pd.DataFrame:
-    key, at = np.unique(np.concatenate(parts), return_inverse=True)
-    of_target = np.concatenate(target)
-    return pd.DataFrame({"key": key, "t": np.bincount(at[of_target], minlength=len(key)), "b": np.bincount(at[~of_target], minlength=len(key))})
-
-
-def _counted(docs: DataFrame, keys_of) -> DataFrame:
-    """(key, t, b): how often each key of docs (text, target) comes in target and background documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hold(_WORDS)
-        parts, flags, held = [], [], 0
-        for batch in batches:
-            for text, target in zip(batch["text"], batch["target"], strict=True):
-                keys = keys_of(text)
-                parts.append(keys)
-                flags.append(np.full(len(keys), bool(target)))
-                held += len(keys)
-                if held > HELD:
-                    yield _totals(parts, flags)
-                    parts, flags, held = [], [], 0
-        if held:
-            yield _totals(parts, flags)
-
-    return docs.mapInPandas(run, "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def _frequent(counts: DataFrame, most: int) -> pd.DataFrame:
-    """The keys of at least the least count that leaves no more than `most`, in order of key."""
-    top = 1_000_000
-    bins = sorted(((r.n, r.keys) for r in counts.groupBy(F.least(F.col("t") + F.col("b"), F.lit(top)).alias("n")).agg(F.count("*").alias("keys")).collect()), reverse=True)
-    least, kept = top + 1, 0
-    for n, keys in bins:
-        if kept + keys > most:
-            break
-        least, kept = n, kept + keys
-    found = counts.filter(F.col("t") + F.col("b") >= least)
-    return (found if kept else found.limit(0)).toArrow().to_pandas().sort_values("key", ignore_index=True)  # 24 bytes a key
-
-
-class Model:
-    """Per-token losses of both models, by numbers of words; the last number is the unknown word, the one before any text too."""
-
-    def __init__(self, words: np.ndarray, unigrams: tuple[np.ndarray, np.ndarray], keys: np.ndarray, bigrams: tuple[np.ndarray, np.ndarray], k: float = K) -> None:
-        self.words, self.keys = words, keys
-        self.base = len(words) + 1
-        total = [float(u.sum()) for u in unigrams]
-        scale = (1.0, total[0] / total[1] if total[0] and total[1] else 1.0)
-        self.uni, self.bi, self.weight = [], [], []
-        for u, b, s in zip(unigrams, bigrams, scale, strict=True):
-            c = u * s
-            self.uni.append((c + 1) / (c.sum() + self.base))
-            self.weight.append(c / (c + k))
-            history = keys // self.base
-            self.bi.append((self.weight[-1][history] * b * s / np.maximum(c[history], 1e-12)).astype(np.float32))
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        return numbered(self.words, hashed(text))
-
-    def losses(self, text: str | None) -> tuple[int, float, float]:
-        """(words, mean loss of the target's model, mean loss of the background's) of a text."""
-        w = self.numbers(text)
-        if not len(w):
-            return 0, 0.0, 0.0
-        h = np.concatenate([[self.base - 1], w[:-1]])
-        key = h * self.base + w
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-        loss = []
-        for side in (0, 1):
-            p = (1 - self.weight[side][h]) * self.uni[side][w]
-            p[known] += self.bi[side][at[known]]
-            loss.append(float(-np.log(p).mean()))
-        return len(w), loss[0], loss[1]
-
-
-def numbered(words: np.ndarray, found: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(found), np.int64)
-    at = np.searchsorted(words, found)
-    at[at == len(words)] = 0
-    return np.where(words[at] == found, at, len(words))
-
-
-def fit(docs: DataFrame, *, most_words: int = MOST_WORDS, most_bigrams: int = MOST_BIGRAMS) -> Model:
-    """The models of docs (text, target)."""
-    counts = written(_counted(docs, hashed), "word-counts")
-    total_t, total_b = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    kept = _frequent(counts, most_words)
-    words = kept["key"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # 8 bytes for each of most_words
-    base = len(words) + 1
-
-    def keys_of(text: str | None) -> np.ndarray:
-        w = numbered(shared.value, hashed(text))
-        return np.concatenate([[base - 1], w[:-1]]) * base + w if len(w) else w
-
-    pairs = _frequent(written(_counted(docs, keys_of), "bigram-counts"), most_bigrams)
-    unigrams = tuple(np.append(kept[c].to_numpy(np.float64), float(total) - kept[c].sum()) for c, total in (("t", total_t), ("b", total_b)))
-    return Model(words, unigrams, pairs["key"].to_numpy(np.int64), (pairs["t"].to_numpy(np.float64), pairs["b"].to_numpy(np.float64)))
-
-
 def _packed(x: np.ndarray) -> bytes:
     return zlib.compress(x.tobytes(), 1)
 
