@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import decontaminate, fingerprint, jaccard, langid, lmscore, pieces, quality, secrets, sharding, wrappers
+from voxloom.llm import decontaminate, divergence, fingerprint, jaccard, langid, lmscore, onebit, pieces, quality, resample, secrets, sharding, wrappers
 from voxloom.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -54,6 +54,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontamination": op2_decontamination,
@@ -65,6 +77,9 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
+    "op11_divergence_audit": op11_divergence_audit,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 #: All pairs by shared shingle and components by closure: for tables of the size that the oracle is run on.
 OP3_SQL = """
@@ -106,4 +121,58 @@ SELECT b.doc_id, b.size,
 FROM base b JOIN sh ON b.text IS NOT DISTINCT FROM sh.text, crc_table
 """
 
-ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL, "op7_sharding": OP7_SQL}
+#: Every kept term of every pair of sources, one by one.
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS whole FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(whole) AS total FROM kept GROUP BY lang),
+t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (
+  SELECT t.lang, t.source, kept.term, coalesce(c.n, 0) AS n,
+    (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (t.total + 2 * v.v))::HUGEINT AS p,
+    (1 + 1000000000::HUGEINT * (kept.whole + 2) // (v.total + 2 * v.v))::HUGEINT AS q
+  FROM t JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = kept.term),
+pairs AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+#: CRC by its table, once for each different word.
+OP12_SQL = """
+WITH crc_table AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce([k] || range(8), lambda a, i: xor(a // 2, (a % 2) * 3988292384)) AS v FROM range(256) AS r(k))),
+texts AS (SELECT row_number() OVER () AS row, doc_id, text, false AS target FROM documents UNION ALL SELECT NULL, NULL, text, true FROM benchmark),
+w AS (SELECT row, target, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM texts),
+crc AS (
+  SELECT word, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, strlen(word)), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT), lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM w), crc_table),
+n AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM w JOIN crc USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain FROM n),
+f AS (SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM w JOIN crc USING (word) JOIN gain USING (bucket) WHERE NOT target GROUP BY row),
+d AS (
+  SELECT texts.row, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+  FROM texts LEFT JOIN f USING (row) WHERE NOT target),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+ranked AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (row)
+"""
+
+#: All inner products, in the order of components.
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce([0::DOUBLE] || list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL, "op7_sharding": OP7_SQL, "op11_divergence_audit": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_nearest_neighbours": OP13_SQL}
