@@ -12,9 +12,11 @@ over the original vectors, decides.
 Every vector is indexed, none is cut off by a cell or a list: the stated queries are
 held against all codes, in blocks. Equal vectors are one entry with its k + 1 smallest
 ids, which is all that a result can hold of them; so large groups of copies cost as much as one
-vector. Entries are packed into chunks of even size; a task streams through the chunks
-of its slot with one block of queries and hands on the k + 1 best rows of each query.
-There are as many slots as keep all tasks busy and no more, so few rows are handed on.
+vector. A query's first bound is its k-th best score in a sample of the rows, of bounded
+bytes. Entries are packed into chunks of even size; a task streams through the chunks
+of its slot with one block of queries, raises the bounds as it goes, and hands on the
+rows that reach them, k + 1 of each query at most. There are as many slots as keep all
+tasks busy and no more.
 
 The recall against all products is measured in the tests; at the default bound results
 are the exact ones but for one in some thousands.
@@ -41,7 +43,9 @@ from voxloom.llm.common import hot_join, written
 from voxloom.session import on_workers
 
 BITS, SIGMAS, SEED = 256, 4.0, 13
-CHUNK, BLOCK, STEP = 1024, 8192, 1024  # vectors of a chunk, queries of a block, queries held against a chunk at once
+CHUNK, BLOCK = 1024, 8192  # vectors of a chunk, queries of a block
+CELLS, PAIRS = 1 << 20, 1 << 16  # estimates held at once, and pairs reranked at once
+SAMPLE, SAMPLE_BYTES = 16_384, 16 << 20  # of the rows that give the first bounds; the fewer count
 TASKS = 64
 
 
@@ -85,33 +89,47 @@ def products(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray)
 
 
 class Search:
-    """The best rows so far of a block of queries."""
+    """The best rows so far of a block of queries. floors: scores that a query's last place has at least."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, keep: int, bits: int, seed: int, sigmas: float) -> None:
-        self.ids, self.keep, self.sigmas = ids, keep, sigmas
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, floors: np.ndarray, keep: int, bits: int, seed: int, sigmas: float) -> None:
+        self.ids, self.keep, self.sigmas, self.vectors = ids, keep, sigmas, vectors
         self.by_component = np.ascontiguousarray(vectors.T)
         self.length, self.turned = rotated(vectors, bits, seed)
         self.held = np.zeros(len(ids), np.int64)
         self.score, self.row = np.full((len(ids), keep), -np.inf), np.zeros((len(ids), keep), np.int64)
+        self.floors = floors.copy()
 
     def see(self, vectors: np.ndarray, codes: np.ndarray, length: np.ndarray, cosines: np.ndarray, many: np.ndarray, rows: np.ndarray) -> None:
         """A chunk: its entries, and the rows (ids) of each, `many` of them."""
-        by_component, starts = np.ascontiguousarray(vectors.T), np.cumsum(many) - many
-        for at in range(0, len(self.ids), STEP):
-            part = slice(at, at + STEP)
-            cosine, error = estimates(codes, cosines, self.turned[part], self.sigmas)
-            least = np.where(self.held[part] == self.keep, self.score[part, -1], -np.inf) / self.length[part]
-            if len(length) > self.keep and np.isneginf(least).any():  # the lower bounds say as much
-                low = np.partition((cosine - error) * length, len(length) - self.keep, axis=1)[:, len(length) - self.keep]
-                least = np.maximum(least, low)
-            q, e = np.nonzero((cosine + error) * length >= least[:, None])
-            if len(q):
-                q += at
-                self._take(q, products(self.by_component, by_component, q, e), e, many, starts, rows)
+        by_component, starts, n = np.ascontiguousarray(vectors.T), np.cumsum(many) - many, len(vectors)
+        step = max(16, CELLS // n)
+        top = length.max()
+        relative = length / top
+        if relative.min() > 1e-6:
+            relative = relative.astype(np.float32)  # else single precision may not hold it
+        for at in range(0, len(self.ids), step):
+            part = slice(at, at + step)
+            upper, error = estimates(codes, cosines, self.turned[part], self.sigmas)
+            upper = upper * relative
+            least = np.maximum(self.floors[part], self.score[part, -1])
+            if n >= 2 * self.keep and (new := np.flatnonzero(np.isneginf(least))).size:
+                # the k-th best of those that look best is a bound for all
+                e = np.argpartition(upper[new], n - 2 * self.keep, axis=1)[:, n - 2 * self.keep :]
+                best = products(self.by_component, by_component, np.repeat(new + at, 2 * self.keep), e.ravel()).reshape(e.shape)
+                least[new] = np.partition(best, self.keep, axis=1)[:, self.keep]
+            upper += error * relative
+            q, e = np.nonzero(upper >= (least / self.length[part] / top)[:, None])
+            q += at
+            for some in range(0, len(q), PAIRS):
+                i, j = q[some : some + PAIRS], e[some : some + PAIRS]
+                about = np.einsum("ij,ij->i", self.vectors[i], vectors[j])  # in another order of components
+                close = ~(about < least[i - at] - 1e-9 * self.length[i] * length[j])
+                i, j = i[close], j[close]
+                score = products(self.by_component, by_component, i, j)
+                reach = ~(score < least[i - at])
+                self._take(i[reach], score[reach], j[reach], many, starts, rows)
 
     def _take(self, q, score, e, many, starts, rows) -> None:
-        beats = (self.held[q] < self.keep) | (score >= self.score[q, -1])
-        q, score, e = q[beats], score[beats], e[beats]
         if not len(q):
             return
         times = many[e]
@@ -135,11 +153,11 @@ class Search:
         return pd.DataFrame({"query": np.repeat(self.ids, self.held), "vec_id": self.row[known], "score": self.score[known]})
 
 
-_CHUNK = "dim int, chunk long, n int, vectors binary, codes binary, lengths binary, cosines binary, many binary, ids binary"
+_CHUNK = "dim int, chunk long, n int, vectors binary, codes binary, lengths binary, cosines binary, floors binary, many binary, ids binary"
 
 
-def _packed(entries: DataFrame, size: int, bits: int, seed: int, coded: bool) -> DataFrame:
-    """entries (vector, ids) in chunks of one dimension, `size` at most; codes only if coded."""
+def _packed(entries: DataFrame, size: int, packed) -> DataFrame:
+    """entries (vector, ids) in chunks of one dimension, `size` at most; packed: the chunk's own columns, from its vectors."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, held = TaskContext.get().partitionId() << 32, {}
@@ -148,8 +166,8 @@ def _packed(entries: DataFrame, size: int, bits: int, seed: int, coded: bool) ->
             nonlocal number
             vectors, ids = np.stack([x[0] for x in held[dim]]), [x[1] for x in held.pop(dim)]
             number += 1
-            codes, length, cosines = encode(vectors, bits, seed) if coded else (np.zeros(0), np.zeros(0), np.zeros(0))
-            return pd.DataFrame({"dim": [dim], "chunk": [number - 1], "n": [len(ids)], "vectors": [vectors.tobytes()], "codes": [codes.tobytes()], "lengths": [length.tobytes()], "cosines": [cosines.tobytes()], "many": [np.array([len(x) for x in ids], np.int64).tobytes()], "ids": [np.concatenate(ids).tobytes()]})
+            own = dict.fromkeys(("codes", "lengths", "cosines", "floors"), b"") | {c: x.tobytes() for c, x in packed(vectors).items()}
+            return pd.DataFrame({"dim": [dim], "chunk": [number - 1], "n": [len(ids)], "vectors": [vectors.tobytes()], **{c: [x] for c, x in own.items()}, "many": [np.array([len(x) for x in ids], np.int64).tobytes()], "ids": [np.concatenate(ids).tobytes()]})
 
         for batch in batches:
             for vector, ids in zip(batch["vector"], batch["ids"], strict=True):
@@ -163,6 +181,20 @@ def _packed(entries: DataFrame, size: int, bits: int, seed: int, coded: bool) ->
     return written(entries.select("vector", "ids").mapInPandas(pack, _CHUNK), "vectors")
 
 
+def _sampled(rows: DataFrame) -> dict[int, tuple]:
+    """By dimension, what `Search.see` takes, of rows with the smallest hashes: SAMPLE rows and SAMPLE_BYTES at most."""
+    count, size = rows.agg(F.count("*"), F.sum(8 * F.size("vector"))).first()
+    if not count:
+        return {}
+    share = min(1.0, SAMPLE / count, SAMPLE_BYTES / size)
+    hashed = F.pmod(F.xxhash64("vec_id", "vector", F.lit(SEED)), F.lit(1 << 53))
+    found = rows.filter(hashed <= int(share * (1 << 53))).distinct().limit(2 * SAMPLE).toArrow()
+    by_dim: dict[int, list] = {}
+    for i, v in zip(found["vec_id"].to_pylist(), found["vector"], strict=True):
+        by_dim.setdefault(len(v), []).append((v.values.to_numpy(), i))
+    return {dim: (np.stack([v for v, _ in own]), np.array([i for _, i in own], np.int64)) for dim, own in by_dim.items()}
+
+
 def _array(data: bytes, kind, *shape) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(shape) if shape else np.frombuffer(data, kind)
 
@@ -176,17 +208,32 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, id_column: str
 
     # entries: different vectors, each with its smallest ids
     of_vector = Window.partitionBy("vector").orderBy("vec_id")
+    def coded(vectors: np.ndarray) -> dict[str, np.ndarray]:
+        codes, length, cosines = encode(vectors, bits, seed)
+        return {"codes": codes, "lengths": length, "cosines": cosines}
+
     ids = rows.distinct().withColumn("_nth", F.row_number().over(of_vector)).filter(F.col("_nth") <= k + 1)
-    entries = _packed(ids.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), chunk, bits, seed, True)
+    entries = _packed(ids.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), chunk, coded)
+
+    # queries: each different vector once, with the bound that a sample gives
+    sample = spark.sparkContext.broadcast(_sampled(rows))  # SAMPLE_BYTES at most
+
+    def bounded(vectors: np.ndarray) -> dict[str, np.ndarray]:
+        search = Search(np.arange(len(vectors)), vectors, np.full(len(vectors), -np.inf), k + 1, bits, seed, sigmas)
+        if vectors.shape[1] in sample.value:
+            own, i = sample.value[vectors.shape[1]]
+            search.see(own, *encode(own, bits, seed), np.ones(len(i), np.int64), i)
+        return {"floors": search.score[:, -1]}
+
     asking = rows.filter(queries)
     asked = asking.groupBy("vector").agg(F.count("*").alias("_rows"))
     asked = written(asked.withColumn("query", F.monotonically_increasing_id()), "queries")
-    blocks = _packed(asked.select("vector", F.array("query").alias("ids")), block, bits, seed, False)
+    blocks = _packed(asked.select("vector", F.array("query").alias("ids")).repartition(max(1, 2 * spark.sparkContext.defaultParallelism)), block, bounded)
 
     n_blocks = blocks.count()
     busy = tasks or max(TASKS, 2 * spark.sparkContext.defaultParallelism)
     slots = max(1, min(entries.count(), -(-busy // max(1, n_blocks))))
-    payload = ("n", "vectors", "codes", "lengths", "cosines", "many", "ids")
+    payload = ("n", "vectors", "codes", "lengths", "cosines", "floors", "many", "ids")
     left = entries.join(F.broadcast(blocks.select("dim", F.col("chunk").alias("block"))), "dim").select("dim", "block", F.pmod(F.xxhash64("chunk"), F.lit(slots)).alias("slot"), F.lit(1).alias("kind"), *payload)  # two numbers for each block
     right = blocks.select("dim", F.col("chunk").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"), F.lit(0).alias("kind"), *payload)
 
@@ -198,7 +245,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, id_column: str
                 if row.kind == 0:
                     if now is not None:
                         yield now.found()
-                    now, key = Search(_array(row.ids, np.int64), data, k + 1, bits, seed, sigmas), (row.block, row.slot)
+                    now, key = Search(_array(row.ids, np.int64), data, _array(row.floors, np.float64), k + 1, bits, seed, sigmas), (row.block, row.slot)
                 elif key == (row.block, row.slot):
                     now.see(data, _array(row.codes, np.uint8, row.n, -1), _array(row.lengths, np.float64), _array(row.cosines, np.float64), _array(row.many, np.int64), _array(row.ids, np.int64))
         if now is not None:
