@@ -43,7 +43,7 @@ from voxloom.llm.common import hot_join, written
 from voxloom.session import on_workers
 
 BITS, SIGMAS, SEED = 256, 4.0, 13
-CHUNK, BLOCK = 1024, 8192  # vectors of a chunk, queries of a block
+CHUNK, BLOCK, LEAST_BLOCK = 1024, 8192, 1024  # vectors of a chunk, queries of a block, and of one where there are few
 CELLS, PAIRS = 1 << 20, 1 << 16  # estimates held at once, and pairs reranked at once
 SAMPLE, SAMPLE_BYTES = 16_384, 16 << 20  # of the rows that give the first bounds; the fewer count
 TASKS = 64
@@ -228,7 +228,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, id_column: str
     asking = rows.filter(queries)
     asked = asking.groupBy("vector").agg(F.count("*").alias("_rows"))
     asked = written(asked.withColumn("query", F.monotonically_increasing_id()), "queries")
-    blocks = _packed(asked.select("vector", F.array("query").alias("ids")).repartition(max(1, 2 * spark.sparkContext.defaultParallelism)), block, bounded)
+    blocks = _packed(asked.select("vector", F.array("query").alias("ids")).repartition(max(1, min(2 * spark.sparkContext.defaultParallelism, -(-asked.count() // LEAST_BLOCK)))), block, bounded)
 
     n_blocks = blocks.count()
     busy = tasks or max(TASKS, 2 * spark.sparkContext.defaultParallelism)
