@@ -1,6 +1,10 @@
 import hashlib
+import os
 import random
 import re
+import uuid
+
+import pytest
 
 from voxloom.llm import secrets
 
@@ -52,36 +56,42 @@ def test_long_runs_and_what_patterns_leave_of_a_run():
     assert secrets.spans_of("_".join(words * 60), model, 0.4) == []
     path = "_".join(words * 30)
     (a, kind, b), = secrets.spans_of(path + drawn(1600), model, 0.4)
-    assert kind == 3 and abs(a - len(path)) < 512 and b == len(path) + 1600
+    assert kind == 3 and abs(a - len(path)) < 16 and b == len(path) + 1600
 
 
-def plain_spans(text, model, threshold):
-    """All spans, run by run and character by character."""
+def plain_spans(text, model, threshold, change=secrets.CHANGE):
+    """All spans, run by run: the best choice of random stretches, tried from each start to each end."""
     base = naive(text)
+    taken = sorted([(a, b) for a, _, b in base] + [m.span() for m in secrets.UUID.finditer(text)])
     added = []
     for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
-        if len(m[0]) < secrets.SHORTEST:
-            continue
         at, free = m.start(), []
-        for a, _, b in [s for s in base if s[0] < m.end() and s[2] > m.start()] + [(m.end(), 0, m.end())]:
+        for a, b in [s for s in taken if s[0] < m.end() and s[1] > m.start()] + [(m.end(), m.end())]:
             if a - at >= secrets.SHORTEST:
                 free.append((at, a))
             at = max(at, b)
         for a, b in free:
-            starts, size = [a], secrets.LONGEST
-            while b - starts[-1] > size:
-                starts.append(min(starts[-1] + size // 2, b - size))
-            here = []
-            for x in starts:
-                part = text[x : min(x + size, b)]
-                classes = any(c.isupper() for c in part) + any(c.islower() for c in part) + any(c.isdigit() for c in part)
-                score = sum(float(model.ratio[ord(p) if p else 0, ord(c)]) for p, c in zip(["", *part], part, strict=False)) / len(part)
-                if classes >= 2 and score > threshold:
-                    if here and x <= here[-1][2]:
-                        here[-1] = (here[-1][0], 3, x + len(part))
-                    else:
-                        here.append((x, 3, x + len(part)))
-            added += here
+            part = text[a:b]
+            scores = [float(model.ratio[ord(p) if p else 0, ord(c)]) - threshold for p, c in zip(["", *part], part, strict=False)]
+            n, sums = len(part), [0.0]
+            for x in scores:
+                sums.append(sums[-1] + x)
+            best = [(0.0, ())] * (n + 1)  # of the first i characters, ending in the ordinary state
+            whole = (0.0, ())
+            for i in range(1, n + 1):
+                ways = [best[i - 1]]
+                for j in range(i):
+                    value = best[j][0] + sums[i] - sums[j] - change * (j > 0)
+                    if i < n:
+                        ways.append((value - change, (*best[j][1], (j, i))))
+                    elif value > whole[0]:
+                        whole = (value, (*best[j][1], (j, i)))
+                best[i] = max(ways, key=lambda w: w[0])
+            chosen = max(best[n], whole, key=lambda w: w[0])[1]
+            for x, y in chosen:
+                s = part[x:y]
+                if y - x >= secrets.SHORTEST and any(map(str.isupper, s)) + any(map(str.islower, s)) + any(map(str.isdigit, s)) >= 2:
+                    added.append((a + x, 3, a + y))
     return sorted(base + added)
 
 
@@ -92,7 +102,7 @@ def test_all_spans_equal_a_plain_version():
     words = ["plain", "words", "of", "ordinary", "names", "internationalization", "and"]
     model = secrets.Markov([drawn(40) for _ in range(300)], words * 40)
     for _ in range(400):
-        bits = [rng.choice([rng.choice(words), drawn(rng.choice([8, 20, 60, 700])), "0f" * rng.randint(5, 30), "token=", "AKIA" + "Z9" * 9, "é", "_", "/"]) + rng.choice(["", " ", "-"]) for _ in range(rng.randint(0, 8))]
+        bits = [rng.choice([rng.choice(words), drawn(rng.choice([8, 20, 60, 120])), "0f" * rng.randint(5, 30), "token=", "AKIA" + "Z9" * 9, "é", "_", "/"]) + rng.choice(["", " ", "-"]) for _ in range(rng.randint(0, 8))]
         text = "".join(bits)
         assert secrets.spans_of(text, model, 0.5) == plain_spans(text, model, 0.5), text
 
@@ -103,3 +113,47 @@ def test_words_of_long_documents_are_all_learned_from(spark):
     model = secrets.fit(spark.createDataFrame([(1, text), (None, "x"), (2, None)], "doc_id long, text string"))
     bare = secrets.fit(spark.createDataFrame([(1, text.removesuffix(" zqzqzqzqzqzq"))], "doc_id long, text string"))
     assert model.ratio[ord("z"), ord("q")] < bare.ratio[ord("z"), ord("q")]
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize("size", [40, 100, 200, 400, 600, 2000])
+def test_keys_are_found_in_runs_of_any_length(model, size):
+    rng = random.Random(size)
+    words = ["home", "user", "project", "source", "main", "resources", "config", "data", "service", "application", "build", "release"]
+    found = most = exact = 0
+    for _ in range(50):
+        key, path = "".join(rng.choice(LETTERS) for _ in range(40)), ""
+        while len(path) < size - 40:
+            path += rng.choice(words) + "/"
+        at = rng.choice([k for k, c in enumerate(path) if c == "/"] or [-1]) + 1
+        spans = [s for s in secrets.spans_of(f"see {path[:at]}{key}/{path[at:]}", model) if s[1] == 3]
+        a, b = 4 + at, 44 + at
+        hit = max([max(0, min(b, y) - max(a, x)) for x, _, y in spans], default=0)
+        found += hit >= 24
+        most += hit >= 36
+        exact += len(spans) == 1 and abs(spans[0][0] - a) <= 6 and abs(spans[0][2] - b) <= 6
+    assert found == 50 and most >= 48 and exact >= 34
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_names_of_things_are_no_secrets(model):
+    rng = random.Random(9)
+    plain = [str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(200)]
+    plain += [f"user_{u}/file" for u in plain[:50]] + [u.upper() for u in plain[:50]]
+    words = ["get", "User", "Account", "internationalization", "list", "Config", "service", "Handler", "response", "Manager", "of", "things"]
+    assert [t for t in plain if secrets.spans_of(t, model)] == []
+    names = [rng.choice(["_", "", "-", "/"]).join(rng.choice(words) for _ in range(rng.randint(3, 40))) for _ in range(1000)]
+    assert sum(bool(secrets.spans_of(t, model)) for t in names) <= 5
+
+
+def test_a_null_id_is_kept(spark):
+    out = secrets.scan(spark.createDataFrame([(None, "token=abcdef1"), (None, None)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_assign) for r in out.collect()) == [(None, 0), (None, 1)]

@@ -7,15 +7,20 @@ match, in code points, end exclusive):
 - access: `AKIA` and capitals or digits, 20 or more characters in all;
 - hex: a maximal run of `[0-9a-f]` of 24 or more characters.
 
-The method adds `markov` spans: what the spans above leave of maximal runs of
-`[A-Za-z0-9+/_=-]`, in pieces of 16 or more characters with characters of two
-classes at least (capitals, small letters, digits), whose mean log-likelihood
-ratio between two first-order character Markov models is over `threshold`.
-Pieces of over 512 characters are scored so in windows of 512, each half over
-the one before; windows over the threshold that touch make one span.
+The method adds `markov` spans: of what the spans above leave of maximal runs of
+`[A-Za-z0-9+/_=-]`, in pieces of 16 or more characters, the segments that score best.
+A character scores the log-likelihood ratio between two first-order character Markov
+models less `threshold`; the segments are those of the best path through two states,
+ordinary (which scores nothing) and random, each change of which costs `change`. So a
+piece is one segment if it is random as a whole, and a random part of a longer run is
+found wherever it lies, however long the run is. A segment has 16 or more characters,
+of two classes at least (capitals, small letters, digits). A UUID (8-4-4-4-12
+hexadecimal digits with a version and variant) names a thing and is no secret of itself:
+it is left out of the pieces, unless a pattern has it.
 One model is trained on
 random strings, the other on ordinary identifiers; the labelled samples are
-values of pattern matches and all different plain words of each document of a
+values of pattern matches and all different plain words, alone and joined as names
+are (`_`, `-`, `/`, capitals), of each document of a
 bounded sample (those of the `sample` smallest seeded hashes of doc_id), and random
 strings drawn with a fixed seed over the alphabets in ALPHABETS.
 
@@ -42,7 +47,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
-SAMPLE, THRESHOLD, SHORTEST, LONGEST = 500, 0.8, 16, 512
+UUID = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[1-8][0-9A-Fa-f]{3}-[89ABab][0-9A-Fa-f]{3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])")
+SAMPLE, THRESHOLD, CHANGE, SHORTEST = 500, 0.8, 8.0, 16
 MASK = "[SECRET]"
 
 #: class of each code point below 128: bit 0 in a run, bit 1 capital, bit 2 small, bit 3 digit, bit 4 hexadecimal
@@ -100,9 +106,9 @@ class Markov:
             logs.append(np.log(counts / counts.sum(axis=1, keepdims=True)))
         self.ratio = (logs[0] - logs[1]).astype(np.float32)
 
-    def score(self, points: np.ndarray) -> float:
-        """Nats a character."""
-        return float(self.ratio[np.concatenate([[0], points[:-1]]), points].mean())
+    def scores(self, points: np.ndarray) -> np.ndarray:
+        """The ratio of each character after the one before it, in nats."""
+        return self.ratio[np.concatenate([[0], points[:-1]]), points]
 
 
 def fit(docs: DataFrame, *, sample: int = SAMPLE, seed: int = 6) -> Markov:
@@ -119,7 +125,9 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, seed: int = 6) -> Markov:
                 values = [m[2] for m in map(lambda s: ASSIGN.match(text, s[0], s[2]) if s[1] == 0 else None, spans) if m] + [text[a:b] for a, k, b in spans if k]
                 hidden = [text[a:b] for a, _, b in spans]
                 plain = {w for w in re.findall(r"[A-Za-z0-9+/_=-]{3,64}", text, re.A) if not any(w in h for h in hidden)}
-                for k, strings in enumerate((values, [w for w in plain if sum(c.isdigit() for c in w) * 2 < len(w)])):
+                names = sorted(w for w in plain if sum(c.isdigit() for c in w) * 2 < len(w))
+                joined = ["_".join(names), "-".join(names), "/".join(names), "".join(w.capitalize() for w in names), "_".join(names).upper()]
+                for k, strings in enumerate((values, names + joined)):
                     for s in strings:
                         np.add.at(counts[k], _pairs(s), 1)
             at = np.flatnonzero(counts.any(axis=0))
@@ -135,9 +143,9 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, seed: int = 6) -> Markov:
     return Markov(random, ["snake_case_name", "camelCaseName", "SCREAMING_CASE", "path/to/file", "kebab-case-name"], more=(more[0], more[1]))
 
 
-def _left(a: int, b: int, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+def _left(a: int, b: int, found: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """What spans in order leave of a run, in pieces of SHORTEST or more."""
-    for x, _, y in found:
+    for x, y in found:
         if x < b and a < y:
             if x - a >= SHORTEST:
                 yield a, x
@@ -146,30 +154,45 @@ def _left(a: int, b: int, found: list[tuple[int, int, int]]) -> Iterator[tuple[i
         yield a, b
 
 
-def _windows(a: int, b: int) -> Iterator[tuple[int, int]]:
-    """The piece itself, or overlapping windows of LONGEST that cover it."""
-    while b - a > LONGEST:
-        yield a, a + LONGEST
-        a = min(a + LONGEST // 2, b - LONGEST)
-    yield a, b
-
-
-def spans_of(text: str | None, markov: Markov, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+def segments(scores: np.ndarray, change: float) -> list[tuple[int, int]]:
+    """(start, end) of the random stretches of the best path; a path begins and ends in either state at no cost."""
+    sums = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
+    if sums[-1] <= 0 and (sums - np.minimum.accumulate(sums)).max() <= change:
+        return []  # the whole is not random, and a part would not be worth one change
+    ordinary = random = 0.0
+    stayed: list[tuple[bool, bool]] = []
+    for x in scores.tolist():
+        left, entered = random - change > ordinary, ordinary - change > random
+        ordinary, random = (random - change if left else ordinary), (ordinary - change if entered else random) + x
+        stayed.append((not left, not entered))
+    out, state, end = [], random > ordinary, len(scores)
+    for at in range(len(scores) - 1, -1, -1):
+        if not stayed[at][state]:
+            if state:
+                out.append((at, end))
+            else:
+                end = at
+            state = not state
+    if state:
+        out.append((0, end))
+    return out[::-1]
+
+
+def spans_of(text: str | None, markov: Markov, threshold: float = THRESHOLD, change: float = CHANGE) -> list[tuple[int, int, int]]:
     """All spans of a text: those of the patterns, and those that the models add."""
     if not text:
         return []
     points, classes = _classes(text)
     found = base_spans(text, classes)
-    added = []
+    added, known = [], None
     for a, b in runs((classes & 1).astype(bool), SHORTEST):
-        for start, end in _left(a, b, found):
-            for x, y in _windows(start, end):
-                part = classes[x:y]
-                if sum(bool((part >> k & 1).any()) for k in (1, 2, 3)) >= 2 and markov.score(points[x:y]) > threshold:
-                    if added and start <= added[-1][0] and x <= added[-1][2]:
-                        added[-1] = (added[-1][0], 3, y)
-                    else:
-                        added.append((x, 3, y))
+        if known is None:
+            known = sorted([(x, y) for x, _, y in found] + [m.span() for m in UUID.finditer(text)] if text.count("-") > 3 else [(x, y) for x, _, y in found])
+        for start, end in _left(a, b, known):
+            for x, y in segments(markov.scores(points[start:end]) - threshold, change):
+                part = classes[start + x : start + y]
+                if y - x >= SHORTEST and sum(bool((part >> k & 1).any()) for k in (1, 2, 3)) >= 2:
+                    added.append((start + x, 3, start + y))
     return sorted(found + added) if added else found
 
 
