@@ -22,20 +22,23 @@ REMEMBER = 160_000  # segments; workers of the pipeline have other stages' memor
 ORACLE_SQL = None
 
 
-def _told_apart(docs: DataFrame) -> DataFrame:
-    """docs and `_row`: doc_id, or where that is null a number of the row's own, above the ids in use."""
-    unnamed = written(docs.filter("doc_id IS NULL").withColumn("_row", F.lit(1 << 62) + F.monotonically_increasing_id()), "without-id")
-    return docs.filter("doc_id IS NOT NULL").withColumn("_row", F.col("doc_id").cast("long")).unionByName(unnamed)
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a further column, and its name (one that docs lacks): doc_id, or where that is null a number of the row's own, above the ids in use."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    unnamed = written(docs.filter("doc_id IS NULL").withColumn(row, F.lit(1 << 62) + F.monotonically_increasing_id()), "without-id")
+    return docs.filter("doc_id IS NOT NULL").withColumn(row, F.col("doc_id").cast("long")).unionByName(unnamed), row
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("_row").alias("doc_id"), "text")
+def _rows(docs: DataFrame, row: str) -> DataFrame:
+    return docs.select(F.col(row).alias("doc_id"), "text")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (told apart) but those whose _row is in ids (doc_id), without _row."""
-    ids = written(ids.select(F.col("doc_id").alias("_row")).distinct(), "dropped")
-    return join_ids(docs, "_row", ids, "left_anti", BROADCAST_IDS).select(*[c for c in docs.columns if c != "_row"])
+def _without(docs: DataFrame, row: str, ids: DataFrame) -> DataFrame:
+    """docs (told apart by row) but those whose row is in ids (doc_id), without row."""
+    ids = written(ids.select(F.col("doc_id").alias(row)).distinct(), "dropped")
+    return join_ids(docs, row, ids, "left_anti", BROADCAST_IDS).select(*[c for c in docs.columns if c != row])
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,16 +50,16 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the least doc_id of each group of near-duplicates, or one row of a group without any: five words, similarity of 0.8 or more."""
     on_workers(spark)
-    docs = _told_apart(docs)
-    found = jaccard.jaccard_components(_rows(docs), n=5, percent=80)
-    return _without(docs, found.filter("component_id < doc_id").select("doc_id"))
+    docs, row = _told_apart(docs)
+    found = jaccard.jaccard_components(_rows(docs, row), n=5, percent=80)
+    return _without(docs, row, found.filter("component_id < doc_id").select("doc_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no benchmark item."""
-    docs = _told_apart(docs)
-    found = decontaminate.contaminated(_rows(docs), table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select("doc_id"))
+    docs, row = _told_apart(docs)
+    found = decontaminate.contaminated(_rows(docs, row), table(spark, sf_dir, "benchmark"))
+    return _without(docs, row, found.select("doc_id"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
