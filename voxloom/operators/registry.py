@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.lang import supports
+from voxloom.operators.ranking import placed
 
 # Architectures that the runtime knows.
 KNOWN_ARCHES = (
@@ -77,15 +78,8 @@ def registry_order() -> list[Column]:
 
 
 def places(rows: DataFrame, key: str = "model_id") -> DataFrame:
-    """Rows with their place in the registry's order (ties by key). Rows of one rank, recommendation and pair of scores are numbered apart and placed behind those of the groups before, so no task sorts them all."""
-    names = ["rank_of", "is_recommended", "accuracy", "speed"]
-    order = registry_order()
-    groups = rows.groupBy(*names).agg(F.count("*").alias("_n"))  # a row for each rank and pair of scores
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(*order[:-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = groups.select(*[F.col(c).alias(f"_{c}") for c in names], before.alias("_before"))
-    same = [rows[c].eqNullSafe(groups[f"_{c}"]) for c in names]
-    nth = F.row_number().over(Window.partitionBy(*names).orderBy(order[-1], F.asc(key)))
-    return rows.join(groups, same).select(*rows.columns, (F.col("_before") + nth).alias("place"))
+    """Rows with their place in the registry's order (ties by key)."""
+    return placed(rows, [*registry_order(), F.asc(key)])
 
 
 def merged(existing: DataFrame, found: DataFrame, key: str = "model_id") -> DataFrame:

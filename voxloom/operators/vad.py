@@ -22,6 +22,13 @@ def policy_frames(policy: str, frame: int) -> tuple[int, int, int]:
     return frames_for(PREFILL_MS, frame), frames_for(hangover, frame), frames_for(ONSET_MS, frame)
 
 
+def policy_columns(policy: str, frame: str, rate: int = RATE) -> tuple[Column, Column, Column]:
+    """The same of columns: a policy's name and a frame's size."""
+    wide = F.lit(1000) * F.col(frame)
+    frames = lambda ms: F.ceil(ms * rate / wide).cast("int")
+    return frames(F.lit(PREFILL_MS)), frames(F.when(F.col(policy) == "streaming", HANGOVER_LIVE_MS).otherwise(HANGOVER_MS)), frames(F.lit(ONSET_MS))
+
+
 def voiced(score: Column, kind: str) -> Column:
     """S3: a detector's decision; an error (null or not finite) counts as voice."""
     bad = score.isNull() | F.isnan(score) | (F.abs(score) == float("inf"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import catalog as c
 from voxloom.operators import registry as r
 from voxloom.operators import settings as s
+from voxloom.operators.ranking import placed
 from voxloom.plans.base import registrar
 from voxloom.sources import documents as sources
 from voxloom.sources import media
@@ -34,18 +35,18 @@ def models(spark: SparkSession, d: str) -> DataFrame:
 
 WITH = f"WITH {MODELS_SQL} "
 
-#: A catalog of 40 models made by a rule, the same in both dialects.
+#: A catalog with a model for each part, by the same expressions in both dialects; some files have the name of another model's.
 CATALOG_COLUMNS = {
     "ord": "k", "id": "'org/model-' || k", "revision": "CASE WHEN k % 9 > 0 THEN 'rev' || k END", "slug": "'model-' || k", "name": "'Model ' || k", "description": "'About ' || k",
-    "speed_score": "k % 101", "accuracy_score": "CASE WHEN k % 4 > 0 THEN 90 - k END", "recommended": "k % 5 = 0", "recommended_rank": "CASE WHEN k % 5 = 0 THEN k END", "default_quant": "CASE WHEN k % 7 = 0 THEN 'Q4' ELSE 'Q8_0' END",
+    "speed_score": "k % 101", "accuracy_score": "CASE WHEN k % 4 > 0 THEN 90 - k % 90 END", "recommended": "k % 5 = 0", "recommended_rank": "CASE WHEN k % 5 = 0 THEN k END", "default_quant": "CASE WHEN k % 7 = 0 THEN 'Q4' ELSE 'Q8_0' END",
 }
-FILES = {"filename": "'model-' || (k % 35) || '-' || q || '.gguf'", "quant": "q", "size_bytes": "1048576 * (k + 1) * (j + 1) + 17", "sha256": "CASE WHEN k % 11 > 0 THEN sha256('x' || k || q) END"}
-CAT_SQL = "cat AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in CATALOG_COLUMNS.items()) + " FROM range(0, 40) AS t(k))"
-FILES_SQL = "files AS (SELECT k AS ord, j AS file_ord, 'org/model-' || k AS id, " + ", ".join(f"{e} AS {n}" for n, e in FILES.items()) + " FROM range(0, 40) AS t(k), (VALUES (0, 'F16'), (1, 'Q8_0'), (2, 'Q5_K_M')) AS u(j, q))"
+FILES = {"filename": "'model-' || (k - k % 2) || '-' || q || '.gguf'", "quant": "q", "size_bytes": "1048576 * (k + 1) * (j + 1) + 17", "sha256": "CASE WHEN k % 11 > 0 THEN sha256('x' || k || q) END"}
+CAT_SQL = "cat AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in CATALOG_COLUMNS.items()) + " FROM (SELECT p_partkey AS k FROM part))"
+FILES_SQL = "files AS (SELECT k AS ord, j AS file_ord, 'org/model-' || k AS id, " + ", ".join(f"{e} AS {n}" for n, e in FILES.items()) + " FROM (SELECT p_partkey AS k FROM part), (VALUES (0, 'F16'), (1, 'Q8_0'), (2, 'Q5_K_M')) AS u(j, q))"
 
 
-def catalog(spark: SparkSession) -> DataFrame:
-    base = spark.range(40).withColumnRenamed("id", "k")
+def catalog(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "part").selectExpr("p_partkey AS k")
     quants = "(CASE j WHEN 0 THEN 'F16' WHEN 1 THEN 'Q8_0' ELSE 'Q5_K_M' END)"
     one = lambda j: "named_struct(" + ", ".join(f"'{n}', {e.replace('sha256(', 'sha2(').replace('|| k || q)', '|| k || q, 256)').replace(' q', ' ' + quants) if n != 'quant' else quants}" for n, e in FILES.items()) + ")"
     files = "transform(array(0, 1, 2), j -> " + one(0) + ")"
@@ -58,12 +59,12 @@ CAT = f"WITH {CAT_SQL}, {FILES_SQL} "
 
 @query("r1_default_file", CAT + "SELECT cat.id, coalesce((SELECT min_by(filename, file_ord) FROM files f WHERE f.id = cat.id AND f.quant = cat.default_quant), (SELECT min_by(filename, file_ord) FROM files f WHERE f.id = cat.id)) AS filename FROM cat")
 def r1(spark: SparkSession, d: str) -> DataFrame:
-    return catalog(spark).select("id", r.default_file()["filename"].alias("filename"))
+    return catalog(spark, d).select("id", r.default_file()["filename"].alias("filename"))
 
 
 @query("r2_descriptors", CAT + "SELECT f.id || '/' || filename AS model_id, revision, quant, size_bytes, CAST(coalesce(accuracy_score, 0) AS FLOAT) / CAST(100 AS FLOAT) AS accuracy, recommended, recommended_rank AS rank, f.ord, f.file_ord FROM files f JOIN cat ON f.id = cat.id")
 def r2(spark: SparkSession, d: str) -> DataFrame:
-    return r.descriptors(catalog(spark)).select("model_id", "revision", "quant", "size_bytes", "accuracy", "recommended", "rank", "ord", F.col("file_ord").cast("int").alias("file_ord"))
+    return r.descriptors(catalog(spark, d)).select("model_id", "revision", "quant", "size_bytes", "accuracy", "recommended", "rank", "ord", F.col("file_ord").cast("int").alias("file_ord"))
 
 
 DEFAULT = "CASE WHEN default_quant = 'Q4' THEN f.file_ord = 0 ELSE f.quant = 'Q8_0' END"
@@ -71,27 +72,27 @@ DEFAULT = "CASE WHEN default_quant = 'Q4' THEN f.file_ord = 0 ELSE f.quant = 'Q8
 
 @query("r3_models", CAT + f"SELECT f.id || '/' || filename AS model_id, CASE WHEN {DEFAULT} THEN name ELSE name || ' (' || quant || ')' END AS name, size_bytes // 1048576 AS size_mb, f.ord % 2 = 0 AS is_downloaded, recommended AND {DEFAULT} AS is_recommended FROM files f JOIN cat ON f.id = cat.id")
 def r3(spark: SparkSession, d: str) -> DataFrame:
-    rows = r.descriptors(catalog(spark))
+    rows = r.descriptors(catalog(spark, d))
     status = rows.filter("ord % 2 = 0").select("model_id", F.lit(True).alias("is_downloaded"), F.lit(False).alias("is_downloading"))
     return r.models(rows, status).select("model_id", "name", "size_mb", "is_downloaded", "is_recommended")
 
 
-@query("r4_find_catalog_file", CAT + "SELECT w.filename, min_by(f.id, (f.ord, f.file_ord)) AS repo FROM (SELECT DISTINCT 'model-' || (p_partkey % 60) || '-Q8_0.gguf' AS filename FROM part) w JOIN files f USING (filename) GROUP BY w.filename")
+@query("r4_find_catalog_file", CAT + "SELECT w.filename, min_by(f.id, (f.ord, f.file_ord)) AS repo FROM (SELECT DISTINCT 'model-' || (p_partkey * 3) || '-Q8_0.gguf' AS filename FROM part) w JOIN files f USING (filename) GROUP BY w.filename")
 def r4(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "part").selectExpr("'model-' || (p_partkey % 60) || '-Q8_0.gguf' AS filename", "CAST(NULL AS STRING) AS repo_id").distinct()
-    return r.found_files(wanted, catalog(spark)).select("filename", F.col("cat_repo").alias("repo"))
+    wanted = table(spark, d, "part").selectExpr("'model-' || (p_partkey * 3) || '-Q8_0.gguf' AS filename", "CAST(NULL AS STRING) AS repo_id").distinct()
+    return r.found_files(wanted, catalog(spark, d)).select("filename", F.col("cat_repo").alias("repo"))
 
 
 @query("r5_mirror_urls", CAT + "SELECT f.id || '/' || filename AS model_id, mirror_ord, base || '/' || f.id || '/' || revision || '/' || filename AS url FROM files f JOIN cat ON f.id = cat.id, (VALUES (0, 'https://a.example'), (1, 'https://b.example/x')) AS m(mirror_ord, base) WHERE revision IS NOT NULL AND sha256 IS NOT NULL")
 def r5(spark: SparkSession, d: str) -> DataFrame:
     mirrors = spark.createDataFrame([(0, "https://a.example/"), (1, "https://b.example/x//")], "mirror_ord int, base string")
-    return r.mirror_urls(r.descriptors(catalog(spark)), mirrors)
+    return r.mirror_urls(r.descriptors(catalog(spark, d)), mirrors)
 
 
-@query("r6_rank_of", CAT + "SELECT p_partkey, coalesce(CAST(recommended_rank AS BIGINT), 4294967295) AS rank_of FROM part LEFT JOIN cat ON cat.id = 'org/model-' || (p_partkey % 80)")
+@query("r6_rank_of", CAT + "SELECT p_partkey, coalesce(CAST(recommended_rank AS BIGINT), 4294967295) AS rank_of FROM part LEFT JOIN cat ON cat.id = 'org/model-' || (p_partkey * 5)")
 def r6(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").selectExpr("p_partkey", "'org/model-' || (p_partkey % 80) AS repo_id")
-    return r.ranked(rows, catalog(spark)).select("p_partkey", "rank_of")
+    rows = table(spark, d, "part").selectExpr("p_partkey", "'org/model-' || (p_partkey * 5) AS repo_id")
+    return r.ranked(rows, catalog(spark, d)).select("p_partkey", "rank_of")
 
 
 @query("r7_registry_order", WITH + "SELECT model_id, row_number() OVER (ORDER BY rank_of, is_recommended DESC, accuracy DESC, speed DESC, name, model_id) AS place FROM models")
@@ -114,14 +115,14 @@ def r9(spark: SparkSession, d: str) -> DataFrame:
     return r.unknown(m, m.filter("is_legacy"), ["repo_id", "filename"]).select("model_id")
 
 
-FOUND = "found AS (SELECT p_partkey, 'model-' || (p_partkey % 50) || '-F16.gguf' AS filename, CASE WHEN p_partkey % 2 = 0 THEN 'cache' ELSE 'own' END AS place FROM part), probes AS (SELECT 'model-' || k || '-F16.gguf' AS filename, CASE k % 3 WHEN 0 THEN 'whisper' WHEN 1 THEN 'other' END AS arch FROM range(0, 50) AS t(k))"
+FOUND = "found AS (SELECT p_partkey, 'model-' || p_partkey || '-F16.gguf' AS filename, CASE WHEN p_partkey % 2 = 0 THEN 'cache' ELSE 'own' END AS place FROM part), probes AS (SELECT 'model-' || k || '-F16.gguf' AS filename, CASE k % 3 WHEN 0 THEN 'whisper' WHEN 1 THEN 'other' END AS arch FROM (SELECT p_partkey AS k FROM part WHERE p_size % 4 > 0))"
 
 
 @query("r10_classify_found", CAT + f", {FOUND}, names AS (SELECT filename, min_by('Model ' || ord, ord) AS n FROM files GROUP BY filename), j AS (SELECT p_partkey, place, coalesce(n, found.filename) AS name, CASE WHEN n IS NOT NULL THEN 'catalog' ELSE 'probe' END AS origin, CASE WHEN n IS NOT NULL OR arch = 'whisper' THEN 'compatible' WHEN arch IS NULL THEN 'unknown' ELSE 'incompatible' END AS verdict FROM found LEFT JOIN names USING (filename) LEFT JOIN probes USING (filename)) SELECT p_partkey, name, origin, verdict FROM j WHERE place <> 'cache' OR verdict = 'compatible'")
 def r10(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "part").selectExpr("p_partkey", "'model-' || (p_partkey % 50) || '-F16.gguf' AS filename", "CASE WHEN p_partkey % 2 = 0 THEN 'cache' ELSE 'own' END AS place")
-    probes = spark.range(50).selectExpr("'model-' || id || '-F16.gguf' AS filename", "CASE id % 3 WHEN 0 THEN 'whisper' WHEN 1 THEN 'other' END AS arch")
-    return r.classified(found, catalog(spark), probes).select("p_partkey", "name", "origin", "verdict")
+    found = table(spark, d, "part").selectExpr("p_partkey", "'model-' || p_partkey || '-F16.gguf' AS filename", "CASE WHEN p_partkey % 2 = 0 THEN 'cache' ELSE 'own' END AS place")
+    probes = table(spark, d, "part").filter("p_size % 4 > 0").selectExpr("'model-' || p_partkey || '-F16.gguf' AS filename", "CASE p_partkey % 3 WHEN 0 THEN 'whisper' WHEN 1 THEN 'other' END AS arch")
+    return r.classified(found, catalog(spark, d), probes).select("p_partkey", "name", "origin", "verdict")
 
 
 @query("r11_refresh_status", WITH + "SELECT model_id, filename IN (SELECT 'f' || s_suppkey || '.gguf' FROM supplier WHERE s_suppkey % 2 = 0) AS is_downloaded FROM models WHERE filename IN (SELECT 'f' || s_suppkey || '.gguf' FROM supplier WHERE s_suppkey % 2 = 0) OR is_downloading OR NOT (is_custom OR NOT is_default)")
@@ -242,14 +243,14 @@ def f3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f4_quant_and_size", CAT + "SELECT f.id, f.quant, CASE ord % 3 WHEN 0 THEN 0.6 WHEN 1 THEN 0.062 END AS billions FROM files f")
 def f4(spark: SparkSession, d: str) -> DataFrame:
-    files = r.descriptors(catalog(spark))
+    files = r.descriptors(catalog(spark, d))
     label = F.expr("CASE ord % 3 WHEN 0 THEN '0.6B' WHEN 1 THEN ' 62m' ELSE 'big' END")
     return files.select(F.col("repo_id").alias("id"), c.quant_of("filename").alias("quant"), c.billions(label).alias("billions"))
 
 
 @query("f5_default_quant", CAT + "SELECT id, CASE WHEN ord % 7 = 0 THEN 'F16' WHEN ord % 2 = 0 THEN 'Q5_K_M' ELSE 'Q8_0' END AS quant FROM cat")
 def f5(spark: SparkSession, d: str) -> DataFrame:
-    return catalog(spark).select("id", c.default_quant("files", F.expr("CASE WHEN ord % 2 = 0 THEN '1.7B' ELSE '62M' END"), F.expr("CASE WHEN ord % 7 = 0 THEN 'F16' END")).alias("quant"))
+    return catalog(spark, d).select("id", c.default_quant("files", F.expr("CASE WHEN ord % 2 = 0 THEN '1.7B' ELSE '62M' END"), F.expr("CASE WHEN ord % 7 = 0 THEN 'F16' END")).alias("quant"))
 
 
 SLUGS = "lower(replace(p_name, ' ', '-')) || CASE p_size % 5 WHEN 0 THEN '-Moonshine-Streaming-x' WHEN 1 THEN '-canary-qwen' WHEN 2 THEN '-Whisper-Canary' WHEN 3 THEN '-x-qwen3' ELSE '' END"
@@ -270,7 +271,7 @@ def f6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f7_model_files", CAT + "SELECT id AS repo, string_agg(filename, ',' ORDER BY size_bytes) AS names FROM files WHERE sha256 IS NOT NULL GROUP BY id")
 def f7(spark: SparkSession, d: str) -> DataFrame:
-    listing = r.descriptors(catalog(spark)).filter("sha256 IS NOT NULL").select(F.col("repo_id").alias("repo"), "filename", "size_bytes", "sha256")
+    listing = r.descriptors(catalog(spark, d)).filter("sha256 IS NOT NULL").select(F.col("repo_id").alias("repo"), "filename", "size_bytes", "sha256")
     return c.model_files(listing).select("repo", F.array_join(F.transform("files", lambda f: f["filename"]), ",").alias("names"))
 
 
@@ -283,15 +284,13 @@ def f8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f9_visible", CAT + "SELECT id FROM cat WHERE slug NOT IN ('model-3', 'model-4')")
 def f9(spark: SparkSession, d: str) -> DataFrame:
-    return c.visible(catalog(spark), ("model-3", "model-4")).select("id")
+    return c.visible(catalog(spark, d), ("model-3", "model-4")).select("id")
 
 
 @query("f10_catalog_order", CAT + "SELECT id, row_number() OVER (ORDER BY recommended DESC, CASE WHEN coalesce(recommended_rank, 0) = 0 THEN 1e9 ELSE recommended_rank END, slug[1:7], speed_score DESC, slug) AS place FROM cat")
 def f10(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = catalog(spark).withColumn("family", F.substring("slug", 1, 7))
-    return rows.select("id", F.row_number().over(Window.orderBy(*c.catalog_order())).alias("place"))
+    rows = catalog(spark, d).withColumn("family", F.substring("slug", 1, 7))
+    return placed(rows, c.catalog_order()).select("id", "place")
 
 
 OBJECTS = "objects AS (SELECT f.id || '/rev' || ord || '/' || filename AS key, CASE WHEN ord % 5 = 0 THEN 'bad' ELSE sha256 END AS sha256 FROM files f WHERE ord % 3 = 0 UNION ALL SELECT f.id || '/old/' || filename, sha256 FROM files f WHERE ord % 4 = 0)"
@@ -304,7 +303,7 @@ OBJECTS = "objects AS (SELECT f.id || '/rev' || ord || '/' || filename AS key, C
     SELECT action, count(*) AS files, CAST(sum(CASE WHEN action = 'upload' THEN size_bytes ELSE 0 END) AS BIGINT) AS upload_bytes FROM a GROUP BY action""",
 )
 def f11(spark: SparkSession, d: str) -> DataFrame:
-    files = r.descriptors(catalog(spark))
+    files = r.descriptors(catalog(spark, d))
     key = lambda rev: F.concat_ws("/", "repo_id", rev, "filename").alias("key")
     now = F.concat(F.lit("rev"), F.col("ord").cast("string"))
     objects = files.filter("ord % 3 = 0").select(key(now), F.when(F.col("ord") % 5 == 0, "bad").otherwise(F.col("sha256")).alias("sha256")).unionByName(files.filter("ord % 4 = 0").select(key(F.lit("old")), "sha256"))
@@ -341,15 +340,19 @@ def f13f(spark: SparkSession, d: str) -> DataFrame:
     return c.flattened(docs)
 
 
-@query("f14_language_coverage", WITH + "SELECT language, CASE WHEN language = 'no' THEN 2 ELSE 0 END AS matches FROM (SELECT DISTINCT unnest(languages) AS language FROM models) WHERE language IN ('no', 'de')")
+INTENTS = "SELECT CASE n_nationkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'nb' WHEN 2 THEN 'no' ELSE 'zh-Hans' END AS code"
+BASE = "CASE split_part({0}, '-', 1) WHEN 'nb' THEN 'no' WHEN 'fil' THEN 'tl' ELSE split_part({0}, '-', 1) END"
+
+
+@query("f14_language_coverage", f"WITH {MODELS_SQL}, intents AS (SELECT DISTINCT code FROM ({INTENTS} FROM nation)), found AS (SELECT language, count(code) AS matches FROM (SELECT DISTINCT unnest(languages) AS language FROM models) LEFT JOIN intents ON {BASE.format('code')} = {BASE.format('language')} GROUP BY language) SELECT * FROM found WHERE matches <> 1")
 def f14(spark: SparkSession, d: str) -> DataFrame:
-    intents = spark.createDataFrame([("en",), ("nb",), ("no",), ("zh-Hans",)], "code string")
+    intents = table(spark, d, "nation").selectExpr(INTENTS.removeprefix("SELECT "))
     return c.language_coverage(models(spark, d), intents)
 
 
 @query("f15_catalog_invariants", CAT + "SELECT DISTINCT id, 'bad digest' AS breach FROM files WHERE sha256 IS NULL")
 def f15(spark: SparkSession, d: str) -> DataFrame:
-    return c.invariant_breaches(catalog(spark))
+    return c.invariant_breaches(catalog(spark, d))
 
 
 #: A header of string, flag, number and list values; parts with a long one need a larger prefix than the first.

@@ -59,9 +59,14 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", vad.voiced(score, "strict").alias("strict"), vad.voiced(score, "inclusive").alias("inclusive"))
 
 
-@query("s4_policy_frames", "SELECT policy, p, h, o FROM (VALUES ('offline', 15, 15, 2), ('streaming', 15, 55, 2)) AS t(policy, p, h, o)")
+@query(
+    "s4_policy_frames",
+    """SELECT event_id, policy, CAST(ceil(450 * 16000 / (1000.0 * frame)) AS INT) AS p, CAST(ceil((CASE policy WHEN 'streaming' THEN 1650 ELSE 450 END) * 16000 / (1000.0 * frame)) AS INT) AS h, CAST(ceil(60 * 16000 / (1000.0 * frame)) AS INT) AS o
+    FROM (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'streaming' ELSE 'offline' END AS policy, 160 * (1 + event_id % 4) AS frame FROM events)""",
+)
 def s4(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(x, *vad.policy_frames(x, 480)) for x in ("offline", "streaming")], "policy string, p int, h int, o int")
+    rows = table(spark, d, "events").selectExpr("event_id", "CASE WHEN user_id % 3 = 0 THEN 'streaming' ELSE 'offline' END AS policy", "160 * (1 + event_id % 4) AS frame")
+    return rows.select("event_id", "policy", *[x.alias(n) for n, x in zip("pho", vad.policy_columns("policy", "frame"), strict=True)])
 
 
 @query("s5_downmix_mean", "SELECT vec_id, list_transform(range(0, len(embedding) // 2), lambda j: (CAST(embedding[2 * j + 1] AS DOUBLE) + CAST(embedding[2 * j + 2] AS DOUBLE)) / 2)::VARCHAR IS NOT NULL AS made, len(embedding) // 2 AS n, round(list_sum(list_transform(range(0, len(embedding) // 2), lambda j: (CAST(embedding[2 * j + 1] AS DOUBLE) + CAST(embedding[2 * j + 2] AS DOUBLE)) / 2)), 6) AS total FROM embeddings")
