@@ -263,7 +263,11 @@ def correct_terms(text, terms: Sequence[str], threshold: float = 0.18) -> Column
         return _c(text)
     from voxloom.functions.terms import Dictionary
 
-    wanted = Dictionary(list(terms), threshold)
+    return correct_by(text, Dictionary(list(terms), threshold))
+
+
+def correct_by(text, wanted) -> Column:
+    """T6 by a Dictionary."""
 
     def corrected(value: str) -> str:
         try:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions import lang, text
+from voxloom.operators import dictionary
 from voxloom.plans.base import registrar
 from voxloom.sources.tables import HISTORY_SQL, history, table
 
@@ -83,7 +84,11 @@ def t5s(spark: SparkSession, d: str) -> DataFrame:
 TERMS = ("Thandle", "therein", "Erin", "the R&D", "ciudad")
 
 
-def corrected_sql(source: str) -> str:
+#: Terms of the part table: names of several words, their words, types, and brands with letters alone.
+PART_TERMS = "SELECT p_name AS term FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT split_part(p_name, ' ', 2) FROM part UNION SELECT p_type FROM part UNION SELECT p_name || '&' || lower(p_type) FROM part"
+
+
+def corrected_sql(source: str, table_of_terms: str | None = None) -> str:
     """Tables that end in `corrected` (doc_id, text): T6 of source (doc_id, text).
 
     The best match of the groups of one to three words at each place; then, among
@@ -91,13 +96,19 @@ def corrected_sql(source: str) -> str:
     """
     terms = ", ".join(f"({n}, '{key}', '{term}')" for n, (key, term) in enumerate((k, t) for t in TERMS for k in dict.fromkeys((_key(t), _key(t.replace("&", " and "))))))
     key = f"lower(regexp_replace(w, '[^{ALNUM}]', '', 'g'))"
+    given = f"terms(nth, key, term) AS (VALUES {terms})"
+    if table_of_terms:
+        term_key = lambda x: f"lower(regexp_replace({x}, '[^{ALNUM}]', '', 'g'))"
+        spelled = term_key("replace(term, '&', ' and ')")
+        given = f"given AS (SELECT DISTINCT term FROM ({table_of_terms})), terms AS (SELECT DISTINCT term AS nth, key, term FROM (SELECT term, {term_key('term')} AS key FROM given UNION ALL SELECT term, {spelled} FROM given WHERE contains(term, '&')))"
+    longest = 50 if table_of_terms else 12
     return f"""tk AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, {key} AS key, regexp_extract(w, '^[^{ALNUM}]*') AS prefix, regexp_extract(w, '[^{ALNUM}]*$') AS suffix
    FROM (SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS a FROM {source})) WHERE w <> ''),
  grp AS (SELECT doc_id, pos, 1 AS n, key AS k FROM tk
    UNION ALL SELECT a.doc_id, a.pos, 2, a.key || b.key FROM tk a JOIN tk b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.suffix = ''
    UNION ALL SELECT a.doc_id, a.pos, 3, a.key || b.key || c.key FROM tk a JOIN tk b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN tk c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.suffix = '' AND b.suffix = ''),
- terms(nth, key, term) AS (VALUES {terms}),
- cand AS (SELECT DISTINCT k FROM grp WHERE length(k) <= 12 AND regexp_full_match(k, '[A-Za-z0-9]+')),
+ {given},
+ cand AS (SELECT DISTINCT k FROM grp WHERE length(k) <= {longest} AND regexp_full_match(k, '[A-Za-z0-9]+')),
  keys AS (SELECT k FROM cand UNION SELECT key FROM terms), {SOUNDEX},
  scored AS (SELECT c.k, t.nth, t.term, levenshtein(c.k, t.key) / CAST(greatest(length(c.k), length(t.key)) AS DOUBLE) * CASE WHEN sa.code = sb.code THEN CAST(0.3 AS DOUBLE) ELSE 1 END AS score
    FROM cand c JOIN terms t ON abs(length(c.k) - length(t.key)) <= greatest(greatest(length(c.k), length(t.key)) * 0.25, 2.0) LEFT JOIN soundex sa ON sa.k = c.k LEFT JOIN soundex sb ON sb.k = t.key),
@@ -124,6 +135,36 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.correct_terms("text", TERMS).alias("cleaned"))
 
 
+TURN_TEXTS = "(SELECT conv_id || ':' || turn AS doc_id, text FROM conversations)"
+
+
+@query("t6_terms_of_a_table", f"WITH RECURSIVE {corrected_sql(TURN_TEXTS, PART_TERMS)} SELECT doc_id, text AS cleaned FROM corrected")
+def t6t(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").selectExpr("conv_id || ':' || turn AS doc_id", "text")
+    return dictionary.corrected(turns, part_terms(spark, d)).select("doc_id", F.col("text").alias("cleaned"))
+
+
+def part_terms(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    return part.select(F.explode(F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), "p_type", F.concat("p_name", F.lit("&"), F.lower("p_type")))).alias("term")).distinct()
+
+
+@query(
+    "t5_nearest_terms",
+    f"""WITH words AS (SELECT DISTINCT lower(regexp_replace(w, '[^{ALNUM}]', '', 'g')) AS k FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents)),
+    cand AS (SELECT k FROM words WHERE length(k) <= 50 AND regexp_full_match(k, '[A-Za-z0-9]+')),
+    given AS (SELECT DISTINCT term FROM ({PART_TERMS})), terms AS (SELECT term, lower(regexp_replace(term, '[^{ALNUM}]', '', 'g')) AS key FROM given UNION SELECT term, lower(regexp_replace(replace(term, '&', ' and '), '[^{ALNUM}]', '', 'g')) FROM given WHERE contains(term, '&')),
+    keys AS (SELECT k FROM cand UNION SELECT key FROM terms), {SOUNDEX},
+    scored AS (SELECT c.k AS key, t.term, levenshtein(c.k, t.key) / CAST(greatest(length(c.k), length(t.key)) AS DOUBLE) * CASE WHEN sa.code = sb.code THEN CAST(0.3 AS DOUBLE) ELSE 1 END AS score
+      FROM cand c JOIN terms t ON abs(length(c.k) - length(t.key)) <= greatest(greatest(length(c.k), length(t.key)) * 0.25, 2.0) LEFT JOIN soundex sa ON sa.k = c.k LEFT JOIN soundex sb ON sb.k = t.key),
+    r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, term) AS nth FROM scored WHERE score < 0.18)
+    SELECT key, term, score FROM r WHERE nth = 1""",
+)
+def t5n(spark: SparkSession, d: str) -> DataFrame:
+    words = docs(spark, d).select(F.explode(text.words("text")).alias("w")).select(text.match_key("w").alias("key")).distinct()
+    return dictionary.nearest_terms(words, part_terms(spark, d))
+
+
 @query(
     "t7_keep_case",
     """SELECT conv_id, turn, i - 1 AS "at", CASE WHEN regexp_full_match(w, '\\p{Lu}*') THEN upper('wOrd') WHEN regexp_matches(w, '^\\p{Lu}') THEN 'WOrd' ELSE 'wOrd' END AS word
