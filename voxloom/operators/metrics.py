@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.operators.segments import SIZE, folded, packed
+
 # Throttles, smoothing and waiting times.
 PROGRESS_MS, LEVEL_MS = 100, 33
 SAMPLE_GAP_S, OLD_SHARE = 0.5, 0.8
@@ -53,42 +56,130 @@ def _in_order(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key, *order)
 
 
-def download_speed(progress: DataFrame, key: str = "model_id") -> DataFrame:
-    """H2: (key, speed, samples) after each key's last event (t in seconds, downloaded in bytes)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, meter = None, None
+def _first(ok: np.ndarray) -> int:
+    return int(ok.argmax()) if ok.any() else len(ok)
+
+
+def _speeds(t: np.ndarray, done: np.ndarray) -> dict[str, list]:
+    """What a segment makes of the last sample (L, D) and speed s before it.
+
+    The next sample is the first event behind L + SAMPLE_GAP_S, one of the segment's first ones up
+    to SAMPLE_GAP_S behind its start. For each of these: its time and bytes, and what
+    follows when a sample is taken there: samples, the factor and the summand for a
+    speed over 0, the speed that comes of 0, time and bytes of the last sample.
+    """
+    n = len(t)
+    # the first event that samples after event i, by the same comparison as one by one
+    follow, j = np.full(n, n), 0
+    for i in range(n):
+        j = max(j, i + 1)
+        while j < n and not t[j] - t[i] > SAMPLE_GAP_S:
+            j += 1
+        follow[i] = j
+    samples, factor, summand, zero, last = np.zeros(n, np.int64), np.ones(n), np.zeros(n), np.zeros(n), np.arange(n)
+    for i in range(n - 1, -1, -1):
+        j = follow[i]
+        if j < n:
+            now = max(0.0, (done[j] - done[i]) / 1048576.0 / (t[j] - t[i]))
+            samples[i], factor[i], last[i] = samples[j] + 1, OLD_SHARE * factor[j], last[j]
+            summand[i] = factor[j] * (now * (1 - OLD_SHARE)) + summand[j]
+            zero[i] = factor[j] * now + summand[j] if now > 0 else zero[j]
+    k = min(n, int(follow[0]) + 1)
+    return {"t": t[:k].tolist(), "done": done[:k].tolist(), "n": samples[:k].tolist(), "factor": factor[:k].tolist(), "summand": summand[:k].tolist(), "zero": zero[:k].tolist(), "last_t": t[last[:k]].tolist(), "last_done": done[last[:k]].tolist()}
+
+
+def _speed_step(state: tuple, row) -> tuple:
+    t, done, speed, samples = state
+    if t is None:  # the first event of all is where the first sample starts
+        return row.last_t[0], row.last_done[0], row.zero[0], samples + row.n[0]
+    at = _first(row.t - t > SAMPLE_GAP_S)
+    if at == len(row.t):
+        return state
+    now = max(0.0, (row.done[at] - done) / 1048576.0 / (row.t[at] - t))
+    speed = speed * OLD_SHARE + now * (1 - OLD_SHARE) if speed > 0 else now
+    speed = row.factor[at] * speed + row.summand[at] if speed > 0 else row.zero[at]
+    return row.last_t[at], row.last_done[at], speed, samples + 1 + row.n[at]
+
+
+def download_speed(progress: DataFrame, key: str = "model_id", size: int = SIZE) -> DataFrame:
+    """H2: (key, speed, samples) after each key's last event (t in seconds, downloaded in bytes).
+
+    A key's events are summarised by segments, wherever they lie; what is left to be done in order is a step for each segment.
+    """
+    rows = progress.select(key, F.col("t").cast("double").alias("t"), F.col("downloaded").cast("double").alias("downloaded"))
+    kind = dict(rows.dtypes)[key]
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = pd.DataFrame([_speeds(np.asarray(t, float), np.asarray(d, float)) for t, d in zip(batch["t"], batch["downloaded"], strict=True)], columns=["t", "done", "n", "factor", "summand", "zero", "last_t", "last_done"])
+            yield pd.concat([batch[[key, "part", "seq"]].reset_index(drop=True), made], axis=1)
+
+    found = packed(rows, key, ["t", "downloaded"], size).mapInPandas(summed, f"{key} {kind}, part int, seq int, t array<double>, done array<double>, n array<long>, factor array<double>, summand array<double>, zero array<double>, last_t array<double>, last_done array<double>")
+    return folded(found, key, "speed double, samples int", _speed_step, lambda: (None, 0.0, 0.0, 0), lambda state: (float(state[2]), int(state[3])))
+
+
+def _gates(t: np.ndarray, complete: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each event, the next that is let through after it (len: none here), and the last one of the chain that it begins."""
+    n = len(t)
+    follow = np.searchsorted(t, t + every)
+    follow = np.maximum(follow, np.arange(n) + 1)
+    done = np.append(np.where(complete, np.arange(n), n), n)
+    follow = np.minimum(follow, np.minimum.accumulate(done[::-1])[::-1][1:])  # a complete one comes through in any case
+    last = np.arange(n + 1)
+    for i in range(n - 1, -1, -1):
+        if follow[i] < n:
+            last[i] = last[follow[i]]
+    return follow, last[:n]
+
+
+def throttled(events: DataFrame, key: str = "key", every_ms: int = PROGRESS_MS, size: int = SIZE) -> DataFrame:
+    """H3: the events (t_ms, done, total) of each key that are emitted.
+
+    A segment says for each of its first events (up to every_ms behind its start, or the
+    first complete one) which one it emits last if that is its first; so the
+    time of the last emission before each segment is known in a step for each, and all segments emit at once.
+    """
+    rows = events.select(key, F.col("t_ms").cast("long").alias("t_ms"), F.col("done").cast("long").alias("done"), F.col("total").cast("long").alias("total"))
+    kind = dict(rows.dtypes)[key]
+    segments = packed(rows, key, ["t_ms", "done", "total"], size)
+
+    def arrays(row) -> tuple[np.ndarray, np.ndarray]:
+        t, done, total = (np.asarray(x, np.int64) for x in (row.t_ms, row.done, row.total))
+        return t, (total > 0) & (done >= total)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for k, t, d in batch.itertuples(index=False):
-                if meter is None or k != of:
-                    if meter is not None:
-                        out.append((of, meter.speed, meter.samples))
-                    of, meter = k, Speed()
-                meter.feed(float(t), float(d))
-            yield pd.DataFrame(out, columns=[key, "speed", "samples"])
-        if meter is not None:
-            yield pd.DataFrame([(of, meter.speed, meter.samples)], columns=[key, "speed", "samples"])
-
-    rows = progress.select(key, "t", "downloaded").filter(F.col(key).isNotNull())
-    return _in_order(rows, key, ["t", "downloaded"]).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, speed double, samples int")
-
-
-def throttled(events: DataFrame, key: str = "key", every_ms: int = PROGRESS_MS) -> DataFrame:
-    """H3: the events (t_ms, done, total) of each key that are emitted."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, gate = None, None
+            for row in batch.itertuples(index=False):
+                t, complete = arrays(row)
+                _, last = _gates(t, complete, every_ms)
+                k = min(len(t), int(np.searchsorted(t, t[0] + every_ms)) + 1, _first(complete) + 1)
+                out.append((getattr(row, key), row.part, row.seq, t[:k].tolist(), t[last[:k]].tolist(), bool(complete[k - 1])))
+            yield pd.DataFrame(out, columns=[key, "part", "seq", "t", "last", "complete"])
+
+    def step(state: tuple, row) -> tuple:
+        if state[0] is None:
+            return (int(row.last[0]),)
+        at = _first(row.t - state[0] >= every_ms)
+        if at == len(row.t) and row.complete:
+            at -= 1
+        return state if at == len(row.t) else (int(row.last[at]),)
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            taken = []
-            for k, t, done, total in batch.itertuples(index=False):
-                if gate is None or k != of:
-                    of, gate = k, Throttle(every_ms)
-                taken.append(gate.feed(int(t), int(done), int(total)))
-            yield batch[taken]
-
-    rows = events.select(key, F.col("t_ms").cast("long").alias("t_ms"), F.col("done").cast("long").alias("done"), F.col("total").cast("long").alias("total")).filter(F.col(key).isNotNull())
-    return _in_order(rows, key, ["t_ms", "done", "total"]).mapInPandas(run, rows.schema)
+            for row in batch.itertuples(index=False):
+                t, complete = arrays(row)
+                follow, _ = _gates(t, complete, every_ms)
+                at = 0 if pd.isna(row.entry) else min(_first(t - int(row.entry) >= every_ms), _first(complete))
+                taken = []
+                while at < len(t):
+                    taken.append(at)
+                    at = int(follow[at])
+                yield pd.DataFrame({key: getattr(row, key), "t_ms": t[taken], "done": np.asarray(row.done)[taken], "total": np.asarray(row.total)[taken]})
+
+    found = segments.mapInPandas(summed, f"{key} {kind}, part int, seq int, t array<long>, last array<long>, complete boolean")
+    entries = folded(found, key, "entry long", step, lambda: (None,))
+    return segments.join(entries, [key, "part", "seq"]).select(key, "t_ms", "done", "total", "entry").mapInPandas(emit, rows.schema)
 
 
 def ring_drops(events: DataFrame, capacity: int, key: str = "session") -> DataFrame:

@@ -12,12 +12,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from voxloom.operators.segments import SIZE, packed, settled
 from voxloom.session import on_workers
 
 # Fixed values, in milliseconds.
@@ -135,6 +137,15 @@ class Coordinator:
                 self._let_go(Release(binding, now, needed), self.press, now)
 
 
+class _Event(NamedTuple):
+    t_ms: int
+    kind: str
+    binding: str | None
+    mode: str | None
+    hold_ms: int | None
+    external: bool | None
+
+
 def _feed(machine: Coordinator, r) -> None:
     value = lambda x, other: other if x is None or x != x else x
     machine.feed(int(r.t_ms), r.kind, value(r.binding, ""), value(r.mode, "hold_or_toggle"), int(value(r.hold_ms, HOLD_MS)), bool(value(r.external, False)))
@@ -146,33 +157,39 @@ def _effects(key: str, machine: Coordinator) -> list[tuple]:
     return made
 
 
-def coordinated(events: DataFrame, until_ms: int | None = None) -> DataFrame:
-    """The effects (start, stop) of each key's events; time runs on to until_ms, or until all grace is over. Events of a key are read as a stream in order, so a key may have any number."""
+def coordinated(events: DataFrame, until_ms: int | None = None, size: int = SIZE) -> DataFrame:
+    """The effects (start, stop) of each key's events; time runs on to until_ms, or until all grace is over.
+
+    A key's events are run by segments, wherever they lie; see settled.
+    """
     columns = ["key", "t_ms", "effect", "binding"]
+    fields = _Event._fields
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, machine = None, None
+    def fed(entry: str, row) -> Coordinator:
+        machine = Coordinator(entry or None)
+        for values in zip(*(getattr(row, c) for c in fields), strict=True):
+            _feed(machine, _Event(*values))
+        return machine
 
-        def closed() -> list[tuple]:
-            machine.advance(until_ms if until_ms is not None else 1 << 62)
-            return _effects(of, machine)
+    def after(entry: str, row) -> str:
+        return fed(entry, row).dumped()
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                if machine is None or r.key != of:
-                    if machine is not None:
-                        out += closed()
-                    of, machine = r.key, Coordinator()
-                _feed(machine, r)
-                out += _effects(of, machine)
+            for row in batch.itertuples(index=False):
+                machine = fed(row.entry, row)
+                if row.final:
+                    machine.advance(until_ms if until_ms is not None else 1 << 62)
+                out += _effects(row.key, machine)
             yield pd.DataFrame(out, columns=columns)
-        if machine is not None:
-            yield pd.DataFrame(closed(), columns=columns)
 
-    rows = edges_of(events).filter("key IS NOT NULL")
     on_workers(events.sparkSession)
-    return rows.repartition("key").sortWithinPartitions("key", "t_ms", "seq").mapInPandas(run, EFFECTS)
+    segments = packed(edges_of(events).withColumnRenamed("seq", "place"), "key", ["t_ms", "place"], size)
+    entries = settled(segments, "key", after, "")
+    last = Window.partitionBy("key").orderBy(F.desc("part"), F.desc("seq"))
+    entries = entries.withColumn("final", F.row_number().over(last) == 1)
+    return segments.join(entries, ["key", "part", "seq"]).mapInPandas(run, EFFECTS)
 
 
 def coordinated_stream(events: DataFrame) -> DataFrame:
