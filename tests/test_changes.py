@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import terms, text
 from voxloom.operators import catalog, history, registry, settings
 from voxloom.sources import media
+from voxloom.sources.ledger import Ledger, StaleWriterError
 
 ROWS = "id long, file_name string, timestamp long, saved boolean, title string, transcription_text string, post_processed_text string, post_process_prompt string, post_process_requested boolean"
 
@@ -39,12 +40,43 @@ def test_changes_tell_what_they_did(rows):
 def test_appended_entries_get_ids(spark, rows, tmp_path):
     entries = rows.select("file_name", "transcription_text", "post_processed_text", "post_process_prompt", "post_process_requested")
     path = str(tmp_path / "history")
-    assert history.append(spark, path, entries, 1_704_441_600) == [1, 2, 3]
-    assert history.append(spark, path, entries.limit(1), 1_704_441_601) == [4]
-    read = {r.id: r for r in spark.read.parquet(path).collect()}
+    assert sorted(r.id for r in Ledger(spark, path).append(entries, 1_704_441_600).collect()) == [1, 2, 3]
+    assert [r.id for r in Ledger(spark, path).append(entries.filter("file_name = 'f1'"), 1_704_441_601).collect()] == [4]
+    read = {r.id: r for r in Ledger(spark, path).rows().collect()}
     assert set(read) == {1, 2, 3, 4} and read[4].file_name == "f1" and not read[2].saved and read[1].title == "January  5, 2024 -  8:00AM"
 
 
+def test_ids_are_never_given_again(spark, rows, tmp_path):
+    entries = rows.select("file_name", "transcription_text", "post_processed_text", "post_process_prompt", "post_process_requested")
+    path = str(tmp_path / "history")
+    Ledger(spark, path).append(entries, 1_704_441_600)
+    Ledger(spark, path).delete(spark.createDataFrame([(3,), (2,), (77,)], "id long"))
+    assert [r.id for r in Ledger(spark, path).rows().collect()] == [1]
+    assert sorted(r.id for r in Ledger(spark, path).append(entries, 1_704_441_601).collect()) == [4, 5, 6]
+    Ledger(spark, path).compact()
+    Ledger(spark, path).delete(spark.createDataFrame([(6,)], "id long"))
+    assert [r.id for r in Ledger(spark, path).append(entries.limit(1), 1_704_441_602).collect()] == [7]
+    assert sorted(r.id for r in Ledger(spark, path).rows().collect()) == [1, 4, 5, 7]
+    assert sorted(r.id for r in Ledger(spark, path, 1).rows().collect()) == [1, 2, 3]  # as of a version
+
+
+def test_a_batch_counts_once_and_a_stale_writer_is_refused(spark, rows, tmp_path):
+    path = str(tmp_path / "history")
+    write = Ledger(spark, path).sink("s")
+    write(rows, 0)
+    write(rows.withColumn("title", F.lit("new")), 1)
+    version = Ledger(spark, path).version
+    write(rows.withColumn("title", F.lit("again")), 1)  # replayed
+    write(rows.withColumn("title", F.lit("old")), 0)
+    assert Ledger(spark, path).version == version and {r.title for r in Ledger(spark, path).rows().collect()} == {"new"}
+    one, two = Ledger(spark, path), Ledger(spark, path)
+    one.upsert(rows.limit(1).withColumn("title", F.lit("first")))
+    with pytest.raises(StaleWriterError):
+        two.upsert(rows.withColumn("title", F.lit("late")))
+    assert "late" not in {r.title for r in Ledger(spark, path).rows().collect()}
+    assert Ledger(spark, path).rows().count() == 3
+
+
 def header(pairs):
     name = lambda t: struct.pack("<Q", len(t)) + t.encode()
     return b"GGUF" + struct.pack("<IQQ", 3, 0, len(pairs)) + b"".join(name(k) + struct.pack("<I", 8) + name(v) for k, v in pairs)

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.text import entry_title, is_blank, version
-from voxloom.sources.tables import HISTORY_SCHEMA
+from voxloom.operators.ranking import placed
 
 PAGE_MOST, PAGE_SIZE, KEEP = 100, 30, 5
 # Seconds of the retention periods.
@@ -82,14 +81,19 @@ def latest(df: DataFrame, completed: bool = True) -> DataFrame:
     return (df.filter(F.col("transcription_text") != "") if completed else df).orderBy(F.desc("timestamp"), F.desc("id")).limit(1)
 
 
-def beyond_newest(df: DataFrame, keep: int = KEEP) -> DataFrame:
-    """P5: unsaved entries that are older than the newest `keep` unsaved ones."""
-    unsaved = df.filter(~F.col("saved"))
+def _beyond(df: DataFrame, keep: int) -> Column:
+    """Whether an entry is unsaved and older than the newest `keep` unsaved ones: a comparison with one value."""
+    unsaved = F.coalesce(~F.col("saved"), F.lit(False))
     if keep <= 0:
         return unsaved
-    newest = unsaved.select("timestamp", "id").orderBy(F.desc("timestamp"), F.desc("id")).limit(keep)
-    last = newest.agg(F.min(F.struct("timestamp", "id")).alias("last"), F.count("*").alias("kept"))
-    return unsaved.join(F.broadcast(last.filter(F.col("kept") == keep)), F.struct(unsaved["timestamp"], unsaved["id"]) < F.col("last")).drop("last", "kept")  # one row
+    newest = df.filter(unsaved).select("timestamp", "id").orderBy(F.desc("timestamp"), F.desc("id")).limit(keep)
+    last = newest.agg(F.when(F.count("*") == keep, F.min(F.struct("timestamp", "id"))).alias("last")).scalar()
+    return unsaved & F.coalesce(F.struct("timestamp", "id") < last, F.lit(False))
+
+
+def beyond_newest(df: DataFrame, keep: int = KEEP) -> DataFrame:
+    """P5: unsaved entries that are older than the newest `keep` unsaved ones."""
+    return df.filter(_beyond(df, keep))
 
 
 def older_than(df: DataFrame, period: str, now: int) -> DataFrame:
@@ -109,24 +113,17 @@ def retained(df: DataFrame, policy: str, *, keep: int = KEEP, now: int = 0) -> D
     if policy == "never":
         return df
     if policy == "preserve_limit":
-        return df.join(beyond_newest(df, keep).select("id"), "id", "left_anti")
+        return df.filter(~_beyond(df, keep))
     return df.filter(F.col("saved") | (F.col("timestamp") >= now - PERIODS[policy]))
 
 
-def _made(entries: DataFrame, top: Column, now: int) -> DataFrame:
-    """New entries with ids above top, time, mark and title."""
-    order = Window.orderBy("file_name")  # of the appended entries alone
-    return (
-        entries.withColumn("id", top + F.row_number().over(order))
-        .withColumn("timestamp", F.lit(now).cast("long"))
-        .withColumn("saved", F.lit(False))
-        .withColumn("title", entry_title(F.lit(now)))
-    )
-
+def appended(df: DataFrame, entries: DataFrame, now: int, *, policy: str = "preserve_limit", keep: int = KEEP, given: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Df with new entries (file_name, texts, post_process_requested), after retention, and the Added events of all of them.
 
-def appended(df: DataFrame, entries: DataFrame, now: int, *, policy: str = "preserve_limit", keep: int = KEEP) -> tuple[DataFrame, DataFrame]:
-    """Df with new entries (file_name, texts, post_process_requested; ids follow the greatest, in order of file_name), after retention, and the Added events of all of them."""
-    made = _made(entries, df.agg(F.coalesce(F.max("id"), F.lit(0))).scalar(), now).select(*df.columns)
+    Ids follow the greatest there is or the greatest ever given (given; sources.ledger keeps it), in order of file_name.
+    """
+    top = F.greatest(df.agg(F.coalesce(F.max("id"), F.lit(0))).scalar(), F.lit(given))
+    made = placed(entries, [F.asc("file_name")], "id").withColumns({"id": F.col("id") + top, "timestamp": F.lit(now).cast("long"), "saved": F.lit(False), "title": entry_title(F.lit(now))}).select(*df.columns)
     events = made.select(F.lit("added").alias("action"), "id")
     return retained(df.unionByName(made), policy, keep=keep, now=now), events
 
@@ -139,19 +136,6 @@ def _found(df: DataFrame, entry_id: int) -> DataFrame:
     return entry
 
 
-def append(spark: SparkSession, path: str, entries: DataFrame, now: int) -> list[int]:
-    """K5: writes new entries (file_name, texts, post_process_requested) to the history table at path, and returns their ids in order of file_name. The entries of one call come to the driver as ids alone."""
-    try:
-        known = spark.read.schema(HISTORY_SCHEMA).parquet(path)
-    except AnalysisException:  # the first entries
-        known = spark.createDataFrame([], HISTORY_SCHEMA)
-    top = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    kinds = dict(known.dtypes)
-    made = _made(entries, F.lit(top), now).select(*[F.col(c).cast(kinds[c]) for c in known.columns])
-    made.write.mode("append").parquet(path)
-    return [r.id for r in spark.read.schema(HISTORY_SCHEMA).parquet(path).filter(F.col("id") > top).select("id").orderBy("id").collect()]
-
-
 def updated(df: DataFrame, entry_id: int, text: str, post_text: str | None, prompt: str | None) -> tuple[DataFrame, DataFrame]:
     """Df with new texts for an id, other columns as they are, and the updated event with the new entry. A missing id is an error."""
     new = {"transcription_text": text, "post_processed_text": post_text, "post_process_prompt": prompt}

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import catalog, history
+from voxloom.operators import catalog
 from voxloom.plans.base import registrar
 from voxloom.session import shared_dir
 from voxloom.sources import documents, media
+from voxloom.sources.ledger import Ledger
 from voxloom.sources.tables import table
 
 QUERIES, ORACLES, query = registrar()
@@ -42,8 +43,26 @@ def k5(spark: SparkSession, d: str) -> DataFrame:
     for late in (0, 1):
         rows = table(spark, d, "nation").filter(F.col("n_nationkey") % 2 == late)
         entries = rows.select(F.concat(F.lit("r-"), "n_name").alias("file_name"), F.col("n_name").alias("transcription_text"), none.alias("post_processed_text"), none.alias("post_process_prompt"), F.lit(False).alias("post_process_requested"))
-        history.append(spark, path, entries, NOW + late)
-    return spark.read.parquet(path).select("id", "file_name", "timestamp", "saved", "transcription_text")
+        Ledger(spark, path).append(entries, NOW + late)
+    return Ledger(spark, path).rows().select("id", "file_name", "timestamp", "saved", "transcription_text")
+
+
+@query(
+    "d4_ids_are_given_once",
+    """WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS id FROM events), n AS (SELECT count(*) AS n FROM events)
+    SELECT id, 'rec-' || event_id AS file_name FROM e, n WHERE id <= n.n - 10 AND id % 4 > 0
+    UNION ALL SELECT n.n + row_number() OVER (ORDER BY n_name), n_name FROM nation, n""",
+)
+def d4n(spark: SparkSession, d: str) -> DataFrame:
+    """Entries are appended, the last ten and every fourth deleted, others appended: these have new ids."""
+    path, none = folder(spark, "ledger"), F.lit(None).cast("string")
+    rest = (none.alias("transcription_text"), none.alias("post_processed_text"), none.alias("post_process_prompt"), F.lit(False).alias("post_process_requested"))
+    events = table(spark, d, "events").select(F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("file_name"), *rest)
+    ids = Ledger(spark, path).append(events, NOW)
+    Ledger(spark, path).delete(ids.filter((F.col("id") > events.count() - 10) | (F.col("id") % 4 == 0)))
+    Ledger(spark, path).append(table(spark, d, "nation").select(F.col("n_name").alias("file_name"), *rest), NOW + 1)
+    named = F.regexp_replace("file_name", "^e0*(?=[0-9])", "rec-")
+    return Ledger(spark, path).rows().select("id", named.alias("file_name"))
 
 
 @query(
