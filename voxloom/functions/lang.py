@@ -91,6 +91,13 @@ THREE_TO_TWO = {"eng": "en", "deu": "de", "fra": "fr", "spa": "es", "por": "pt",
 MIN_CONFIDENCE = 0.9
 
 
+def gated_codes(model_codes, known: dict[str, str]) -> Column:
+    """A model's codes as two-letter codes, without those of languages that aren't known."""
+    to_two = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    fold = lambda code: F.coalesce(F.try_element_at(to_two, F.lower(base_language(F.trim(code)))), F.lower(base_language(F.trim(code))))
+    return F.filter(F.transform(_c(model_codes), fold), lambda x: x.isin(*known.values()))
+
+
 def gated_detection(detected, reliable, confidence, model_codes, known: dict[str, str] | None = None) -> Column:
     """The language that a detector found (three letters) as a two-letter code, if it is reliable and the model can output it.
 
@@ -100,8 +107,7 @@ def gated_detection(detected, reliable, confidence, model_codes, known: dict[str
     pairs = known or THREE_TO_TWO
     to_two = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
     two = F.try_element_at(to_two, _c(detected))
-    fold = lambda code: F.coalesce(F.try_element_at(to_two, F.lower(base_language(F.trim(code)))), F.lower(base_language(F.trim(code))))
-    allowed = F.filter(F.transform(_c(model_codes), fold), lambda x: x.isin(*pairs.values()))
+    allowed = gated_codes(model_codes, pairs)
     can = (F.size(_c(model_codes)) == 0) | F.array_contains(allowed, two)
     return F.when(_c(reliable) & (_c(confidence) >= MIN_CONFIDENCE) & can, two)
 

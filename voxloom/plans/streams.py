@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import metrics, signal, vad
+from voxloom.operators import metrics, polyphase, signal, vad
 from voxloom.plans.base import registrar
 from voxloom.sources import media
 from voxloom.sources.tables import FRAMES_SQL, frames, table
@@ -123,6 +123,24 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.size(signal.resample("embedding", 48_000, 16_000, 16)).alias("n"))
 
 
+#: Each vector is a session at 48 kHz, in frames of ten samples; the plain convolution of the whole, output by output.
+@query(
+    "s8_resampled_frames",
+    """WITH x AS (SELECT vec_id, i - 1 AS k, CAST(embedding[i] AS DOUBLE) AS v, len(embedding) AS n FROM embeddings, range(1, 100000) AS r(i) WHERE i <= len(embedding)),
+    o AS (SELECT vec_id, n, j FROM (SELECT vec_id, len(embedding) AS n FROM embeddings), range(0, 100000) AS r(j) WHERE j < n // 3),
+    y AS (SELECT o.vec_id, o.j + 20 AS pos, sum(v / 3 * CASE WHEN 3 * o.j = k THEN 1 ELSE sin(pi() * (3 * o.j - k) / 3.0) / (pi() * (3 * o.j - k) / 3.0) END * 0.5 * (1 + cos(pi() * (3 * o.j - k) / 48.0))) AS sample
+      FROM o JOIN x ON x.vec_id = o.vec_id AND abs(3 * o.j - k) <= 48 GROUP BY o.vec_id, o.j)
+    SELECT vec_id AS session, CAST(pos // 8 AS BIGINT) AS frame, pos % 8 AS place, round(sample, 6) + 0.0 AS sample FROM y""",
+)
+def s8f(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.transform(F.sequence(F.lit(0), F.expr("(size(embedding) - 1) div 10")), lambda i: F.slice("embedding", i * 10 + 1, 10))
+    frames = table(spark, d, "embeddings").filter("size(embedding) > 0").select(F.col("vec_id").alias("session"), F.posexplode(parts).alias("seq", "samples"))
+    found = polyphase.resampled_frames(frames, 48_000, 16_000, frame=8, delay=20, frames_at_once=2)
+    rows = found.select("session", "frame", F.posexplode("samples").alias("place", "sample")).select("session", "frame", F.col("place").cast("long").alias("place"), (F.round("sample", 6) + 0.0).alias("sample"))
+    sizes = table(spark, d, "embeddings").select(F.col("vec_id").alias("session"), F.expr("20 + size(embedding) div 3").alias("end"))
+    return rows.join(sizes, "session").filter("8 * frame + place >= 20 AND 8 * frame + place < end").drop("end")
+
+
 @query("s9_framing", "SELECT vec_id, CAST(ceil(len(embedding) / 10.0) AS INT) AS frames, CAST(embedding[(k - 1) * 10 + 1] AS DOUBLE) AS head, k FROM embeddings, range(1, 100) AS r(k) WHERE k <= ceil(len(embedding) / 10.0)")
 def s9(spark: SparkSession, d: str) -> DataFrame:
     x = F.transform("embedding", lambda v: v.cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions import lang, text
-from voxloom.operators import dictionary
+from voxloom.operators import detection, dictionary
 from voxloom.plans.base import registrar
 from voxloom.sources.tables import HISTORY_SQL, history, table
 
@@ -422,6 +422,14 @@ def t13(spark: SparkSession, d: str) -> DataFrame:
     return wanted(spark, d).select("p_partkey", lang.gated_detection(found, key % 4 > 0, (key % 20) / 20.0, "s").alias("lang"))
 
 
+@query("t13_detected_language")
+def t13d(spark: SparkSession, d: str) -> DataFrame:
+    """The language of each document by a model of all that are labelled, each row with the languages of a model of its own."""
+    rows = docs(spark, d).selectExpr("doc_id", "text", "lang", "CASE doc_id % 4 WHEN 0 THEN array() WHEN 1 THEN array('en-GB', 'deu') WHEN 2 THEN array('fr', 'es', 'en', 'de', 'yue') ELSE array('yue') END AS codes")
+    found = detection.detected(rows, detection.fitted(rows.select("text", F.col("lang").alias("language"))), codes="codes")
+    return found.select("doc_id", "output_language", F.col("detected.language").alias("language"), F.col("detected.reliable").alias("reliable"))
+
+
 @query("t20_script_conversion", f"WITH {INTENT_SQL} SELECT p_partkey, CASE intent WHEN 'zh-Hans' THEN 'to_simplified' WHEN 'zh-Hant' THEN 'to_traditional' END AS conversion FROM m")
 def t20(spark: SparkSession, d: str) -> DataFrame:
     return wanted(spark, d).select("p_partkey", lang.script_conversion("intent").alias("conversion"))
