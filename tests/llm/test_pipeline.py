@@ -64,3 +64,10 @@ def test_rows_without_id(spark, tables):
     found = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=key)
     assert found(corpus_pipeline.deduplicated(spark, docs.limit(8), tables[0])) == sorted([(5, text(1)), (None, text(2)), (None, text(3)), (None, None), (None, None)], key=key)
     assert found(corpus_pipeline.decontaminated(spark, docs, tables[0])) == sorted(rows[:8], key=key)
+
+
+def test_a_column_named_as_the_rows_own_stays(spark, tables):
+    docs = spark.createDataFrame([(1, "some text of its own", "en", "s", 20, 5), (None, "another", "en", "s", 7, 6)], "doc_id long, text string, lang string, source string, n_chars long, _row int")
+    for stage in (corpus_pipeline.deduplicated, corpus_pipeline.decontaminated):
+        out = stage(spark, docs, tables[0])
+        assert out.columns == docs.columns and sorted(r._row for r in out.collect()) == [5, 6]

@@ -38,6 +38,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path  # for gone
+    trimmed()  # of the driver
     return out
 
 
@@ -124,22 +125,27 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, sha
 _HELD: list = []
 
 
+def trimmed() -> None:
+    """Gives memory that this process no longer uses back to the machine."""
+    import contextlib
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hold(cache):
     """Makes cache the only one of the caches passed here that this process keeps filled; workers go from one operator to the next."""
     if any(other is not cache for other in _HELD):
-        import contextlib
-        import ctypes
-        import gc
-
-        import pyarrow
-
         for other in _HELD:
             if other is not cache:
                 other.clear()
-        gc.collect()
-        pyarrow.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has
-            ctypes.CDLL(None).malloc_trim(0)
+        trimmed()
     _HELD[:] = [cache]
     return cache
 
