@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import metrics, polyphase, signal, vad
+from voxloom.operators import metrics, polyphase, signal, temporal, vad
 from voxloom.plans.base import registrar
 from voxloom.sources import media
 from voxloom.sources.tables import FRAMES_SQL, frames, table
@@ -287,3 +287,16 @@ def g2(spark: SparkSession, d: str) -> DataFrame:
 def k10(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), media.encoded_wav("embedding").alias("content"))
     return media.recordings(files).select("path", "rate", "channels", "bits", F.size("samples").cast("long").alias("n"))
+
+
+@query(
+    "g2_as_of_last_view",
+    """WITH v AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY user_id, ts)
+    SELECT l.event_id, l.user_id, v.value AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') l ASOF LEFT JOIN v ON l.user_id = v.user_id AND l.ts >= v.ts""",
+)
+def g2a(spark: SparkSession, d: str) -> DataFrame:
+    """What a user had last viewed at each purchase."""
+    events = table(spark, d, "events")
+    views = events.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("seen"))
+    found = temporal.as_of(events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "user_id", "ts")
+    return found.select("event_id", "user_id", "seen")
