@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions import lang, text
-from voxloom.operators import detection, dictionary
+from voxloom.operators import conversion, detection, dictionary
 from voxloom.plans.base import registrar
 from voxloom.sources.tables import HISTORY_SQL, history, table
 
@@ -276,6 +276,27 @@ def t19(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", text.structured_transcript(F.expr(ANSWER)).alias("answer"))
 
 
+#: Phrases of one and two letters made of the nations' names; at each place the longest is replaced.
+PHRASES = "SELECT DISTINCT lower(substr(n_name, 1, k)) AS source, '<' || upper(substr(n_name, 1, k)) || '>' AS target FROM nation, (VALUES (1), (2)) AS u(k)"
+
+
+@query(
+    "t20_converted_text",
+    f"""WITH p AS ({PHRASES}),
+    c AS (SELECT conv_id, turn, text, i, (SELECT arg_max(target, length(source)) FROM p WHERE source IN (substr(text, i, 1), substr(text, i, 2))) AS target,
+      coalesce((SELECT max(length(source)) FROM p WHERE source IN (substr(text, i, 1), substr(text, i, 2))), 1) AS n
+      FROM (SELECT conv_id, turn, text, unnest(range(1, length(text) + 1)) AS i FROM conversations)),
+    w AS (SELECT conv_id, turn, i, n, coalesce(target, substr(text, i, 1)) AS said, lag(n = 2) OVER (PARTITION BY conv_id, turn ORDER BY i) AS joined FROM c),
+    b AS (SELECT *, sum(CASE WHEN coalesce(joined, false) THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM w),
+    t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, run ORDER BY i) AS nth FROM b)
+    SELECT v.conv_id, v.turn, CASE WHEN v.text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(said, '' ORDER BY i) FROM t WHERE t.conv_id = v.conv_id AND t.turn = v.turn AND nth % 2 = 1), '') END AS converted FROM conversations v""",
+)
+def t20c(spark: SparkSession, d: str) -> DataFrame:
+    phrases = table(spark, d, "nation").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).selectExpr("lower(substr(n_name, 1, k)) AS source", "'<' || upper(substr(n_name, 1, k)) || '>' AS target")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return conversion.convert(rows, conversion.phrases_of(phrases)).select("conv_id", "turn", F.col("text").alias("converted"))
+
+
 @query("t21_chosen_post_text", f"WITH {HISTORY_SQL} SELECT id, coalesce(post_processed_text, CASE WHEN upper(transcription_text) <> transcription_text THEN upper(transcription_text) END) AS chosen FROM history")
 def t21(spark: SparkSession, d: str) -> DataFrame:
     return history(spark, d).select("id", text.chosen_post_text("post_processed_text", F.upper("transcription_text"), "transcription_text").alias("chosen"))
