@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import detection
 
-PT = "eu vi um carro na rua ontem de manhã quando fui ao mercado"
+PT = "a minha irmã não encontrou pão no mercado e voltou mais tarde para casa com o amigo dela"
 SAMPLES = {
     "pt": "o carro da minha mãe está na rua e ontem de manhã fui ao mercado com um amigo quando vi que não havia pão nem leite para a semana inteira ele disse que ia mais tarde à cidade e que eu não devia esperar por ele em casa",
     "en": "so the weather forecast said that it would rain throughout the whole day and we probably should not have gone out to the market without our coats because the wind was cold and there was nothing left for the weekend",
@@ -26,11 +26,11 @@ def found(spark, detector, text, codes):
     "text,codes,want",
     [
         (PT, ["en", "pt", "es"], "pt"),
-        ("um ok", ["en", "pt"], None),
+        ("ah sim", ["en", "pt"], None),
         (PT, ["en", "pt-BR"], "pt"),
         (PT, ["EN", "PT_br"], "pt"),
         (PT, ["eng", "por"], "pt"),
-        ("um so the weather forecast said it would probably rain throughout the whole weekend", ["zh", "yue", "en", "ja", "ko"], "en"),
+        ("well nobody should have gone out without a coat because there was rain and wind for the whole day", ["zh", "yue", "en", "ja", "ko"], "en"),
         (PT, ["yue"], None),
         (PT, [], "pt"),
         (PT, None, "pt"),
