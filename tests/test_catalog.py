@@ -80,3 +80,25 @@ def test_files_of_text_and_json(spark, tmp_path):
     assert latest_release(notes, "beta", None).count() == 0
     (tmp_path / "c.json").write_text('{"catalog_version": 2,\n "mirrors": ["m"], "extra": 1, "models": [{"id": "a", "x": 2, "files": [{"filename": "f", "size_bytes": 7}]}, {"id": "b"}]}')
     assert [(r.ord, r.id, r.mirrors) for r in documents.read_catalog(spark, str(tmp_path / "c.json")).collect()] == [(0, "a", ["m"]), (1, "b", ["m"])]
+
+
+@pytest.fixture
+def listing(spark):
+    rows = [(f"o/m{k}", f"f{k}.gguf", k, f"s{k}") for k in range(6)]
+    return spark.createDataFrame(rows, "repo string, filename string, size_bytes long, sha256 string").withColumn("key", F.concat_ws("/", "repo", F.lit("new"), "filename"))
+
+
+def test_a_plan_of_a_mirror_sends_no_listing_whole(spark, listing):
+    objects = listing.filter("size_bytes = 1").select("key", "sha256").unionByName(listing.filter("size_bytes = 2").select("key", F.lit("bad").alias("sha256")))
+    objects = objects.unionByName(listing.filter("size_bytes = 3").select(F.concat_ws("/", "repo", F.lit("old"), "filename").alias("key"), "sha256"))
+    plan = catalog.mirror_plan(listing, objects)
+    assert {r.size_bytes: r.action for r in plan.collect()} == {0: "upload", 1: "skip", 2: "mismatch", 3: "copy", 4: "upload", 5: "upload"}
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_breaches_without_a_join(spark):
+    rows = [("a", 5, "x" * 64), ("a", 500, "a" * 64), ("b", 5, "a" * 64), ("c", 5, None), (None, 5, None)]
+    found = spark.createDataFrame(rows, "id string, speed_score int, sha string").selectExpr("id", "speed_score", "1 AS accuracy_score", "array(named_struct('sha256', sha)) AS files", "'whisper' AS architecture")
+    breaches = catalog.invariant_breaches(found)
+    assert sorted(map(tuple, breaches.collect())) == [("a", "bad digest"), ("a", "duplicate id"), ("a", "score out of range"), ("c", "bad digest")]
+    assert "Join" not in breaches._jdf.queryExecution().executedPlan().toString()
