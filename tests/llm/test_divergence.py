@@ -3,6 +3,8 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from voxloom.llm import divergence
 
@@ -79,3 +81,11 @@ def test_very_long_text(spark):
 
 def test_empty(spark):
     assert divergence.audit(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_counts_are_dealt_once(spark):
+    rows = spark.createDataFrame([("a b a", "en", "x"), ("b", "en", "y")], SCHEMA)
+    counts = divergence.term_counts(rows)
+    assert sorted((r.source, r.term, r.n, r.docs) for r in counts.filter("term IS NOT NULL").collect()) == [("x", "a", 2, 1), ("x", "b", 1, 1), ("y", "b", 1, 1)]
+    whole = counts.withColumn("whole", F.sum("n").over(Window.partitionBy("lang", "term")))
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -82,7 +82,8 @@ def term_counts(docs: DataFrame, *, held: int = HELD) -> DataFrame:
         yield from told()
 
     filled = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return filled.mapInPandas(count, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    dealt = filled.mapInPandas(count, _COUNTS).repartition("lang", "term")  # a task's rows are hardly ever alike; what goes on by term needs no other shuffle
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count, total, terms):
@@ -99,11 +100,11 @@ def spread(p, q):
 
 def audit(docs: DataFrame, *, least_docs: int = 10, top: int = 10, held: int = HELD) -> DataFrame:
     """lang, source, part, item, value, rank for all groups of docs (text, lang, source): all pairs of sources, and the top terms of each."""
-    counts = written(term_counts(docs, held=held), "term-counts")
     of_term = Window.partitionBy("lang", "term")
-    found = counts.filter("term IS NOT NULL").withColumns({"in_docs": F.sum("docs").over(of_term), "whole": F.sum("n").over(of_term), "first": F.min("source").over(of_term)})
-    found = found.filter(F.col("in_docs") >= least_docs).select("lang", "source", "term", "n", "whole", (F.col("source") == F.col("first")).alias("one"))
-    found = written(found, "kept-terms")
+    counts = term_counts(docs, held=held).withColumns({"in_docs": F.sum("docs").over(of_term), "whole": F.sum("n").over(of_term), "first": F.min("source").over(of_term)})
+    counts = counts.filter((F.col("in_docs") >= least_docs) | F.col("term").isNull()).select("lang", "source", "term", "n", "whole", (F.col("source") == F.col("first")).alias("one"))
+    counts = written(counts, "kept-terms")
+    found = counts.filter("term IS NOT NULL")
 
     langs = found.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.sum(F.col("one").cast("long")).alias("v"))
     groups = counts.filter("term IS NULL").select("lang", "source").join(found.groupBy("lang", "source").agg(F.sum("n").alias("of_source"), F.count("*").alias("own")), ["lang", "source"], "left")
