@@ -196,3 +196,16 @@ def test_odd_pages():
     assert wrappers.page_text("<article><p>a &amp b&#233;&nbsp;c</p>\n<p> </p>t<br>u<table><tr><td>1<td>2</table><!-- open", None) == "a & bé c\nt u\n1\n2"
     assert wrappers.page_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 10, None) == "deep"
     assert wrappers.page_text("<article>" + "word " * 200_000 + "</article>", None).count("word") == 200_000
+
+
+def test_a_large_wrapper_keeps_rare_parts(spark):
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    rows = []
+    for k in range(16):
+        of = name(100 + k)
+        inner = "".join(f'<div class="d{name(i)}{of}">' + "".join(f'<p class="p{name(j)}{of}">{i} {j} of {k}</p>' for j in range(44)) + "</div>" for i in range(44))
+        rows.append((k, "http://h/", f'<body><article><div class="w{of}"><div class="share"><a href="x">send {k}</a></div>{inner}</div><p>{"words " * 40}{k}</p></article></body>'))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    decisions = lambda **kw: [r.decisions for r in wrappers.wrappers(pages, **kw).collect()]
+    whole = decisions()
+    assert whole == decisions(most_nodes=10**9) and whole != decisions(most_nodes=50_000)

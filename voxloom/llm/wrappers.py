@@ -36,8 +36,9 @@ Character references are decoded, white space in a block becomes one space
 (a line break too), blocks are trimmed and joined by line feeds, empty ones go.
 
 Bounds: a task's unfinished wrappers are passed on when they have `HELD` nodes in
-all. A wrapper of more than `most_nodes` nodes loses its optional parts seen on the
-fewest pages; what a wrapper lacks is decided by the page itself, which is read whole.
+all. A wrapper keeps all its parts, however many. Only if the caller gives `most_nodes`,
+one of more nodes loses its optional parts seen on the fewest pages; then what it lacks
+is decided by the page itself, which is read whole.
 
 Defined cases: a null or empty page has the empty text; a null url counts as the
 host ''; unclosed and stray tags follow the usual implied ends; an unfinished tag
@@ -62,7 +63,7 @@ from voxloom.llm.common import written
 from voxloom.session import on_workers
 
 BROADCAST_BYTES = 16 << 20
-HELD, MOST_NODES, LONG, FEW = 400_000, 50_000, 48, 3
+HELD, LONG, FEW = 400_000, 48, 3
 PARTS = 32  # wrappers of a host that the second round makes
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|([^<]+|<)""", re.S)
@@ -385,8 +386,10 @@ def _counted(root: Node) -> int:
     return n
 
 
-def pruned(root: Node, most: int) -> Node:
-    """The wrapper without optional parts of few pages, if it has more than `most` nodes."""
+def pruned(root: Node, most: int | None) -> Node:
+    """The wrapper without optional parts of few pages, if it has more than `most` nodes; without a `most`, as it is."""
+    if most is None:
+        return root
     for few in range(1, FEW):
         if _counted(root) <= most:
             break
@@ -627,7 +630,7 @@ def page_text(page: str | None, known: Decisions | None) -> str:
     return extract(page, own) or ""
 
 
-def wrappers(pages: DataFrame, *, held: int = HELD, most_nodes: int = MOST_NODES) -> DataFrame:
+def wrappers(pages: DataFrame, *, held: int = HELD, most_nodes: int | None = None) -> DataFrame:
     """(host, decisions) of the wrapper of each host of pages (page_id, url, html)."""
     on_workers(pages.sparkSession)
 
