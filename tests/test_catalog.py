@@ -102,3 +102,12 @@ def test_breaches_without_a_join(spark):
     breaches = catalog.invariant_breaches(found)
     assert sorted(map(tuple, breaches.collect())) == [("a", "bad digest"), ("a", "duplicate id"), ("a", "score out of range"), ("c", "bad digest")]
     assert "Join" not in breaches._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalog_files_are_found_without_a_broadcast(spark):
+    file = "array<struct<filename:string,sha256:string>>"
+    cat = spark.createDataFrame([(2, "o/b", [("f", "2"), ("g", "3")]), (1, "o/a", [("g", "0"), ("f", "1"), ("f", "9")])], f"ord int, id string, files {file}")
+    wanted = spark.createDataFrame([("f", None), ("f", "o/b"), ("g", None), ("g", "o/c"), (None, None)], "filename string, repo_id string")
+    found = registry.found_files(wanted, cat)
+    assert sorted((r.filename, r.repo_id or "", r.cat_repo, r.file.sha256) for r in found.collect()) == [("f", "", "o/a", "1"), ("f", "o/b", "o/b", "2"), ("g", "", "o/a", "0")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
