@@ -132,34 +132,40 @@ def _gates(t: np.ndarray, complete: np.ndarray, every: int) -> tuple[np.ndarray,
     return follow, last[:n]
 
 
-def throttled(events: DataFrame, key: str = "key", every_ms: int = PROGRESS_MS, size: int = SIZE) -> DataFrame:
-    """H3: the events (t_ms, done, total) of each key that are emitted.
+def throttled(events: DataFrame, key: str = "key", every_ms: int = PROGRESS_MS, size: int = SIZE, ties: tuple[str, ...] = ("done", "total")) -> DataFrame:
+    """H3: the events (t_ms, done, total) of each key that are emitted; those of one time are taken in the order of ties, nulls last.
+
+    Events without a time come last; of these, complete ones are emitted, and the first of a key that has no others.
 
     A segment says for each of its first events (up to every_ms behind its start, or the
     first complete one) which one it emits last if that is its first; so the
     time of the last emission before each segment is known in a step for each, and all segments emit at once.
     """
-    rows = events.select(key, F.col("t_ms").cast("long").alias("t_ms"), F.col("done").cast("long").alias("done"), F.col("total").cast("long").alias("total"))
-    kind = dict(rows.dtypes)[key]
-    segments = packed(rows, key, ["t_ms", "done", "total"], size)
-
-    def arrays(row) -> tuple[np.ndarray, np.ndarray]:
+    rows = events.select(key, F.col("t_ms").cast("long").alias("t_ms"), F.col("done").cast("long").alias("done"), F.col("total").cast("long").alias("total"), *(F.col(c).alias(f"_tie{i}") for i, c in enumerate(ties)))
+    kind, out = dict(rows.dtypes)[key], rows.select(key, "t_ms", "done", "total").schema
+    timed = rows.withColumn("timed", F.col("t_ms").isNotNull()).withColumn("t_ms", F.coalesce("t_ms", F.lit(0)))
+    order = [F.desc("timed"), F.asc("t_ms"), *(F.asc_nulls_last(f"_tie{i}") for i in range(len(ties)))]
+    segments = packed(timed, key, order, size, ["t_ms", "timed", "done", "total"])
+
+    def arrays(row) -> tuple[np.ndarray, np.ndarray, int]:
+        """Times and whether complete, and how many have a time."""
         t, done, total = (np.asarray(x, np.int64) for x in (row.t_ms, row.done, row.total))
-        return t, (total > 0) & (done >= total)
+        return t, (total > 0) & (done >= total), int(np.count_nonzero(row.timed))
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                t, complete = arrays(row)
+                t, complete, n = arrays(row)
+                t, complete = t[:n], complete[:n]
                 _, last = _gates(t, complete, every_ms)
-                k = min(len(t), int(np.searchsorted(t, t[0] + every_ms)) + 1, _first(complete) + 1)
-                out.append((getattr(row, key), row.part, row.seq, t[:k].tolist(), t[last[:k]].tolist(), bool(complete[k - 1])))
+                k = min(n, int(np.searchsorted(t, t[0] + every_ms)) + 1, _first(complete) + 1) if n else 0
+                out.append((getattr(row, key), row.part, row.seq, t[:k].tolist(), t[last[:k]].tolist(), bool(k and complete[k - 1])))
             yield pd.DataFrame(out, columns=[key, "part", "seq", "t", "last", "complete"])
 
     def step(state: tuple, row) -> tuple:
         if state[0] is None:
-            return (int(row.last[0]),)
+            return (int(row.last[0]) if len(row.last) else 0,)  # behind events without a time there are no others
         at = _first(row.t - state[0] >= every_ms)
         if at == len(row.t) and row.complete:
             at -= 1
@@ -167,19 +173,27 @@ def throttled(events: DataFrame, key: str = "key", every_ms: int = PROGRESS_MS,
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            keys, times, untimed, done, total = [], [], [], [], []
             for row in batch.itertuples(index=False):
-                t, complete = arrays(row)
-                follow, _ = _gates(t, complete, every_ms)
-                at = 0 if pd.isna(row.entry) else min(_first(t - int(row.entry) >= every_ms), _first(complete))
+                t, complete, n = arrays(row)
+                follow, _ = _gates(t[:n], complete[:n], every_ms)
+                at = 0 if pd.isna(row.entry) else min(_first(t[:n] - int(row.entry) >= every_ms), _first(complete[:n]))
                 taken = []
-                while at < len(t):
+                while at < n:
                     taken.append(at)
                     at = int(follow[at])
-                yield pd.DataFrame({key: getattr(row, key), "t_ms": t[taken], "done": np.asarray(row.done)[taken], "total": np.asarray(row.total)[taken]})
+                taken += [i for i in range(n, len(t)) if complete[i] or i == 0 and pd.isna(row.entry)]
+                keys += [getattr(row, key)] * len(taken)
+                times.append(t[taken])
+                untimed += [i >= n for i in taken]
+                done.append(np.asarray(row.done)[taken])
+                total.append(np.asarray(row.total)[taken])
+            if keys:
+                yield pd.DataFrame({key: keys, "t_ms": pd.arrays.IntegerArray(np.concatenate(times), np.array(untimed)), "done": np.concatenate(done), "total": np.concatenate(total)})
 
     found = segments.mapInPandas(summed, f"{key} {kind}, part int, seq int, t array<long>, last array<long>, complete boolean")
     entries = folded(found, key, "entry long", step, lambda: (None,))
-    return segments.join(entries, [key, "part", "seq"]).select(key, "t_ms", "done", "total", "entry").mapInPandas(emit, rows.schema)
+    return segments.join(entries, [key, "part", "seq"]).select(key, "t_ms", "timed", "done", "total", "entry").mapInPandas(emit, out)
 
 
 def ring_drops(events: DataFrame, capacity: int, key: str = "session") -> DataFrame:

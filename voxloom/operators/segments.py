@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.session import on_workers, written
@@ -21,11 +21,11 @@ from voxloom.session import on_workers, written
 SIZE = 5_000  # rows of a segment
 
 
-def packed(rows: DataFrame, key: str, order: list[str], size: int = SIZE) -> DataFrame:
-    """(key, part, seq, an array of each other column) of rows with a key; (part, seq) is the order of a key's segments."""
+def packed(rows: DataFrame, key: str, order: list[Column | str], size: int = SIZE, columns: list[str] | None = None) -> DataFrame:
+    """(key, part, seq, an array of each other column, or of those named) of rows with a key; (part, seq) is the order of a key's segments."""
     on_workers(rows.sparkSession)
     kinds = dict(rows.dtypes)
-    columns = [c for c in rows.columns if c != key]
+    columns = columns or [c for c in rows.columns if c != key]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq, now, held = TaskContext.get().partitionId(), 0, None, []
@@ -51,8 +51,8 @@ def packed(rows: DataFrame, key: str, order: list[str], size: int = SIZE) -> Dat
         if held:
             yield told()
 
-    known = rows.filter(F.col(key).isNotNull()).select(key, *columns).withColumn("_own", F.monotonically_increasing_id())  # rows that are alike are dealt out too
-    ranged = known.repartitionByRange(key, *order, "_own").sortWithinPartitions(key, *order, "_own").drop("_own")
+    known = rows.filter(F.col(key).isNotNull()).withColumn("_own", F.monotonically_increasing_id())  # rows that are alike are dealt out too
+    ranged = known.repartitionByRange(key, *order, "_own").sortWithinPartitions(key, *order, "_own").select(key, *columns)
     schema = f"{key} {kinds[key]}, part int, seq int, " + ", ".join(f"{c} array<{kinds[c]}>" for c in columns)
     return written(ranged.mapInPandas(pack, schema), "segments")
 
